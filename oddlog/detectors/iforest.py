@@ -135,7 +135,7 @@ class IForest:
         sample = min(SAMPLE, n)
         limit = max(1, math.ceil(math.log2(max(sample, 2))))
 
-        def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("id")
             tree = int(key[0])
             grown = _grow(to_matrix(pdf.vi, pdf.vv, width), np.random.default_rng([seed, tree]), limit)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from oddlog.detectors.base import Fitted, Shared, clean
 from oddlog.detectors.iforest import uniform
+from oddlog.detectors.neighbours import distance_score
 from oddlog.operators.nearest import nearest
 from oddlog.operators.scaling import fit_minmax
 
@@ -18,7 +19,8 @@ BOX, NOISE, NOISY = 0.1, 0.2, 0.3
 def _filled(nn: Column, k: int) -> Column:
     """Exactly k ordered distances; short lists repeat their last one."""
     dist = F.transform(nn, lambda e: e["dist"])
-    spare = F.array_repeat(F.element_at(dist, -1), F.lit(k) - F.size(dist))
+    last = distance_score(nn)
+    spare = F.array_repeat(last, F.lit(k) - F.size(dist))
     return array_to_vector(F.concat(dist, spare))
 
 
@@ -67,7 +69,7 @@ class LUNAR:
         real = lists.select("nn", F.lit(0.0).alias("label"))
         told = real.unionByName(fake.select("nn", F.lit(1.0).alias("label")))
         vectors = told.select(_filled(F.col("nn"), self.k).alias("features"), "label")
-        scale = lists.agg(F.avg(F.element_at("nn", -1)["dist"])).first()[0] or 1.0
+        scale = lists.agg(F.avg(distance_score(F.col("nn")))).first()[0] or 1.0
         unit = F.transform(vector_to_array("features"), lambda d: d / F.lit(scale))
         network = MultilayerPerceptronClassifier(
             layers=[self.k, self.hidden, 2], seed=self.seed, maxIter=self.max_iter

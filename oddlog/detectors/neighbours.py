@@ -13,13 +13,13 @@ def distance_score(nn: Column, method: str = "largest") -> Column:
     dist = F.transform(nn, lambda e: e["dist"])
     count = F.size(dist)
     if method == "largest":
-        return F.element_at(dist, -1)
+        return F.coalesce(F.try_element_at(dist, F.lit(-1)), F.lit(0.0))
     if method == "mean":
-        return F.aggregate(dist, F.lit(0.0), lambda a, x: a + x) / count
+        return F.aggregate(dist, F.lit(0.0), lambda a, x: a + x) / F.greatest(count, F.lit(1))
     if method == "median":
-        low = F.element_at(dist, F.floor((count + 1) / 2).cast("int"))
-        high = F.element_at(dist, F.floor((count + 2) / 2).cast("int"))
-        return (low + high) / 2
+        low = F.get(dist, F.floor((count - 1) / 2).cast("int"))
+        high = F.get(dist, F.floor(count / 2).cast("int"))
+        return F.coalesce((low + high) / 2, F.lit(0.0))
     raise ValueError(f"unknown method {method!r}")
 
 
@@ -60,7 +60,7 @@ class LofModel(Fitted):
         self.train, self.k = train, k
         edges = graph(lists)
         self.reach = lists.select(
-            F.col("row_id").alias("nbr_id"), F.element_at("nn", -1)["dist"].alias("reach")
+            F.col("row_id").alias("nbr_id"), distance_score(F.col("nn")).alias("reach")
         )
         self.lrd = _reachability(edges, self.reach)
         super().__init__(_outlier_factor(edges, self.lrd, self.lrd))

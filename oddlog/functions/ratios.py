@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # These decide the results and must stay as they are.
@@ -90,8 +91,6 @@ def _longest_first(words: list[str]) -> str:
 
 def _matched_by_set(words: frozenset[str]):
     """Vectorised matcher for mid-sized dictionaries."""
-    import pandas as pd
-
     by_start: dict[str, list[int]] = {}
     for word in words:
         by_start.setdefault(word[:2], []).append(len(word))
@@ -100,7 +99,8 @@ def _matched_by_set(words: frozenset[str]):
     def covered(text: str) -> int:
         at = total = 0
         while at < len(text) - 1:
-            step = next((n for n in lengths.get(text[at : at + 2], ()) if text[at : at + n] in words), 0)
+            tried = lengths.get(text[at : at + 2], ())
+            step = next((n for n in tried if at + n <= len(text) and text[at : at + n] in words), 0)
             total += step
             at += step or 1
         return total

@@ -22,16 +22,22 @@ def word_tokens(column: Column, pattern: str | None = None, lowercase: bool = Tr
     return F.regexp_extract_all(text, F.lit(java_pattern(pattern)), F.lit(0))
 
 
+def _runs(length: Column, low: int, high: int, gram) -> Column:
+    """``gram(start, n)`` for every run of ``low..high`` items, by n."""
+
+    def of(n: int) -> Column:
+        starts = F.when(length >= n, F.sequence(F.lit(1), length - (n - 1)))
+        return F.coalesce(F.transform(starts, lambda i: gram(i, n)), F.array().cast("array<string>"))
+
+    runs = [of(n) for n in range(low, high + 1)]
+    return runs[0] if len(runs) == 1 else F.concat(*runs)
+
+
 def word_ngrams(tokens: Column, low: int, high: int) -> Column:
     """Space-joined runs of ``low..high`` tokens."""
     if (low, high) == (1, 1):
         return tokens
-    runs = []
-    for n in range(low, high + 1):
-        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1)))
-        grams = F.transform(starts, lambda i, n=n: F.concat_ws(" ", F.slice(tokens, i, n)))
-        runs.append(F.coalesce(grams, F.array().cast("array<string>")))
-    return F.concat(*runs)
+    return _runs(F.size(tokens), low, high, lambda i, n: F.concat_ws(" ", F.slice(tokens, i, F.lit(n))))
 
 
 def char_ngrams(column: Column, low: int, high: int, lowercase: bool = True) -> Column:
@@ -39,12 +45,7 @@ def char_ngrams(column: Column, low: int, high: int, lowercase: bool = True) ->
     text = F.coalesce(column.cast("string"), F.lit(""))
     text = F.lower(text) if lowercase else text
     text = F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]{2,}", " ")
-    runs = []
-    for n in range(low, high + 1):
-        starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1)))
-        grams = F.transform(starts, lambda i, n=n: F.substr(text, i, F.lit(n)))
-        runs.append(F.coalesce(grams, F.array().cast("array<string>")))
-    return runs[0] if len(runs) == 1 else F.concat(*runs)
+    return _runs(F.length(text), low, high, lambda i, n: F.substr(text, i, F.lit(n)))
 
 
 def terms(

@@ -83,12 +83,16 @@ def hashed_counts(df: DataFrame, tokens: str = "tokens", size: int = 1 << 18, ou
     return HashingTF(inputCol=tokens, outputCol=out, numFeatures=size).transform(df)
 
 
-def vectors_from_long(long: DataFrame, width: int, key: str = "row_id", out: str = "features") -> DataFrame:
+def vectors_from_long(
+    rows: DataFrame, long: DataFrame, width: int, key: str = "row_id", out: str = "features"
+) -> DataFrame:
     """Sparse vectors from ``(key, idx, value)`` when the vocabulary stays a table."""
 
     @F.udf(VectorUDT())
     def sparse(entries):
+        entries = entries or []
         return SparseVector(width, [e.idx for e in entries], [e.value for e in entries])
 
     entries = F.sort_array(F.collect_list(F.struct(F.col("idx"), F.col("value").cast("double").alias("value"))))
-    return long.groupBy(key).agg(sparse(entries).alias(out))
+    listed = long.groupBy(key).agg(entries.alias("_e"))
+    return rows.select(key).join(listed, key, "left").select(key, sparse("_e").alias(out))
