@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from oddlog.functions.rows import finite
 from oddlog.operators.nearest import nearest
 from oddlog.operators.quantile import quantiles
+from oddlog.session import hold
 
 
 def clean(df: DataFrame) -> DataFrame:
@@ -38,7 +39,7 @@ class Shared:
         if self._lists is None or k > self.k:
             self.release()
             self.k = max(self.k, k)
-            self._lists = nearest(self.features, k=self.k).persist()
+            self._lists = hold(nearest(self.features, k=self.k))
         return self._lists.select("row_id", F.slice("nn", 1, k).alias("nn"))
 
     def release(self) -> None:

@@ -16,7 +16,7 @@ from oddlog.detectors.neighbours import distance_score, transfer_scores
 from oddlog.operators import nearest as nn
 from oddlog.operators.components import components, local_components
 from oddlog.operators.quantile import quantiles
-from oddlog.session import freeze
+from oddlog.session import freeze, hold
 
 
 def _within(x: np.ndarray, y: np.ndarray, eps: float):
@@ -132,7 +132,8 @@ class Density:
     def fit(self, rows: DataFrame, shared: Shared | None = None) -> DensityModel:
         rows = clean(rows)
         lists = nn.nearest(rows, k=self.min_samples, include_self=True, rows_per_block=self.rows_per_block)
-        cores = lists.select("row_id", distance_score(F.col("nn")).alias("core")).persist()
+        cores = lists.select("row_id", distance_score(F.col("nn")).alias("core"))
+        cores = hold(cores)
         eps = self.eps if self.eps is not None else quantiles(cores, "core", [0.9])[0]
         dense = rows.join(cores.filter(F.col("core") <= eps), "row_id", "left_semi")
         member = cluster_roots(dense, eps, self.rows_per_block).join(cores, "row_id")

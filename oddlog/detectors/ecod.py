@@ -2,65 +2,71 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from oddlog.detectors.base import Fitted, clean
 from oddlog.functions.rows import nonzeros
-from oddlog.operators.ecdf import tail_counts
+from oddlog.operators.ecdf import run_sums, shifted, sorted_runs
 from oddlog.session import broadcast_if_small
 
 _PARTS = ("left", "right", "skew", "worst")
 
 
+def _tail(count: np.ndarray, zeros: np.ndarray, n: int) -> np.ndarray:
+    """Tail term of a zero entry; 0 where a feature has none."""
+    return np.where(zeros > 0, -np.log(np.maximum(count + zeros, 1) / n), 0.0)
+
+
 def _contributions(rows: DataFrame, n: int) -> tuple[DataFrame, dict[str, float], int]:
     """Tail terms of every nonzero (feature, value), relative to a zero entry.
 
     Zeros are never stored: a row of zeros only scores the returned base, a
-    nonzero entry adds its difference to that.
+    nonzero entry adds its difference to that. Only per-feature sums reach
+    the driver.
     """
-    tails = tail_counts(nonzeros(rows))
-    value, weight = F.col("value"), F.col("weight")
-    sums = tails.groupBy("feature_id").agg(
-        F.sum(F.when(value < 0, weight).otherwise(0)).alias("neg"),
-        F.sum(F.when(value > 0, weight).otherwise(0)).alias("pos"),
-        (F.sum(value * weight) / n).alias("mean"),
-    )
+    runs = sorted_runs(nonzeros(rows))
+    sums = run_sums(runs)
+    stats = sums.groupby("feature_id", as_index=False)[["weight", "neg", "total"]].sum()
+    stats["mean"] = stats["total"] / n
+    means = rows.sparkSession.createDataFrame(stats[["feature_id", "mean"]], "feature_id int, mean double")
     # Second pass around the mean: the sign of the third moment is what counts.
-    centred = tails.join(F.broadcast(sums), "feature_id").groupBy("feature_id").agg(
-        F.sum(weight * F.pow(value - F.col("mean"), 3)).alias("m3")
+    centred = runs.join(F.broadcast(means), "feature_id").groupBy("feature_id").agg(
+        F.sum(F.col("weight") * F.pow(F.col("value") - F.col("mean"), 3)).alias("m3")
     )
-    zeros = n - F.col("neg") - F.col("pos")
-    per_feature = sums.join(centred, "feature_id").select(
-        "feature_id",
-        zeros.alias("zeros"),
-        (F.col("m3") - zeros * F.pow("mean", F.lit(3))).alias("m3"),
-        F.when(zeros > 0, -F.log((F.col("neg") + zeros) / n)).otherwise(0.0).alias("left0"),
-        F.when(zeros > 0, -F.log((F.col("pos") + zeros) / n)).otherwise(0.0).alias("right0"),
+    stats = stats.merge(centred.toPandas(), on="feature_id")
+    zeros = (n - stats["weight"]).to_numpy()
+    falls = (stats["m3"] - zeros * stats["mean"] ** 3).to_numpy() < 0
+    left0 = _tail(stats["neg"].to_numpy(), zeros, n)
+    right0 = _tail((stats["weight"] - stats["neg"]).to_numpy(), zeros, n)
+    stats = stats.assign(
+        zeros=zeros, falls=falls, left0=left0, right0=right0,
+        skew0=np.where(falls, left0, right0), worst0=np.maximum(left0, right0),
     )
-    per_feature = (
-        per_feature.withColumn("skew0", F.when(F.col("m3") < 0, F.col("left0")).otherwise(F.col("right0")))
-        .withColumn("worst0", F.greatest("left0", "right0"))
-        .persist()
+    base = {p: float(stats[f"{p}0"].sum()) for p in _PARTS}
+    per_feature = rows.sparkSession.createDataFrame(
+        stats[["feature_id", "zeros", "falls", *[f"{p}0" for p in _PARTS]]],
+        "feature_id int, zeros long, falls boolean, " + ", ".join(f"{p}0 double" for p in _PARTS),
     )
-    base = per_feature.agg(*[F.coalesce(F.sum(f"{p}0"), F.lit(0.0)).alias(p) for p in _PARTS]).first().asDict()
-    at_most = F.col("upto") + F.when(value > 0, F.col("zeros")).otherwise(0)
+    at_most = F.col("upto") + F.when(F.col("value") > 0, F.col("zeros")).otherwise(0)
     terms = (
-        tails.join(F.broadcast(per_feature), "feature_id")
+        shifted(runs, sums).join(F.broadcast(per_feature), "feature_id")
         .withColumn("left", -F.log(at_most / n))
-        .withColumn("right", -F.log((n - at_most + weight) / n))
-        .withColumn("skew", F.when(F.col("m3") < 0, F.col("left")).otherwise(F.col("right")))
+        .withColumn("right", -F.log((n - at_most + F.col("weight")) / n))
+        .withColumn("skew", F.when(F.col("falls"), F.col("left")).otherwise(F.col("right")))
         .withColumn("worst", F.greatest("left", "right"))
         .select("feature_id", "value", *[(F.col(p) - F.col(f"{p}0")).alias(p) for p in _PARTS])
     )
-    return terms, base, tails.count()
+    return terms, base, int(sums["size"].sum())
 
 
 def _scores(rows: DataFrame, terms: DataFrame, base: dict[str, float], size: int, per_feature: bool) -> DataFrame:
-    found = nonzeros(rows).join(broadcast_if_small(terms, size), ["feature_id", "value"])
+    lines = nonzeros(rows, keep_empty=True)
+    found = lines.join(broadcast_if_small(terms, size), ["feature_id", "value"], "left")
     summed = found.groupBy("row_id").agg(*[F.sum(p).alias(p) for p in _PARTS])
     total = {p: F.coalesce(p, F.lit(0.0)) + base[p] for p in _PARTS}
     score = total["worst"] if per_feature else F.greatest(total["left"], total["right"], total["skew"])
-    return rows.select("row_id").join(summed, "row_id", "left").select("row_id", score.alias("score"))
+    return summed.select("row_id", score.alias("score"))
 
 
 class EcodModel(Fitted):

@@ -11,6 +11,7 @@ from oddlog.detectors.iforest import uniform
 from oddlog.detectors.neighbours import distance_score
 from oddlog.operators.nearest import nearest
 from oddlog.operators.scaling import fit_minmax
+from oddlog.session import hold
 
 # Fixed values of the method: box margin, noise width, share of noisy features.
 BOX, NOISE, NOISY = 0.1, 0.2, 0.3
@@ -71,7 +72,9 @@ class LUNAR:
         vectors = told.select(_filled(F.col("nn"), self.k).alias("features"), "label")
         scale = lists.agg(F.avg(distance_score(F.col("nn")))).first()[0] or 1.0
         unit = F.transform(vector_to_array("features"), lambda d: d / F.lit(scale))
+        told = hold(vectors.select(array_to_vector(unit).alias("features"), "label"))
         network = MultilayerPerceptronClassifier(
             layers=[self.k, self.hidden, 2], seed=self.seed, maxIter=self.max_iter
-        ).fit(vectors.select(array_to_vector(unit).alias("features"), "label").persist())
+        ).fit(told)
+        told.unpersist()
         return LunarModel(rows, lists, self.k, network, scale)

@@ -11,6 +11,15 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row.
+
+    A lambda body is evaluated per element, and whatever it captures with it;
+    binding keeps a costly expression out of that loop.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def typed_fill(df: DataFrame, name: str) -> Column:
     """Numeric nulls (and NaN) become 0; anything else becomes text, null ''."""
     column = quoted(name)
@@ -45,16 +54,17 @@ def as_list(df: DataFrame, name: str) -> Column:
     return column if isinstance(df.schema[name].dataType, T.ArrayType) else F.array(column)
 
 
-def nonzeros(df: DataFrame, features: str = "features", keys: tuple[str, ...] = ("row_id",)) -> DataFrame:
-    """Long form ``(keys, feature_id, value)`` of a vector column, zeros left out."""
+def nonzeros(df: DataFrame, features: str = "features", key: str = "row_id", keep_empty: bool = False) -> DataFrame:
+    """Long form ``(key, feature_id, value)`` of a vector column, zeros left out.
+
+    With ``keep_empty`` a row of zeros stays as one line without a feature.
+    """
     vector = F.unwrap_udt(F.col(features))
     entries = F.when(
         vector["type"] == 0, F.arrays_zip(vector["indices"].alias("i"), vector["values"].alias("x"))
     ).otherwise(
         F.transform(vector["values"], lambda x, i: F.struct(i.alias("i"), x.alias("x")))
     )
-    return (
-        df.select(*keys, F.explode(entries).alias("e"))
-        .select(*keys, F.col("e.i").alias("feature_id"), F.col("e.x").alias("value"))
-        .filter("value <> 0")
-    )
+    kept = F.filter(entries, lambda e: e["x"] != 0)
+    lines = F.explode_outer(kept) if keep_empty else F.explode(kept)
+    return df.select(key, lines.alias("e")).select(key, F.col("e.i").alias("feature_id"), F.col("e.x").alias("value"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from oddlog.functions.rows import bound
+
 # Fixed value: runs of two or more word characters, the default word pattern.
 DEFAULT_WORDS = r"[\p{L}\p{N}_]{2,}"
 
@@ -37,7 +39,10 @@ def word_ngrams(tokens: Column, low: int, high: int) -> Column:
     """Space-joined runs of ``low..high`` tokens."""
     if (low, high) == (1, 1):
         return tokens
-    return _runs(F.size(tokens), low, high, lambda i, n: F.concat_ws(" ", F.slice(tokens, i, F.lit(n))))
+    return bound(
+        tokens,
+        lambda ts: _runs(F.size(ts), low, high, lambda i, n: F.concat_ws(" ", F.slice(ts, i, F.lit(n)))),
+    )
 
 
 def char_ngrams(column: Column, low: int, high: int, lowercase: bool = True) -> Column:
@@ -45,7 +50,11 @@ def char_ngrams(column: Column, low: int, high: int, lowercase: bool = True) ->
     text = F.coalesce(column.cast("string"), F.lit(""))
     text = F.lower(text) if lowercase else text
     text = F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]{2,}", " ")
-    return _runs(F.length(text), low, high, lambda i, n: F.substr(text, i, F.lit(n)))
+    # Characters as an array: a run is a slice, not a scan from the start.
+    return bound(
+        F.split(text, ""),
+        lambda cs: _runs(F.size(cs), low, high, lambda i, n: F.array_join(F.slice(cs, i, F.lit(n)), "")),
+    )
 
 
 def terms(

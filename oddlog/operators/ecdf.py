@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
 
 from oddlog.session import freeze
 
@@ -20,28 +21,51 @@ def _running(batches):
         yield pdf.assign(upto=upto.astype("int64"))
 
 
-def tail_counts(long: DataFrame) -> DataFrame:
-    """``(feature_id, value, weight, upto)``: rows equal to and at most a value.
+def sorted_runs(long: DataFrame) -> DataFrame:
+    """``(feature_id, value, weight, _part, upto)``, written once.
 
     Values are counted first, so copies collapse before the sort. A feature
-    may span many partitions: each one sums its own run and is shifted by the
-    runs before it.
+    may span many partitions; ``upto`` runs inside one.
     """
     keys = ["feature_id", "value"]
     counted = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("weight"))
-    sorted_runs = (
+    return freeze(
         counted.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .withColumn("_part", F.spark_partition_id())
         .mapInPandas(_running, "feature_id int, value double, weight long, _part int, upto long")
     )
-    runs = freeze(sorted_runs)
-    # At most one row per partition plus one per feature.
-    sums = runs.groupBy("feature_id", "_part").agg(F.sum("weight").alias("_w"))
-    before = Window.partitionBy("feature_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sums.select("feature_id", "_part", F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_shift"))
+
+
+def run_sums(runs: DataFrame) -> pd.DataFrame:
+    """Sums per feature and partition: one line per feature and per partition edge.
+
+    ``shift`` is the weight of a feature in the partitions before.
+    """
+    value, weight = F.col("value"), F.col("weight")
+    sums = runs.groupBy("feature_id", "_part").agg(
+        F.count(F.lit(1)).alias("size"),
+        F.sum("weight").alias("weight"),
+        F.sum(F.when(value < 0, weight).otherwise(0)).alias("neg"),
+        F.sum(value * weight).alias("total"),
+    ).toPandas().sort_values(["feature_id", "_part"])
+    sums["shift"] = sums.groupby("feature_id")["weight"].cumsum() - sums["weight"]
+    return sums
+
+
+def tail_counts(long: DataFrame) -> DataFrame:
+    """``(feature_id, value, weight, upto)``: rows equal to and at most a value."""
+    runs = sorted_runs(long)
+    return shifted(runs, run_sums(runs))
+
+
+def shifted(runs: DataFrame, sums: pd.DataFrame) -> DataFrame:
+    """Running weights over whole features."""
+    shifts = runs.sparkSession.createDataFrame(
+        sums[["feature_id", "_part", "shift"]], "feature_id int, _part int, shift long"
+    )
     return (
         runs.join(F.broadcast(shifts), ["feature_id", "_part"])
-        .withColumn("upto", F.col("upto") + F.col("_shift"))
-        .drop("_part", "_shift")
+        .withColumn("upto", F.col("upto") + F.col("shift"))
+        .drop("_part", "shift")
     )

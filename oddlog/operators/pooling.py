@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from oddlog.functions.text import char_ngrams
 from oddlog.operators.vocabulary import term_counts
-from oddlog.session import broadcast_if_small
+
+# Token tables up to this size travel to the tasks.
+SHIPPED_VECTORS = 100_000
 
 
 def train_token_vectors(df: DataFrame, tokens: str = "tokens", size: int = 64, seed: int = 7, min_count: int = 1) -> DataFrame:
@@ -42,13 +44,19 @@ def pool(
 ) -> DataFrame:
     """Mean vector of the tokens found; a row without any gets zeros.
 
-    A token is joined once per row with its count as the weight, so a word
-    repeated through a text does not multiply the join.
+    A small vector table travels to the texts, and a row's tokens are summed
+    where they are. A large one is met in a join, once per row and distinct
+    token with the count as weight.
     """
     vector_rows = vectors.count() if vector_rows is None else vector_rows
-    counts = term_counts(df, tokens, key).withColumnRenamed("term", "token")
-    met = counts.join(broadcast_if_small(vectors, vector_rows, 100_000), "token")
-    mean = met.groupBy(key).agg(Summarizer.mean(F.col("vector"), F.col("tf").cast("double")).alias("_m"))
+    if vector_rows <= SHIPPED_VECTORS:
+        lines = df.select(key, F.explode(tokens).alias("token"))
+        met = lines.join(F.broadcast(vectors), "token")
+        mean = met.groupBy(key).agg(Summarizer.mean(F.col("vector")).alias("_m"))
+    else:
+        counts = term_counts(df, tokens, key).withColumnRenamed("term", "token")
+        met = counts.join(vectors, "token")
+        mean = met.groupBy(key).agg(Summarizer.mean(F.col("vector"), F.col("tf").cast("double")).alias("_m"))
     mean = mean.select(key, vector_to_array("_m").alias("_m"))
     zeros = F.array_repeat(F.lit(0.0), size)
     filled = array_to_vector(F.coalesce("_m", zeros))

@@ -6,6 +6,8 @@ import math
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from oddlog.session import hold
+
 # Up to this many distinct values a single exact aggregate is fine.
 DIRECT_VALUES = 1_000_000
 _SPLITS = 64
@@ -56,7 +58,7 @@ def quantiles(df: DataFrame, column: str, shares: list[float], direct: int = DIR
         raise ValueError("no values to take a quantile of")
     if n <= direct:
         return list(rows.agg(F.percentile(column, [float(s) for s in shares])).first()[0])
-    values = rows.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("weight")).persist()
+    values = hold(rows.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("weight")))
     try:
         distinct = values.count()
         if distinct <= direct:

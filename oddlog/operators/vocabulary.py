@@ -31,7 +31,6 @@ def _document_bound(value: float | int, n_docs: int) -> int:
 def vocabulary(
     df: DataFrame,
     tokens: str = "tokens",
-    key: str = "row_id",
     max_features: int | None = None,
     min_df: float | int = 1,
     max_df: float | int = 1.0,
@@ -45,10 +44,16 @@ def vocabulary(
     least, most = _document_bound(min_df, n_docs), _document_bound(max_df, n_docs)
     if most < least:
         raise ValueError("max_df allows fewer documents than min_df")
+    # A row holds its whole text, so its distinct terms need no shuffle: every
+    # token counts once for tf, every distinct one once for df.
+    marked = F.concat(
+        F.transform(tokens, lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
+        F.transform(F.array_distinct(tokens), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))),
+    )
     stats = (
-        term_counts(df, tokens, key)
-        .groupBy("term")
-        .agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
+        df.select(F.explode(marked).alias("m"))
+        .groupBy(F.col("m.term").alias("term"))
+        .agg(F.sum("m.tf").alias("tf"), F.sum("m.df").alias("df"))
         .filter(F.col("df").between(least, most))
     )
     if max_features is not None:

@@ -13,7 +13,7 @@ from oddlog.detectors.base import Shared
 from oddlog.detectors.neighbours import distance_score, transfer_scores
 from oddlog.detectors.thresholds import iqr, mad, zscore
 from oddlog.functions import text
-from oddlog.functions.ratios import RATIO_NAMES, entropy, ratio_columns, with_meaning, words_table
+from oddlog.functions.ratios import RATIO_NAMES, entropy, ratio_columns, ratio_struct, with_meaning, words_table
 from oddlog.functions.rows import finite, is_anomaly, nonzeros, typed_fill
 from oddlog.operators import evaluate as ev, pooling, vocabulary as vb, windows as wd
 from oddlog.operators.nearest import graph, nearest
@@ -25,7 +25,7 @@ from oddlog.operators.tfidf import idf_value, tfidf_long, tfidf_vectors
 from oddlog.plans import search as sr
 from oddlog.plans.config import feature_variants
 from oddlog.plans.jobs import build_features, run
-from oddlog.session import ensure_checkpoint_dir
+from oddlog.session import ensure_checkpoint_dir, hold, spread
 from oddlog.sources.sinks import write_table
 from oddlog.sources.tables import CsvSource, HitSource
 
@@ -37,6 +37,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A text table; a single-file one is shared among the cores first."""
+    return spread(table(spark, sf, name))
+
+
 def six(df: DataFrame, *columns: str) -> DataFrame:
     """Doubles to six places, so that sums in another order compare equal."""
     return df.withColumns({c: F.round(c, 6) for c in columns})
@@ -53,22 +58,23 @@ def embeddings(spark, sf) -> DataFrame:
 
 
 def labelled_documents(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left").withColumn(
+    return texts(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left").withColumn(
         "toxic", F.col("toxic").cast("string")
     )
 
 
-def _ratio_query(name: str, key: str, column: str):
-    def query(spark, sf):
-        df = table(spark, sf, name)
-        parts = ratio_columns(F.col(column))
-        return df.select(key, *[F.round(parts[n], 6).alias(n) for n in RATIOS])
+def url_ratios(spark, sf):
+    parts = ratio_columns(F.col("url"))
+    return table(spark, sf, "pages").select("page_id", *[F.round(parts[n], 6).alias(n) for n in RATIOS])
 
-    return query
+
+def document_ratios(spark, sf):
+    df = texts(spark, sf, "documents").select("doc_id", ratio_struct(F.col("text")).alias("r"))
+    return df.select("doc_id", *[F.round(F.col("r")[n], 6).alias(n) for n in RATIOS])
 
 
 def text_entropy(spark, sf):
-    df = table(spark, sf, "conversations")
+    df = texts(spark, sf, "conversations")
     return df.select("conv_id", "turn", F.round(entropy(F.col("text")), 6).alias("entropy"))
 
 
@@ -76,7 +82,7 @@ def meaning_ratio(spark, sf):
     found = table(spark, sf, "benchmark").select(
         F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{2,}"), F.lit(0))).alias("word")
     )
-    df = with_meaning(table(spark, sf, "documents"), F.col("text"), words_table(found), "doc_id")
+    df = with_meaning(texts(spark, sf, "documents"), F.col("text"), words_table(found), "doc_id")
     return six(df.select("doc_id", "meaning"), "meaning")
 
 
@@ -111,7 +117,7 @@ def hit_flatten_filter(spark, sf):
 
 def hit_text_match(spark, sf):
     query = {"query": {"bool": {"must_not": {"query_string": {"fields": ["text"], "query": "thion STION the"}}}}}
-    hits = table(spark, sf, "conversations").select(
+    hits = texts(spark, sf, "conversations").select(
         F.concat_ws("-", "conv_id", "turn").alias("_id"), F.struct("role", "text").alias("_source")
     )
     return HitSource(spark, table=hits, query=query).load().select("_id", "role")
@@ -142,7 +148,7 @@ def _vocab_query(name, key, column, **kwargs):
     limits = {k: kwargs.pop(k) for k in ("max_features", "max_df", "min_df") if k in kwargs}
 
     def query(spark, sf):
-        source = table(spark, sf, name)
+        source = texts(spark, sf, name)
         if key not in source.columns:
             source = source.withColumn(key, F.concat_ws("-", "conv_id", "turn"))
         return vb.indexed(vb.vocabulary(_terms(source, key, column, **kwargs), **limits))
@@ -204,17 +210,17 @@ def _spread(df: DataFrame, key: str, features: str, *names: str) -> DataFrame:
 
 
 def doc_pool(spark, sf):
-    docs = _terms(table(spark, sf, "documents"), "doc_id", "text", token_pattern=TOKENS, lowercase=False)
+    docs = _terms(texts(spark, sf, "documents"), "doc_id", "text", token_pattern=TOKENS, lowercase=False)
     tokens = docs.select(F.explode("tokens").alias("token")).filter(F.length("token") >= 4).distinct()
-    known = tokens.select("token", _token_shape(F.col("token")).alias("vector"))
+    known = hold(tokens.select("token", _token_shape(F.col("token")).alias("vector")))
     pooled = pooling.pool(docs, known, 3).withColumnRenamed("row_id", "doc_id")
     return _spread(pooled, "doc_id", "features", "v0", "v1", "v2")
 
 
 def subword_vectors(spark, sf):
     def tokens(name):
-        df = table(spark, sf, name).select(text.word_tokens(F.col("text"), "[A-Za-z0-9_]{3,}", False).alias("t"))
-        return df.select(F.explode("t").alias("token")).distinct()
+        df = texts(spark, sf, name).select(text.word_tokens(F.col("text"), "[A-Za-z0-9_]{3,}", False).alias("t"))
+        return hold(df.select(F.explode("t").alias("token")).distinct())
 
     known = tokens("benchmark").select("token", _token_shape(F.col("token")).alias("vector"))
     found = pooling.with_unseen(tokens("documents"), known, pooling.gram_vectors(known))
@@ -225,7 +231,7 @@ def feature_concat(spark, sf):
     """Two columns' features side by side in one vector."""
     chain = {"x.RatiosWrapper": {"params": {"lowercase": False}}}
     (variant,) = feature_variants({"url": chain, "html": chain})
-    base = table(spark, sf, "pages").withColumnRenamed("page_id", "row_id")
+    base = texts(spark, sf, "pages").withColumnRenamed("page_id", "row_id")
     long = nonzeros(build_features(base, variant, {}))
     return long.select(F.col("row_id").alias("page_id"), "feature_id", F.round("value", 4).alias("value"))
 
@@ -256,9 +262,9 @@ def _win_query(size: int, overlap: int, method: str):
 
 def win_features(spark, sf):
     """Mean ratio vectors over windows of ten documents."""
-    parts = ratio_columns(F.col("text"))
-    rows, n = with_position(table(spark, sf, "documents"), ["doc_id"])
-    rows = rows.select("pos", array_to_vector(F.array(parts["alnum"], parts["entropy"])).alias("features"))
+    made = texts(spark, sf, "documents").select("doc_id", ratio_struct(F.col("text")).alias("r"))
+    rows, n = with_position(made, ["doc_id"])
+    rows = rows.select("pos", array_to_vector(F.array("r.alnum", "r.entropy")).alias("features"))
     return _spread(wd.window_features(wd.assign_windows(rows, n, 10, 5)), "win_id", "features", "alnum", "entropy")
 
 
@@ -303,9 +309,9 @@ def ecod_per_feature(spark, sf):
 
 def ecod_terms(spark, sf):
     """Tail scores over sparse word counts of the documents."""
-    docs = _terms(table(spark, sf, "documents"), "doc_id", "text", token_pattern=TOKENS, lowercase=False)
+    docs = _terms(texts(spark, sf, "documents"), "doc_id", "text", token_pattern=TOKENS, lowercase=False)
     vocab = vb.indexed(vb.vocabulary(docs, max_features=300, max_df=0.7)).collect()
-    counts = vb.count_vectors(docs, [r.term for r in vocab]).select("row_id", "features")
+    counts = hold(vb.count_vectors(docs, [r.term for r in vocab]).select("row_id", "features"))
     return six(ECOD().fit(counts).train_scores, "score")
 
 
@@ -345,7 +351,8 @@ def density_scores(spark, sf):
 def contamination_labels(spark, sf):
     shares = [0.1, 0.2, 0.3]
     model = ECOD().fit(url_ratio_vectors(spark, sf))
-    model.train_scores = model.train_scores.withColumn("score", F.round("score", 9)).persist()
+    model.train_scores = model.train_scores.withColumn("score", F.round("score", 9))
+    model.train_scores = hold(model.train_scores)
     cuts = model.cuts(shares)
     sets = ev.label_sets(model.train_scores, {str(c): cuts[c] for c in shares})
     return sets.select("row_id", "variant", "label")
@@ -431,8 +438,8 @@ def sink_roundtrip(spark, sf):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "url_ratios": _ratio_query("pages", "page_id", "url"),
-    "document_ratios": _ratio_query("documents", "doc_id", "text"),
+    "url_ratios": url_ratios,
+    "document_ratios": document_ratios,
     "text_entropy": text_entropy,
     "meaning_ratio": meaning_ratio,
     "hit_flatten_filter": hit_flatten_filter,

@@ -6,7 +6,6 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -20,6 +19,7 @@ from oddlog.operators.windows import (
 )
 from oddlog.plans import config as cf, search as sr
 from oddlog.plans.registry import DETECTORS, FEATURES, numeric_vector
+from oddlog.session import hold
 from oddlog.sources.sinks import append_metrics, metrics_frame, reset, write_anomalies
 from oddlog.sources.tables import require_columns
 
@@ -152,7 +152,7 @@ class Runner:
             unit = _windows(features, truth, self.n_rows, self.window)
             if unit is None:
                 return
-        ready = clean(unit.features).persist(StorageLevel.MEMORY_AND_DISK)
+        ready = hold(clean(unit.features))
         unit.features = ready
         plans = [(e, _scorings(e)) for e in found]
         reach = max((_detector(e, e.settings[ns[0]])[1] for e, groups in plans for _, ns in groups), default=0)
@@ -172,7 +172,7 @@ class Runner:
         for _, numbers in groups:
             fit, _ = _detector(estimator, estimator.settings[numbers[0]])
             model = fit(unit.features, shared)
-            scores = model.train_scores.persist()
+            scores = hold(model.train_scores)
             model.train_scores = scores
             cuts = _cuts(model, estimator, numbers)
             names = {prefix + estimator.settings[n].description: c for n, c in cuts.items()}
@@ -220,7 +220,7 @@ class Runner:
         best = told.pop("best")
         fit, _ = _detector(estimator, estimator.settings[best])
         model = fit(unit.features, shared)
-        scores = model.train_scores.persist()
+        scores = hold(model.train_scores)
         model.train_scores = scores
         name = f"{prefix}{estimator.name}__grid"
         names = {name: _cuts(model, estimator, [best])[best]}

@@ -18,12 +18,13 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from oddlog.detectors import ECOD, KNN, LOF, LUNAR, Density, IForest, Reconstruction
 from oddlog.detectors.thresholds import THRESHOLDS
 from oddlog.functions import text
-from oddlog.functions.ratios import RATIO_NAMES, load_words, ratio_columns, with_meaning
+from oddlog.functions.ratios import RATIO_NAMES, load_words, ratio_struct, with_meaning
 from oddlog.functions.rows import finite_vector
 from oddlog.operators import pooling, vocabulary as vocab
 from oddlog.operators.order import with_position
 from oddlog.operators.reduce import fit_pca, fit_svd
 from oddlog.operators.scaling import fit_minmax
+from oddlog.session import hold
 from oddlog.operators.tfidf import idf_value, tfidf_vectors
 
 
@@ -38,7 +39,7 @@ def _count_vectorizer(
     cache = resources.setdefault("_vocabularies", {})
     key = (column, analyzer, token_pattern, lowercase, tuple(ngram_range), max_features, min_df, max_df)
     if key not in cache:
-        kept = vocab.vocabulary(termed, "_t", "row_id", max_features, min_df, max_df).persist()
+        kept = hold(vocab.vocabulary(termed, "_t", max_features, min_df, max_df))
         size = kept.count()
         if size == 0:
             raise ValueError(f"no terms left for {column!r}: empty texts, or min_df and max_df too strict")
@@ -76,10 +77,10 @@ def _ratios(df: DataFrame, column: str, resources: dict, lowercase=False, meanin
     words = resources.get(meaning_dic_path)
     if words is None and meaning_dic_path and os.path.exists(meaning_dic_path):
         words = load_words(df.sparkSession, meaning_dic_path)
-    parts = ratio_columns(F.col(column), lowercase)
     made = with_meaning(df, F.col(column), words, "row_id", lowercase, "_meaning")
-    listed = F.array(*[parts[n].cast("float") for n in RATIO_NAMES[:-1]], F.col("_meaning").cast("float"))
-    return made.withColumn(column, array_to_vector(listed.cast("array<double>"))).drop("_meaning")
+    made = made.withColumn("_r", ratio_struct(F.col(column), lowercase))
+    listed = F.array(*[F.col("_r")[n].cast("float") for n in RATIO_NAMES[:-1]], F.col("_meaning").cast("float"))
+    return made.withColumn(column, array_to_vector(listed.cast("array<double>"))).drop("_meaning", "_r")
 
 
 def _pool(df: DataFrame, column: str, resources: dict, model=None, pattern=r"[\w.\W]", size=64) -> DataFrame:

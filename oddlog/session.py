@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # A side is broadcast only when its counted rows stay below this bound.
@@ -34,6 +35,21 @@ def freeze(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def hold(df: DataFrame) -> DataFrame:
+    """Keep a reused frame in memory or on disk, in as many partitions as it needs."""
+    df.sparkSession.conf.set("spark.sql.optimizer.canChangeCachedPlanOutputPartitioning", "true")
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Share a table of few splits among all cores before costly row work.
+
+    A large table has more splits than cores and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast for a side whose row count is known to be small."""
     return F.broadcast(df) if rows <= limit else df

@@ -7,7 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from oddlog.functions import text
-from oddlog.functions.ratios import entropy, ratio_columns, with_meaning, words_table
+from oddlog.functions.ratios import entropy, ratio_columns, ratio_struct, with_meaning, words_table
 from oddlog.functions.rows import as_list, finite, is_anomaly, typed_fill
 
 SAMPLES = [
@@ -35,8 +35,9 @@ def expected(s):
 
 def test_ratios_equal_the_definition(spark):
     df = spark.createDataFrame(list(enumerate(SAMPLES)), "row_id int, s string")
-    got = df.select("row_id", *[c.alias(n) for n, c in ratio_columns(F.col("s")).items()]).collect()
-    for row in got:
+    columns = df.select("row_id", *[c.alias(n) for n, c in ratio_columns(F.col("s")).items()])
+    batch = df.select("row_id", ratio_struct(F.col("s")).alias("r")).select("row_id", "r.*")
+    for row in columns.collect() + batch.collect():
         want = expected(SAMPLES[row.row_id])
         assert {n: row[n] for n in want} == pytest.approx(want), SAMPLES[row.row_id]
 
