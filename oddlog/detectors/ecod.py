@@ -25,7 +25,7 @@ def _contributions(rows: DataFrame, n: int) -> tuple[DataFrame, dict[str, float]
     nonzero entry adds its difference to that. Only per-feature sums reach
     the driver.
     """
-    runs = sorted_runs(nonzeros(rows))
+    runs = sorted_runs(nonzeros(rows), n)
     sums = run_sums(runs)
     stats = sums.groupby("feature_id", as_index=False)[["weight", "neg", "total"]].sum()
     stats["mean"] = stats["total"] / n

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from oddlog.session import freeze
+from oddlog.session import freeze, hold
+
+WINDOW_ROWS = 500_000
 
 
 def _running(batches):
@@ -21,14 +23,18 @@ def _running(batches):
         yield pdf.assign(upto=upto.astype("int64"))
 
 
-def sorted_runs(long: DataFrame) -> DataFrame:
-    """``(feature_id, value, weight, _part, upto)``, written once.
+def sorted_runs(long: DataFrame, n_rows: int | None = None) -> DataFrame:
+    """``(feature_id, value, weight, _part, upto)``, computed once.
 
     Values are counted first, so copies collapse before the sort. A feature
-    may span many partitions; ``upto`` runs inside one.
+    may span many partitions; ``upto`` runs inside one. With at most
+    ``WINDOW_ROWS`` rows a feature fits one window group and needs no ranges.
     """
     keys = ["feature_id", "value"]
     counted = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("weight"))
+    if n_rows is not None and n_rows <= WINDOW_ROWS:
+        upto = F.sum("weight").over(Window.partitionBy("feature_id").orderBy("value"))
+        return hold(counted.withColumn("_part", F.lit(0)).withColumn("upto", upto))
     return freeze(
         counted.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)

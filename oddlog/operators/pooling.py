@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from oddlog.functions.text import char_ngrams
+from oddlog.operators.means import vector_mean
 from oddlog.operators.vocabulary import term_counts
 
-# Token tables up to this size travel to the tasks.
-SHIPPED_VECTORS = 100_000
+# Token tables up to this many bytes travel to the tasks.
+SHIPPED_BYTES = 64 << 20
 
 
 def train_token_vectors(df: DataFrame, tokens: str = "tokens", size: int = 64, seed: int = 7, min_count: int = 1) -> DataFrame:
@@ -24,17 +24,20 @@ def _grams(token: Column, low: int, high: int) -> Column:
     return char_ngrams(F.concat(F.lit("<"), token, F.lit(">")), low, high, lowercase=False)
 
 
-def gram_vectors(vectors: DataFrame, low: int = 3, high: int = 6) -> DataFrame:
+def gram_vectors(vectors: DataFrame, size: int, low: int = 3, high: int = 6) -> DataFrame:
     """``(gram, vector)``: mean vector of the known tokens that contain a gram."""
-    grams = vectors.select(F.explode(F.array_distinct(_grams(F.col("token"), low, high))).alias("gram"), "vector")
-    return grams.groupBy("gram").agg(Summarizer.mean(F.col("vector")).alias("vector"))
+    grams = vectors.select(
+        F.explode(F.array_distinct(_grams(F.col("token"), low, high))).alias("gram"), vector_to_array("vector").alias("vector")
+    )
+    return vector_mean(grams, ["gram"], "vector", size)
 
 
-def with_unseen(tokens: DataFrame, vectors: DataFrame, grams: DataFrame, low: int = 3, high: int = 6) -> DataFrame:
+def with_unseen(tokens: DataFrame, vectors: DataFrame, grams: DataFrame, size: int, low: int = 3, high: int = 6) -> DataFrame:
     """Vectors for all of ``tokens``: known ones, else the mean of their grams."""
     known = tokens.select("token").distinct().join(vectors, "token", "left").withColumn("known", F.col("vector").isNotNull())
     missing = known.filter(~F.col("known")).select("token", F.explode(F.array_distinct(_grams(F.col("token"), low, high))).alias("gram"))
-    built = missing.join(grams, "gram").groupBy("token").agg(Summarizer.mean(F.col("vector")).alias("vector"))
+    listed = grams.select("gram", vector_to_array("vector").alias("vector"))
+    built = vector_mean(missing.join(listed, "gram"), ["token"], "vector", size)
     return known.filter("known").select("token", "vector").unionByName(built)
 
 
@@ -49,14 +52,15 @@ def pool(
     token with the count as weight.
     """
     vector_rows = vectors.count() if vector_rows is None else vector_rows
-    if vector_rows <= SHIPPED_VECTORS:
+    vectors = vectors.select("token", vector_to_array("vector").alias("vector"))
+    if vector_rows * (8 * size + 48) <= SHIPPED_BYTES:
         lines = df.select(key, F.explode(tokens).alias("token"))
         met = lines.join(F.broadcast(vectors), "token")
-        mean = met.groupBy(key).agg(Summarizer.mean(F.col("vector")).alias("_m"))
+        mean = vector_mean(met, [key], "vector", size, out="_m")
     else:
         counts = term_counts(df, tokens, key).withColumnRenamed("term", "token")
         met = counts.join(vectors, "token")
-        mean = met.groupBy(key).agg(Summarizer.mean(F.col("vector"), F.col("tf").cast("double")).alias("_m"))
+        mean = vector_mean(met, [key], "vector", size, F.col("tf"), out="_m")
     mean = mean.select(key, vector_to_array("_m").alias("_m"))
     zeros = F.array_repeat(F.lit(0.0), size)
     filled = array_to_vector(F.coalesce("_m", zeros))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
+from oddlog.operators.means import vector_mean
+from oddlog.operators.nearest import vector_width
+
 # The default window.
 WINDOW_DEFAULTS = {"size": 80, "method": "mean", "overlap": 0}
 
@@ -32,10 +34,10 @@ def assign_windows(df: DataFrame, n_rows: int, size: int, overlap: int = 0, pos:
     )
 
 
-def window_features(assigned: DataFrame, method: str = "mean", features: str = "features") -> DataFrame:
-    """Mean (or sum) vector per window."""
-    summary = Summarizer.sum if method == "sum" else Summarizer.mean
-    return assigned.groupBy("win_id").agg(summary(F.col(features)).alias("features"))
+def window_features(assigned: DataFrame, method: str = "mean", features: str = "features", width: int | None = None) -> DataFrame:
+    """Mean (or sum) vector per window, summed up before the shuffle."""
+    width = vector_width(assigned, features) if width is None else width
+    return vector_mean(assigned, ["win_id"], features, width, total=method == "sum", out="features")
 
 
 def window_values(assigned: DataFrame, columns: list[str], method: str = "mean") -> DataFrame:

@@ -223,7 +223,7 @@ def subword_vectors(spark, sf):
         return hold(df.select(F.explode("t").alias("token")).distinct())
 
     known = tokens("benchmark").select("token", _token_shape(F.col("token")).alias("vector"))
-    found = pooling.with_unseen(tokens("documents"), known, pooling.gram_vectors(known))
+    found = pooling.with_unseen(tokens("documents"), known, pooling.gram_vectors(known, 3), 3)
     return _spread(found, "token", "vector", "v0", "v1", "v2")
 
 
@@ -265,7 +265,7 @@ def win_features(spark, sf):
     made = texts(spark, sf, "documents").select("doc_id", ratio_struct(F.col("text")).alias("r"))
     rows, n = with_position(made, ["doc_id"])
     rows = rows.select("pos", array_to_vector(F.array("r.alnum", "r.entropy")).alias("features"))
-    return _spread(wd.window_features(wd.assign_windows(rows, n, 10, 5)), "win_id", "features", "alnum", "entropy")
+    return _spread(wd.window_features(wd.assign_windows(rows, n, 10, 5), width=2), "win_id", "features", "alnum", "entropy")
 
 
 def win_label_max(spark, sf):

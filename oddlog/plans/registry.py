@@ -92,7 +92,7 @@ def _pool(df: DataFrame, column: str, resources: dict, model=None, pattern=r"[\w
         vectors = pooling.train_token_vectors(termed, "_t", size)
     width = vectors.first()["vector"].size
     used = termed.select(F.explode("_t").alias("token"))
-    total = pooling.with_unseen(used, vectors, pooling.gram_vectors(vectors))
+    total = hold(pooling.with_unseen(used, vectors, pooling.gram_vectors(vectors, width), width))
     return pooling.pool(termed, total, width, "_t", out=column).drop("_t")
 
 

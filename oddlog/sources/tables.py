@@ -156,7 +156,7 @@ class HitSource(CachedTable):
         max_docs: int | None = None,
         order_by: Sequence[str] = ("_id",),
         keywords: Sequence[str] = (),
-        partitions: int | None = 4,
+        partitions: int | None = None,
         schema: T.StructType | str | None = None,
     ):
         self.spark, self.path, self.table, self.schema = spark, path, table, schema

@@ -9,6 +9,7 @@ from oddlog.detectors import ECOD, IForest, KNN, LOF, LUNAR, Density, Reconstruc
 from oddlog.detectors.base import Shared, cuts
 from oddlog.detectors.density import cluster_roots
 from oddlog.detectors.neighbours import transfer_scores
+from oddlog.operators import ecdf
 from oddlog.operators.nearest import nearest
 
 
@@ -114,9 +115,10 @@ def ecod_by_hand(x, per_feature=False):
     return np.maximum.reduce([left.sum(1), right.sum(1), skew.sum(1)])
 
 
-@pytest.mark.parametrize("sparse", [False, True])
+@pytest.mark.parametrize("sparse,rows", [(False, 0), (True, 0), (True, 1000)])
 @pytest.mark.parametrize("per_feature", [False, True])
-def test_ecod_definition(spark, sparse, per_feature):
+def test_ecod_definition(spark, sparse, rows, per_feature, monkeypatch):
+    monkeypatch.setattr(ecdf, "WINDOW_ROWS", rows)
     rng = np.random.default_rng(0)
     x = rng.integers(-2, 4, (80, 5)) * (rng.random((80, 5)) < 0.4) * 1.0
     x[:, 4] = np.round(rng.exponential(1, 80), 3) + 1

@@ -11,6 +11,7 @@ from oddlog.detectors.thresholds import iqr, mad, zscore
 from oddlog.operators import evaluate as ev, pooling, vocabulary as vb, windows as wd
 from oddlog.operators.components import components
 from oddlog.operators.ecdf import tail_counts
+from oddlog.operators.means import vector_mean
 from oddlog.operators.order import with_position
 from oddlog.operators.quantile import quantiles
 from oddlog.operators.reduce import fit_pca, fit_svd
@@ -123,13 +124,15 @@ def test_linear_encoders(spark):
         assert np.abs([got[i] for i in range(60)]) == pytest.approx(np.abs((x - mean) @ v), abs=1e-6)
 
 
-def test_pooling(spark):
+@pytest.mark.parametrize("shipped", [0, 1 << 20])
+def test_pooling(spark, shipped, monkeypatch):
+    monkeypatch.setattr(pooling, "SHIPPED_BYTES", shipped)
     vectors = spark.createDataFrame([("aa", Vectors.dense([1.0, 0.0])), ("bb", Vectors.dense([0.0, 2.0]))], ["token", "vector"])
     docs = spark.createDataFrame([(0, ["aa", "bb", "aa"]), (1, []), (2, ["zz"])], "row_id long, tokens array<string>")
     got = dict(pooling.pool(docs, vectors, 2).select("row_id", vector_to_array("features")).collect())
     assert got[0] == pytest.approx([2 / 3, 2 / 3]) and got[1] == got[2] == [0.0, 0.0]
     asked = spark.createDataFrame([("aa",), ("aab",), ("qq",)], "token string")
-    seen = pooling.with_unseen(asked, vectors, pooling.gram_vectors(vectors))
+    seen = pooling.with_unseen(asked, vectors, pooling.gram_vectors(vectors, 2), 2)
     found = {r.token: r.vector.toArray().tolist() for r in seen.collect()}
     assert found == {"aa": [1.0, 0.0], "aab": [1.0, 0.0]}
 
@@ -165,6 +168,18 @@ def test_tail_counts_across_partitions(spark):
     assert got == {k: (c, sum(n for (f, v), n in count.items() if f == k[0] and v <= k[1])) for k, c in count.items()}
 
 
+@pytest.mark.parametrize("width", [2, 200])
+@pytest.mark.parametrize("total", [False, True])
+def test_vector_means(spark, width, total):
+    x = np.random.default_rng(0).integers(0, 9, (12, width)).astype(float)
+    df = spark.createDataFrame([(i % 3, float(1 + i % 2), Vectors.dense(r)) for i, r in enumerate(x)], ["g", "w", "v"])
+    got = {r.g: r.v.toArray() for r in vector_mean(df, ["g"], "v", width, F.col("w"), total).collect()}
+    w = np.array([1.0 + i % 2 for i in range(12)])
+    for g in range(3):
+        want = (x[g::3] * w[g::3, None]).sum(0) / (1 if total else w[g::3].sum())
+        assert got[g] == pytest.approx(want)
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(500, i) for i in range(501, 540)] + [(900, 900)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())

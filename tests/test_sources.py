@@ -75,7 +75,7 @@ def hits(tmp_path):
 
 @pytest.mark.parametrize("keywords", [(), ("rule.name",)])
 def test_hits_flatten_filter_project(spark, hits, keywords):
-    df = HitSource(spark, hits, json.dumps(QUERY), keywords=keywords).load(["rule.rule"])
+    df = HitSource(spark, hits, json.dumps(QUERY), keywords=keywords, partitions=4).load(["rule.rule"])
     assert df.columns == ["rule.rule", "rule.name", "_id", "_index"]
     assert sorted(r["_id"] for r in df.collect()) == ["1", "3"]
     assert df.rdd.getNumPartitions() == 4
