@@ -127,6 +127,9 @@ class Runner:
         require_columns(table, cf.required_columns(self.jobs, self.y), "the table")
         self.spark, self.window, self.folds = table.sparkSession, {**WINDOW_DEFAULTS, **(window or {})}, folds
         self.resources, self.results_path, self.target_path = dict(resources or {}), results_path, target_path
+        if target_path is None:
+            # No rows are written, so only what features, labels and order need is kept.
+            table = table.select(*[quoted(c) for c in dict.fromkeys([*cf.required_columns(self.jobs, self.y), *order_by])])
         # Positions are the row ids of the whole run: windows, folds and joins use them.
         self.rows, self.n_rows = with_position(table, list(order_by), "row_id")
         self.result = Result()
@@ -154,6 +157,8 @@ class Runner:
                 return
         ready = hold(clean(unit.features))
         unit.features = ready
+        if unit.truth is not None:
+            unit.truth = hold(unit.truth)
         plans = [(e, _scorings(e)) for e in found]
         reach = max((_detector(e, e.settings[ns[0]])[1] for e, groups in plans for _, ns in groups), default=0)
         shared = Shared(ready, reach)
@@ -166,6 +171,8 @@ class Runner:
                 self._plain(strategy, prefix, estimator, groups, unit, shared)
         shared.release()
         ready.unpersist()
+        if unit.truth is not None:
+            unit.truth.unpersist()
 
     def _plain(self, strategy, prefix, estimator, groups, unit, shared) -> None:
         scored, rows = [], {}
@@ -231,9 +238,10 @@ class Runner:
 
     def _measure(self, strategy: str, names: dict[str, float], scores: DataFrame, unit: Unit) -> dict[str, dict]:
         """Metric rows of all cuts of one scoring, in one aggregate."""
-        labels = ev.label_sets(scores, names)
+        keep = ("row_id", "score")
         if unit.truth is not None:
-            labels = labels.join(unit.truth, "row_id")
+            scores, keep = scores.join(unit.truth, "row_id"), (*keep, "y")
+        labels = ev.label_sets(scores, names, keep)
         aggregates = [*ev.counts()]
         if self.labelled:
             aggregates += [*ev.confusion(), *ev.spread()]
