@@ -158,3 +158,51 @@ def test_pooling_hashing_and_vector_steps(spark, table):
     vectors = spark.createDataFrame([("shop", Vectors.dense([1.0, 0.0])), ("cart-item", Vectors.dense([0.0, 1.0]))], ["token", "vector"])
     out = run(table, job, ["id"], resources={"vectors": vectors})
     assert out.metrics[0]["n_samples"] == 120
+
+
+def test_hits_with_dotted_columns(spark, tmp_path):
+    lines = [
+        {"_id": f"{i:03}", "_index": "logs", "_source": {"rule": {"rule": "<<%27 zq>> {}" if i == 17 else f"alert tcp any port {i % 7} msg scan"}, "tags": ["a"]}}
+        for i in range(60)
+    ]
+    (tmp_path / "hits.json").write_text("\n".join(map(json.dumps, lines)))
+    from oddlog import HitSource
+
+    hits = HitSource(spark, str(tmp_path / "hits.json"), query={"_source": ["rule.rule", "tags"]}).load(["rule.rule"])
+    jobs = {
+        "tfidf_vae": {
+            "features": {"rule.rule": {
+                COUNT: {"params": {"token_pattern": PATTERN, "lowercase": False, "max_df": 0.7, "max_features": 50, "analyzer": "char", "ngram_range": [2, 2]}},
+                TFIDF: {"params": {"norm": "l1"}}}},
+            "estimators": {"vae": [{"class": "x.VAE", "grid": {"contamination": [0.1]}}]},
+        },
+        "ratio": {
+            "features": {"rule.rule": {"x.RatiosWrapper": {"params": {"lowercase": False}}}},
+            "estimators": {"forest": [{"class": "x.IForest", "params": {"n_estimators": 5}, "grid": {"contamination": [0.1]}}]},
+        },
+    }
+    target = str(tmp_path / "out")
+    out = run(hits, jobs, ["_id"], target_path=target)
+    assert [m["name"] for m in out.metrics] == [
+        "tfidf_vae__rule.rule__CountVectorizer__TfidfTransformerWrapper__vae__contamination=0.1",
+        "ratio__rule.rule__RatiosWrapper__forest__contamination=0.1"]
+    back = spark.read.csv(target, sep=";", header=True)
+    assert back.columns == ["rule.rule", "tags", "_id", "_index", "task", "strategy", "task_key"]
+    assert back.count() == sum(m["n_anomalies"] for m in out.metrics) > 0
+
+
+def test_trained_encodings_and_remaining_detectors(spark, table):
+    jobs = {"j": {
+        "features": {
+            "url": {"x.DocumentPoolWrapper": {"params": {"pattern": PATTERN, "size": 4}}},
+            "body": {COUNT: {"params": {"min_df": 2}}, "x.AutoencoderWrapper": {"params": {"hidden_neurons": [8, 2], "epochs": 3}}},
+        },
+        "estimators": {
+            "lof": [{"class": "x.LOF", "grid": {"n_neighbors": [5, 10]}}],
+            "lunar": [{"class": "x.LUNAR", "params": {"n_neighbours": 5}}],
+            "hdbscan": [{"class": "x.HDBSCAN", "params": {"min_cluster_size": 4}, "threshold": {"contamination": "t.MAD"}}],
+        },
+    }}
+    out = run(table, jobs, ["id"])
+    assert [m["name"].split("__")[-1] for m in out.metrics] == ["n_neighbors=5", "n_neighbors=10", "voted", "lunar", "hdbscan"]
+    assert all(m["n_samples"] == 120 for m in out.metrics)
