@@ -1,9 +1,8 @@
-import math
 
 import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors, SparseVector
-from pyspark.sql import functions as F
+
 
 from oddlog.detectors import ECOD, IForest, KNN, LOF, LUNAR, Density, Reconstruction
 from oddlog.detectors.base import Shared, cuts

@@ -3,7 +3,6 @@ import re
 from collections import Counter
 
 import pytest
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from oddlog.functions import text

@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from pyspark.sql import Row, functions as F
+from pyspark.sql import Row
 
 from oddlog.sources.sinks import append_metrics, metrics_frame, write_anomalies, write_table, reset
 from oddlog.sources.tables import CsvSource, HitSource, flatten
