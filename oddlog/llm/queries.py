@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from oddlog.llm import exact, mixing
+from oddlog.llm import chat, exact, html, mixing, quality, tokens, toxicity
 from oddlog.llm.common import table
 
 NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus mixed to weights of size ** 0.5, as (document, copy) rows in shuffled order."""
     return mixing.mix(table(spark, sf_dir, "documents"), alpha=0.5)
@@ -23,9 +37,29 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(docs).join(digests, "row").drop("row")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.severities(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    turns = turns.unionByName(extra)
+    return chat.digests(chat.read_back(chat.format_turns(turns, chat.text_parts(F.col("text")))))
+
+
 LLM_QUERIES = {
+    "op2_token_counts": op2_token_counts,
+    "op4_html_text": op4_html_text,
+    "op5_quality": op5_quality,
     "op7_mixing": op7_mixing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_toxicity": op9_toxicity,
+    "op10_chat": op10_chat,
 }
 
 LLM_ORACLES = {
