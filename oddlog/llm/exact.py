@@ -43,7 +43,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     looked = sized.join(broadcast_if_small(openings, openings.count()), ["length", "opening"], "left")
     narrow = freeze(looked.select("row", "doc_id", "length", F.when(F.col("recurs"), F.sha2(norm, 256)).alias("full")))
-    groups = (
+    groups = freeze(
         narrow.filter("full IS NOT NULL")
         .groupBy("length", "full")
         .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least"), F.count(F.lit(1)).alias("size"))
@@ -51,7 +51,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .select("length", "full", F.col("least.doc_id").alias("first_id"), F.col("least.row").alias("first_row"), "size")
     )
     alone = F.col("size").isNull()
-    return narrow.join(groups, ["length", "full"], "left").select(
+    return narrow.join(broadcast_if_small(groups, groups.count()), ["length", "full"], "left").select(
         "row",
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("first_id")).alias("keep_id"),
