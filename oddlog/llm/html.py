@@ -202,7 +202,7 @@ def templates(pages: DataFrame) -> DataFrame:
 
     What is gathered for a host stands on half of its pages at least, so it is at most twice a mean page's elements.
     """
-    found = pages.select(host_of(F.col("url")), F.col("html").cast("string")).mapInArrow(_tokens, TOKENS)
+    found = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(_tokens, TOKENS)
     tokens = freeze(
         found.groupBy("host", "token").agg(
             F.max("path").alias("path"), F.bool_and("container").alias("container"), F.sum("pages").alias("pages"),
