@@ -5,12 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from oddlog.llm import chat, exact, html, mixing, quality, tokens, toxicity
+from oddlog.llm import chat, decontaminate, exact, html, mixing, quality, substring, tokens, toxicity
 from oddlog.llm.common import table
 
 NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -24,6 +28,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document contains."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus mixed to weights of size ** 0.5, as (document, copy) rows in shuffled order."""
     return mixing.mix(table(spark, sf_dir, "documents"), alpha=0.5)
@@ -53,9 +62,11 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_token_counts": op2_token_counts,
     "op4_html_text": op4_html_text,
     "op5_quality": op5_quality,
+    "op6_decontamination": op6_decontamination,
     "op7_mixing": op7_mixing,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,
@@ -63,6 +74,17 @@ LLM_QUERIES = {
 }
 
 LLM_ORACLES = {
+    "op6_decontamination": r"""
+        WITH words AS (
+            SELECT 0 AS kind, doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents
+            UNION ALL
+            SELECT 1, item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') FROM benchmark),
+        sets AS (SELECT kind, id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k+4], ' ')))
+                                       WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words),
+        flat AS (SELECT kind, id, len(s) AS n, unnest(s) AS shingle FROM sets)
+        SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared, any_value(i.n)::BIGINT AS n_item, count(*) / any_value(i.n) AS containment
+        FROM flat d JOIN flat i ON d.kind = 0 AND i.kind = 1 AND d.shingle = i.shingle
+        GROUP BY d.id, i.id HAVING count(*) * 100 >= any_value(i.n) * 80""",
     "op7_mixing": r"""
         WITH sizes AS (SELECT source, sum(length(text))::DOUBLE AS size FROM documents GROUP BY source),
         rates AS (SELECT source, sqrt(size) / (SELECT sum(sqrt(size)) FROM sizes) * (SELECT sum(size) FROM sizes) / size AS rate
