@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from oddlog.llm import chat, decontaminate, exact, html, mixing, quality, substring, tokens, toxicity
+from oddlog.llm import chat, decontaminate, exact, html, mixing, ngram_join, quality, substring, tokens, toxicity
 from oddlog.llm.common import table
 
 NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
@@ -19,6 +19,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -64,6 +68,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_counts": op2_token_counts,
+    "op3_ngram_join": op3_ngram_join,
     "op4_html_text": op4_html_text,
     "op5_quality": op5_quality,
     "op6_decontamination": op6_decontamination,
@@ -74,6 +79,24 @@ LLM_QUERIES = {
 }
 
 LLM_ORACLES = {
+    "op3_ngram_join": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                       '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+        sets AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda k: array_to_string(w[k:k+2], ' ')))
+                                     WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words),
+        flat AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY df, shingle) AS place
+                   FROM (SELECT *, count(*) OVER (PARTITION BY shingle) AS df FROM flat)),
+        heads AS (SELECT * FROM ranked WHERE place <= n - ceil(0.9 * n) + 1),
+        pairs AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM heads a JOIN heads b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+                  AND 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n)),
+        links AS (SELECT a, b FROM pairs JOIN flat x ON x.doc_id = a JOIN flat y ON y.doc_id = b AND y.shingle = x.shingle
+                  GROUP BY a, b HAVING 100 * count(*) >= 90 * (any_value(x.n) + any_value(y.n) - count(*))),
+        edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a)
+        SELECT doc_id, len(s)::BIGINT AS n_shingles, low AS component_id
+        FROM sets JOIN (SELECT a AS doc_id, min(b) AS low FROM reach GROUP BY a) USING (doc_id)""",
     "op6_decontamination": r"""
         WITH words AS (
             SELECT 0 AS kind, doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from oddlog.llm.quality import held_out, labelled_sample
@@ -138,12 +139,11 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> OrdinalModel
     pairs = numbered.select("row", F.explode("features").alias("feature")).join(F.broadcast(listed), "feature").groupBy("row").agg(
         F.collect_list("feature").alias("found")  # at most FEATURES a row
     )
-    got = numbered.select("row", "label").join(pairs, "row", "left").select("label", "found").collect()  # at most SAMPLE rows
-    label = np.array([r.label for r in got])
-    found = [np.array(r.found or [], np.int64).view(np.uint64) for r in got]
-    rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
-    columns = np.searchsorted(chosen, np.concatenate(found))
-    hits = np.bincount(rows, minlength=len(found))
+    got = numbered.select("row", "label").join(pairs, "row", "left").select("label", "found").toArrow().combine_chunks()  # at most SAMPLE rows
+    label = got["label"].to_numpy()
+    hits = pc.fill_null(pc.list_value_length(got["found"]), 0).to_numpy()
+    rows = np.repeat(np.arange(len(label)), hits)
+    columns = np.searchsorted(chosen, pc.list_flatten(got["found"]).to_numpy().astype(np.int64).view(np.uint64))
     low, high = np.quantile(hits[label == 1], [1 / 3, 2 / 3])
     grades = np.where(label == 1, 1 + (hits > low) + (hits > high), 0)
     weights, thresholds = fit_ordinal(rows, columns, grades, len(chosen))
