@@ -7,6 +7,7 @@ of them. The kept rules are compiled into one column expression, so scoring is a
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -102,6 +103,8 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> RuleModel:
         featuresCol="seen", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED, minInstancesPerNode=5, featureSubsetStrategy="0.6"
     ).fit(seen)
     rules = sorted(tree_rules(forest.toDebugString), key=lambda r: sorted(r))
+    if not rules:  # too few rows to cut
+        return RuleModel(math.log(positive / (n - positive)), {})
     names = {s: s for s in STATISTICS}
     met = sample.select("label", *[holds(r, names).cast("double").alias(f"r{k}") for k, r in enumerate(rules)])
     ruled = VectorAssembler(inputCols=met.columns[1:], outputCol="rules").transform(met).select("label", "rules").cache()
