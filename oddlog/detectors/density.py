@@ -19,92 +19,70 @@ from oddlog.operators.quantile import quantiles
 from oddlog.session import freeze, hold
 
 
-def _within(x: np.ndarray, y: np.ndarray, eps: float):
-    """Index pairs at most ``eps`` apart; borderline ones measured exactly."""
+def _close(x: np.ndarray, y: np.ndarray, eps: float):
+    """Index pairs at most ``eps`` apart, a few million comparisons at a time; borderline ones measured exactly."""
     xx, yy = (x * x).sum(1), (y * y).sum(1)
-    slack = 1e-9 * (xx.max() + yy.max()) + 1e-12
-    a_out, b_out = [], []
+    slack = 1e-9 * (xx.max(initial=0.0) + yy.max(initial=0.0)) + 1e-12
     step = max(1, (1 << 22) // max(len(y), 1))
     for at in range(0, len(x), step):
         d2 = xx[at : at + step, None] + yy[None, :] - 2.0 * (x[at : at + step] @ y.T)
         a, b = np.nonzero(d2 <= eps * eps + slack)
-        close = d2[a, b] > eps * eps - slack
-        for i in np.nonzero(close)[0]:
-            close[i] = np.sqrt(((x[at + a[i]] - y[b[i]]) ** 2).sum()) > eps
-        a_out.append(at + a[~close])
-        b_out.append(b[~close])
-    return np.concatenate(a_out), np.concatenate(b_out)
+        near = np.flatnonzero(d2[a, b] > eps * eps - slack)
+        gap = x[at + a[near]] - y[b[near]]
+        far = near[np.sqrt(np.einsum("ij,ij->i", gap, gap)) > eps]
+        yield at + np.delete(a, far), np.delete(b, far)
 
 
-def cluster_roots(core: DataFrame, eps: float, rows_per_block: int | None = None, pivots: int = nn.PIVOTS) -> DataFrame:
+def _merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Roots after linking a and b; only pairs of different groups are kept at a time."""
+    pairs = np.unique(np.stack([root[a], root[b]], 1), axis=0)
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    return local_components(len(root), pairs[:, 0], pairs[:, 1])[root] if len(pairs) else root
+
+
+def cluster_roots(core: DataFrame, eps: float, rows_per_side: int | None = None) -> DataFrame:
     """``(row_id, root)``: rows linked by steps of at most ``eps`` share a root.
 
-    A block settles its own links; two blocks exchange one link per pair of
-    touching local groups, never their row pairs.
+    Points are dealt into blocks by hash. A block settles its own links; two
+    blocks exchange one link per pair of touching local groups, never their
+    row pairs. A point crosses the network once for each block.
     """
     width = nn.vector_width(core)
     rows = nn.unpacked(core, "row_id", "features", width)
-    n = rows.count()
-    per_block = rows_per_block or nn.block_size(width)
-
-    def settle(pdf: pd.DataFrame, name: str) -> np.ndarray:
-        x = nn.to_matrix(pdf.vi, pdf.vv, width)
-        a, b = _within(x, x, eps)
-        return pdf[name].to_numpy()[local_components(len(pdf), a, b)]
-
-    if n <= 2 * per_block:
-        def one(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("id", ignore_index=True)
-            return pd.DataFrame({"row_id": pdf.id, "root": settle(pdf, "id")})
-
-        return rows.groupBy(F.lit(0).alias("all")).applyInPandas(one, "row_id long, root long")
-
     # Copies are one point; it goes by its least row id.
     hashed = rows.withColumn("h", F.xxhash64("vi", "vv"))
-    points = hashed.groupBy("h", "vi", "vv").agg(F.min("id").alias("qid")).withColumn("ids", F.array("qid"))
-    both = rows.withColumn("is_query", F.lit(True))
-    spots = nn._pivots(both, width, pivots)
-    count = len(spots)
-    blocked = nn.arranged_blocks(points, spots, width, n, per_block)
+    points = freeze(hashed.groupBy("h", "vi", "vv").agg(F.min("id").alias("qid")))
+    cores = core.sparkSession.sparkContext.defaultParallelism
+    blocks = nn.cut(points.count(), rows_per_side or nn.side_rows(width), cores)
 
     def own(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("qid", ignore_index=True)
-        return pdf[["h", "qid", "folder", "block", "pd", "vi", "vv"]].assign(local=settle(pdf, "qid"))
+        x = nn.to_matrix(pdf.vi, pdf.vv, width)
+        root = np.arange(len(pdf))
+        for a, b in _close(x, x, eps):
+            root = _merge(root, a, b)
+        return pdf.assign(local=pdf.qid.to_numpy()[root])
 
-    local = freeze(blocked.groupBy("block").applyInPandas(
-        own,
-        "h long, qid long, folder int, block long, pd array<double>, vi array<int>, vv array<double>, local long",
+    local = freeze(points.withColumn("block", F.pmod("h", F.lit(blocks)).cast("int")).groupBy("block").applyInPandas(
+        own, "h long, vi array<int>, vv array<double>, qid long, block int, local long"
     ))
-    asking = nn.ring_bounds(local, ["block"], count, "q").withColumn("reach", F.lit(float(eps)))
-    pairs = nn.candidate_blocks(asking, nn.ring_bounds(local, ["folder", "block"], count, "b"), count)
-    pairs = freeze(nn.in_chunks(pairs.filter("block < other")))
-    kept = ["local", "vi", "vv"]
-    turns = pairs.select("block", F.col("chunk").alias("lc")).distinct()
-    left = local.select("block", *kept).join(turns, "block").withColumnRenamed("block", "lb")
-    right = local.select(F.col("block").alias("other"), *[F.col(c).alias(c) for c in kept]).join(
-        pairs.select(F.col("block").alias("rb"), F.col("chunk").alias("rc"), "other"), "other"
-    ).drop("other")
-
-    def links(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        found = pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        if not len(mine) or not len(theirs):
-            return found
-        a, b = _within(nn.to_matrix(mine.vi, mine.vv, width), nn.to_matrix(theirs.vi, theirs.vv, width), eps)
-        if not len(a):
-            return found
-        names, code = np.unique(
-            np.concatenate([mine.local.to_numpy()[a], theirs.local.to_numpy()[b]]), return_inverse=True
-        )
+
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        mine, theirs = (pdf[pdf.block == pdf[side]] for side in ("low", "high"))
+        names, code = np.unique(np.concatenate([mine.local.to_numpy(), theirs.local.to_numpy()]), return_inverse=True)
+        root = np.arange(len(names))
+        for a, b in _close(nn.to_matrix(mine.vi, mine.vv, width), nn.to_matrix(theirs.vi, theirs.vv, width), eps):
+            root = _merge(root, code[a], code[len(mine) + b])
         # One link per group to the least group it touches: a spanning forest.
-        least = local_components(len(names), code[: len(a)], code[len(a) :])
-        return pd.DataFrame({"a": names, "b": names[least]}).query("a != b")
+        return pd.DataFrame({"a": names, "b": names[root]}).query("a != b")
 
-    across = left.groupBy("lb", "lc").cogroup(right.groupBy("rb", "rc")).applyInPandas(
-        links, "a long, b long"
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    pairs = local.select("block", "local", "vi", "vv", other.alias("other")).filter("block <> other").select(
+        "block", "local", "vi", "vv", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
     )
-    joined = components(across)
+    joined = components(pairs.groupBy("low", "high").applyInPandas(links, "a long, b long"))
     roots = local.join(joined.withColumnRenamed("node", "local"), "local", "left").select(
-        "h", "vi", "vv", "qid", F.coalesce("root", "local").alias("root")
+        "h", "vi", "vv", F.coalesce("root", "local").alias("root")
     )
     same = (hashed.h == roots.h) & (hashed.vv == roots.vv) & hashed.vi.eqNullSafe(roots.vi)
     return hashed.join(roots, same).select(F.col("id").alias("row_id"), "root")
@@ -125,18 +103,18 @@ class Density:
     neighbours = 0
 
     def __init__(self, min_cluster_size: int = 5, min_samples: int | None = None, eps: float | None = None,
-                 rows_per_block: int | None = None):
+                 rows_per_side: int | None = None):
         self.min_cluster_size, self.min_samples = min_cluster_size, min_samples or min_cluster_size
-        self.eps, self.rows_per_block = eps, rows_per_block
+        self.eps, self.rows_per_side = eps, rows_per_side
 
     def fit(self, rows: DataFrame, shared: Shared | None = None) -> DensityModel:
         rows = clean(rows)
-        lists = nn.nearest(rows, k=self.min_samples, include_self=True, rows_per_block=self.rows_per_block)
+        lists = nn.nearest(rows, k=self.min_samples, include_self=True, rows_per_side=self.rows_per_side)
         cores = lists.select("row_id", distance_score(F.col("nn")).alias("core"))
         cores = hold(cores)
         eps = self.eps if self.eps is not None else quantiles(cores, "core", [0.9])[0]
         dense = rows.join(cores.filter(F.col("core") <= eps), "row_id", "left_semi")
-        member = cluster_roots(dense, eps, self.rows_per_block).join(cores, "row_id")
+        member = cluster_roots(dense, eps, self.rows_per_side).join(cores, "row_id")
         groups = member.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.min("core").alias("least"))
         groups = groups.filter(F.col("size") >= self.min_cluster_size)
         inside = member.join(groups, "root").select(

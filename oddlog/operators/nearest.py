@@ -1,23 +1,18 @@
-"""Exact k nearest neighbours over many tasks.
+"""k nearest neighbours over many tasks.
 
-Small inputs are one bounded block. Beyond that:
+Copies of a vector are merged first, keeping the k + 1 smallest row ids. Then queries are dealt into q groups and base
+rows into p, by hash, and each of the p x q cells of the grid is one task: a query crosses the network p times, a base
+row q times. Cells are as many as keep the cores busy, and more once a side would pass SIDE_BYTES. Partial top-k lists
+are merged per query, so no pair of rows leaves a task unless it is in a list.
 
-1. copies of a vector are merged, keeping the k + 1 smallest row ids;
-2. distinct vectors are range-partitioned by their nearest pivots and cut into
-   blocks of bounded size;
-3. every block is searched on its own, which bounds each query's k-th distance;
-4. a block meets another only when the pivot distances of the two (triangle
-   inequality) leave room for a closer neighbour. Folders of blocks are
-   compared first, so the block lists meet by an equi-join;
-5. partial top-k lists are merged per query.
-
-Nothing is dropped and no pair of rows leaves a task unless it is in a
-partial top-k list.
+``method="exact"`` (the default, at every size) meets all cells. ``method="approximate"`` is for tables where every
+pair is too much: rows go to their nearest of some centres, a query looks at its nearest few, and each centre's rows
+are such a grid of their own, so a crowded centre is cut like any other. Its lists may miss neighbours.
 """
 
 from __future__ import annotations
 
-from itertools import accumulate
+import math
 
 import numpy as np
 import pandas as pd
@@ -27,15 +22,19 @@ from pyspark.sql import DataFrame, Window, functions as F
 from oddlog.session import freeze
 
 DENSE_WIDTH = 256
-PIVOTS = 16
-_PIVOT_SAMPLE = 1024
-_FOLDERS = 4096
-_CHUNK = 8
+SIDE_BYTES = 64 << 20
+CENTRES, PROBES = 64, 4
+_PIVOT_SAMPLE = 4096
+
+
+def side_rows(width: int) -> int:
+    """Rows on a side of a cell, by the bytes of their dense matrix."""
+    return int(min(1 << 16, max(128, SIDE_BYTES // (8 * max(width, 1)))))
 
 
-def block_size(width: int) -> int:
-    """Rows per block so that a dense block stays near four megabytes."""
-    return int(min(2048, max(128, (4 << 20) // (8 * max(width, 1)))))
+def cut(rows: int, side: int, cores: int) -> int:
+    """Groups of one side of the grid."""
+    return max(1, min(rows, max(-(-rows // side), math.ceil(math.sqrt(2 * cores)))))
 
 
 def vector_width(df: DataFrame, features: str = "features") -> int:
@@ -72,7 +71,7 @@ def to_matrix(vi: pd.Series, vv: pd.Series, width: int) -> np.ndarray:
     return out
 
 
-def _close_pairs(q: np.ndarray, x: np.ndarray, need: np.ndarray, limit: np.ndarray, own: np.ndarray):
+def _close_pairs(q: np.ndarray, x: np.ndarray, need: np.ndarray, own: np.ndarray):
     """(row, column, distance) of every pair that may be among ``need`` nearest.
 
     A matrix product finds the candidates, an exact difference measures them.
@@ -93,7 +92,7 @@ def _close_pairs(q: np.ndarray, x: np.ndarray, need: np.ndarray, limit: np.ndarr
         if most == 0:
             continue
         kth = np.partition(approx, most - 1, axis=1)[:, most - 1]
-        bound = np.minimum(kth, limit[at:end] ** 2) + slack
+        bound = kth + slack
         rows, cols = np.nonzero((approx <= bound[:, None]) & (need[at:end, None] > 0) & np.isfinite(approx))
         piece = max(1, (1 << 22) // max(q.shape[1], 1))
         for p in range(0, len(rows), piece):
@@ -125,17 +124,17 @@ def _top_lists(rows, cols, dist, ids: list, need: np.ndarray):
     return [gap[a:b] for a, b in zip(first, last)], [member[a:b] for a, b in zip(first, last)]
 
 
-def _nearest_in(queries: pd.DataFrame, base: pd.DataFrame, width: int, skip_own: bool, limit: np.ndarray):
-    """Neighbour lists of ``queries`` (need rows each) among ``base`` (ids)."""
+def _nearest_in(queries: pd.DataFrame, base: pd.DataFrame, width: int):
+    """Neighbour lists of ``queries`` (need rows each) among ``base`` (ids), but for a query's own vector."""
+    if not len(queries) or not len(base):
+        return [[] for _ in range(len(queries))], [[] for _ in range(len(queries))]
     q = to_matrix(queries.vi, queries.vv, width)
     x = to_matrix(base.vi, base.vv, width)
     need = queries.need.to_numpy("int64")
-    own = np.full(len(q), -1)
-    if skip_own:
-        # Query and base come from one frame, so its index tells them apart.
-        at = pd.Series(np.arange(len(base)), index=base.index)
-        own = at.reindex(queries.index).fillna(-1).to_numpy("int64")
-    rows, cols, dist = _close_pairs(q, x, need, limit, own)
+    asked = base.qid.notna().to_numpy()
+    at = pd.Series(np.flatnonzero(asked), index=base.qid.to_numpy()[asked].astype("int64"))
+    own = at.reindex(queries.qid.to_numpy("int64")).fillna(-1).to_numpy("int64")
+    rows, cols, dist = _close_pairs(q, x, need, own)
     return _top_lists(rows, cols, dist, list(base.ids), need)
 
 
@@ -144,19 +143,6 @@ def _objects(values) -> pd.Series:
     return pd.Series(list(values), dtype=object)
 
 
-def _one_block(rows: DataFrame, k: int, width: int, skip_self: bool) -> DataFrame:
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", ignore_index=True)
-        queries = pdf[pdf.is_query].assign(need=k)
-        base = pdf[pdf.is_base]
-        base = base.assign(ids=[[i] for i in base.id])
-        near, who = _nearest_in(queries, base, width, skip_self, np.full(len(queries), np.inf))
-        return pd.DataFrame({"row_id": queries.id.to_numpy(), "nd": _objects(near), "ni": _objects(who)})
-
-    found = rows.groupBy(F.lit(0).alias("all")).applyInPandas(search, "row_id long, nd array<double>, ni array<long>")
-    return found.select("row_id", F.arrays_zip(F.col("nd").alias("dist"), F.col("ni").alias("id")).alias("nn"))
-
-
 def _pivots(rows: DataFrame, width: int, count: int) -> np.ndarray:
     """Far-apart rows of a hash sample; only the balance depends on them."""
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(_PIVOT_SAMPLE).select("vi", "vv").toPandas()
@@ -187,174 +173,89 @@ def _distinct(rows: DataFrame, keep: int, self_join: bool) -> DataFrame:
     )
 
 
-def arranged_blocks(vectors: DataFrame, pivots: np.ndarray, width: int, n_rows: int, rows_per_block: int) -> DataFrame:
-    """Add ``pd`` (pivot distances), ``folder`` and ``block``; written once.
+LISTS = "qid long, nd array<double>, ni array<long>"
 
-    Neighbouring vectors end up in the same blocks; a block holds between one
-    and two times ``rows_per_block`` rows, whatever the spread of the data.
-    """
+
+def _cells(vectors: DataFrame, width: int, centres: np.ndarray, probes: int) -> DataFrame:
+    """Add ``near``: numbers of the ``probes`` nearest centres, the nearest first."""
 
     def place(batches):
         for pdf in batches:
             x = to_matrix(pdf.vi, pdf.vv, width)
-            d2 = (x * x).sum(1)[:, None] + (pivots * pivots).sum(1)[None, :] - 2.0 * x @ pivots.T
-            d = np.sqrt(np.maximum(d2, 0.0))
-            order = np.argsort(d, axis=1, kind="stable")
-            second = order[:, 1] if d.shape[1] > 1 else order[:, 0]
-            yield pdf.assign(
-                pd=list(d), p1=order[:, 0].astype("int32"), p2=second.astype("int32"), r=d.min(axis=1)
-            )
-
-    folders = int(min(_FOLDERS, max(1, -(-n_rows // (16 * rows_per_block)))))
-    order = ["p1", "p2", "r", "h", "qid", "ids"]
-    schema = (
-        "h long, vi array<int>, vv array<double>, ids array<long>, asks boolean, qid long, "
-        "pd array<double>, p1 int, p2 int, r double"
-    )
-    placed = freeze(
-        vectors.select("h", "vi", "vv", "ids", F.col("qid").isNotNull().alias("asks"), F.coalesce("qid", F.lit(0)).alias("qid"))
-        .mapInPandas(place, schema)
-        .repartitionByRange(folders, *order)
-        .sortWithinPartitions(*order)
-        .withColumn("folder", F.spark_partition_id())
-        .withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-        .drop("p1", "p2", "r")
-    )
-    sizes = [(r.folder, r["count"]) for r in sorted(placed.groupBy("folder").count().collect())]
-    blocks = [max(1, n // rows_per_block) for _, n in sizes]
-    starts = [end - b for end, b in zip(accumulate(blocks), blocks)]
-    plan = vectors.sparkSession.createDataFrame(
-        [(f, n, b, s) for (f, n), b, s in zip(sizes, blocks, starts)],
-        "folder int, _n long, _b long, _s long",
-    )
-    block = F.col("_s") + F.floor(F.col("_at") * F.col("_b") / F.col("_n"))
-    return placed.join(F.broadcast(plan), "folder").withColumn("block", block.cast("long")).drop("_at", "_n", "_b", "_s")
-
+            d2 = (centres * centres).sum(1)[None, :] - 2.0 * x @ centres.T
+            yield pdf.assign(near=_objects(np.argsort(d2, axis=1, kind="stable")[:, :probes].astype("int32")))
 
-def ring_bounds(rows: DataFrame, by: list[str], pivots: int, prefix: str) -> DataFrame:
-    """Smallest and largest distance to every pivot per group."""
-    aggs = []
-    for i in range(pivots):
-        aggs += [F.min(F.col("pd")[i]).alias(f"{prefix}lo{i}"), F.max(F.col("pd")[i]).alias(f"{prefix}hi{i}")]
-    return rows.groupBy(*by).agg(*aggs)
+    return vectors.mapInPandas(
+        place, "h long, vi array<int>, vv array<double>, ids array<long>, qid long, near array<int>"
+    )
 
 
-def candidate_blocks(asking: DataFrame, base: DataFrame, pivots: int) -> DataFrame:
-    """Pairs ``(block, other)`` that the pivot bounds cannot rule out.
+def grid(vectors: DataFrame, k: int, width: int, skip_self: bool, side: int, cores: int, probes: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of all cells: queries and base rows with ``cell``, ``a`` and ``b``.
 
-    ``asking``: block, reach, qlo*/qhi*; ``base``: folder, block, blo*/bhi*.
-    Folders number a few thousand at most, so their bounds travel to the
-    tasks; the surviving folders lead to their blocks through an equi-join.
+    ``vectors``: h, vi, vv, ids (as base), qid (as query), near (centres).
     """
-    lows, highs = [f"blo{i}" for i in range(pivots)], [f"bhi{i}" for i in range(pivots)]
-    outer = base.groupBy("folder").agg(
-        *[F.min(c).alias(c) for c in lows], *[F.max(c).alias(c) for c in highs]
-    ).toPandas()
-    f_ids = outer.folder.to_numpy("int32")
-    f_lo, f_hi = outer[lows].to_numpy(float), outer[highs].to_numpy(float)
-    kept = ["block", "reach"] + [f"q{e}{i}" for i in range(pivots) for e in ("lo", "hi")]
-
-    def folders(batches):
-        for pdf in batches:
-            lo = pdf[[f"qlo{i}" for i in range(pivots)]].to_numpy(float)
-            hi = pdf[[f"qhi{i}" for i in range(pivots)]].to_numpy(float)
-            reach = pdf.reach.to_numpy(float)
-            for n in range(len(pdf)):
-                gap = np.maximum(lo[n] - f_hi, f_lo - hi[n]).max(axis=1)
-                near = f_ids[gap <= reach[n] * (1 + 1e-9) + 1e-9]
-                if len(near):
-                    yield pdf.iloc[[n] * len(near)].assign(folder=near)
-
-    fields = ", ".join(["block long", *[f"{c} double" for c in kept[1:]], "folder int"])
-    near = asking.select(*kept).mapInPandas(folders, fields)
-    gaps = [F.col(f"qlo{i}") - F.col(f"bhi{i}") for i in range(pivots)]
-    gaps += [F.col(f"blo{i}") - F.col(f"qhi{i}") for i in range(pivots)]
-    return (
-        near.join(base.withColumnRenamed("block", "other"), "folder")
-        .filter((F.col("block") != F.col("other")) & (F.greatest(*gaps) <= F.col("reach") * (1 + 1e-9) + 1e-9))
-        .select("block", "other")
+    asks = vectors.filter("qid IS NOT NULL").withColumn("cell", F.explode(F.slice("near", 1, probes)))
+    bases = vectors.filter(F.size("ids") > 0).withColumn("cell", F.get("near", F.lit(0)))
+    # One row a centre: centres are a parameter, so the plan of the grid is bounded.
+    size = lambda df, name: df.groupBy("cell").agg(F.count(F.lit(1)).alias(name))
+    found = size(asks, "n_q").join(size(bases, "n_b"), "cell").collect()
+    spark = vectors.sparkSession
+    share = max(1, cores // max(len(found), 1))
+    plan = spark.createDataFrame(
+        [(r.cell, cut(r.n_b, side, share), cut(r.n_q, side, share)) for r in found], "cell int, p int, q int"
+    )
+    deal = lambda salt, n: F.pmod(F.xxhash64("h", F.lit(salt)), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asks.join(F.broadcast(plan), "cell").select(
+        "cell", deal("query", F.col("q")).alias("a"), every("p").alias("b"), "vi", "vv", "qid", F.size("ids").alias("held")
     )
+    right = bases.join(F.broadcast(plan), "cell").select(
+        "cell", every("q").alias("a"), deal("base", F.col("p")).alias("b"), "vi", "vv", "ids", "qid"
+    )
+    return left, right
 
 
-def in_chunks(pairs: DataFrame, size: int = _CHUNK) -> DataFrame:
-    """Number the partners of a block so that a task sees ``size`` at a time."""
-    turn = F.row_number().over(Window.partitionBy("block").orderBy("other")) - 1
-    return pairs.withColumn("chunk", F.floor(turn / size).cast("int"))
-
-
-def _many_blocks(rows, queries, k, width, skip_self, self_join, n_rows, n_queries, rows_per_block, n_pivots):
-    pivots = _pivots(rows, width, n_pivots)
-    count = len(pivots)
-    vectors = arranged_blocks(_distinct(rows, k + 1, self_join), pivots, width, n_rows, rows_per_block)
-
-    def own_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        base = pdf[pdf.ids.map(len) > 0]
-        ask = pdf[pdf.asks]
-        held = ask.ids.map(len).to_numpy("int64") - (1 if skip_self else 0)
-        ask = ask.assign(need=np.maximum(k - np.maximum(held, 0), 0))
-        # The other copies of a query are handled by their ids, not here.
-        near, who = _nearest_in(ask, base, width, True, np.full(len(ask), np.inf))
-        need = ask.need.to_numpy()
-        reach = [(-1.0 if n == 0 else (d[n - 1] if len(d) == n else np.inf)) for n, d in zip(need, near)]
-        return pd.DataFrame({
-            "qid": ask.qid.to_numpy(), "block": ask.block.to_numpy(), "need": need,
-            "reach": np.array(reach, dtype="float64"), "nd": _objects(near), "ni": _objects(who),
-            **{c: _objects(ask[c]) for c in ("ids", "pd", "vi", "vv")},
-        })
-
-    local = freeze(vectors.groupBy("block").applyInPandas(
-        own_block,
-        "qid long, block long, need int, reach double, nd array<double>, ni array<long>, ids array<long>, "
-        "pd array<double>, vi array<int>, vv array<double>",
-    ))
-    asking = local.filter("need > 0")
-    bases = vectors.filter(F.size("ids") > 0)
-    q_meta = ring_bounds(asking, ["block"], count, "q").join(
-        asking.groupBy("block").agg(F.max("reach").alias("reach")), "block"
-    )
-    pairs = freeze(in_chunks(candidate_blocks(q_meta, ring_bounds(bases, ["folder", "block"], count, "b"), count)))
-    left = asking.select("qid", "block", "need", "reach", "pd", "vi", "vv").join(
-        pairs.select("block", "chunk").distinct(), "block"
-    ).withColumnsRenamed({"block": "lb", "chunk": "lc"})
-    right = bases.select(F.col("block").alias("other"), "ids", "pd", "vi", "vv").join(
-        pairs.select(F.col("block").alias("rb"), F.col("chunk").alias("rc"), "other"), "other"
-    ).drop("other")
-
-    def across(ask: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
-        if len(ask) and len(base):
-            rings = np.stack(base.pd.to_numpy())
-            gap = np.stack(ask.pd.to_numpy())
-            apart = np.maximum(rings.min(0) - gap, gap - rings.max(0)).max(1)
-            ask = ask[apart <= ask.reach.to_numpy() * (1 + 1e-9) + 1e-9]
-        if not len(ask) or not len(base):
-            return pd.DataFrame({"qid": np.zeros(0, "int64"), "nd": _objects([]), "ni": _objects([])})
-        near, who = _nearest_in(ask, base, width, False, ask.reach.to_numpy() * (1 + 1e-9) + 1e-12)
+def _search(vectors, queries, k, width, skip_self, side, n_queries, method, centres, probes):
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    if method == "approximate":
+        points = _pivots(vectors.withColumnRenamed("h", "id"), width, centres)
+        vectors = _cells(vectors, width, points, probes)
+    else:
+        vectors, probes = vectors.withColumn("near", F.array(F.lit(0))), 1
+    vectors = freeze(vectors)
+    left, right = grid(vectors, k, width, skip_self, side, cores, probes)
+
+    def meet(ask: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
+        # Other copies of a query are told by their ids, so it needs fewer rows.
+        base = base.rename(columns=lambda c: c.removeprefix("base_"))
+        ask = ask.assign(need=np.clip(k - np.maximum(ask.held.to_numpy() - skip_self, 0), 0, k))
+        near, who = _nearest_in(ask, base, width)
         found = pd.DataFrame({"qid": ask.qid.to_numpy(), "nd": _objects(near), "ni": _objects(who)})
         return found[found.nd.map(len) > 0]
 
-    remote = (
-        left.groupBy("lb", "lc")
-        .cogroup(right.groupBy("rb", "rc"))
-        .applyInPandas(across, "qid long, nd array<double>, ni array<long>")
-    )
-    entries = local.select("qid", "nd", "ni").unionByName(remote)
-    entries = entries.select("qid", F.explode(F.arrays_zip(F.col("nd").alias("dist"), F.col("ni").alias("id"))).alias("e"))
+    keys = ["cell", "a", "b"]
+    right = right.withColumnsRenamed({c: f"base_{c}" for c in right.columns})  # both sides come from one frame
+    lists = left.groupBy(*keys).cogroup(right.groupBy(*[f"base_{c}" for c in keys])).applyInPandas(meet, LISTS)
+    entries = lists.select("qid", F.explode(F.arrays_zip(F.col("nd").alias("dist"), F.col("ni").alias("id"))).alias("e"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("e.dist", "e.id"))
+    # A row is in one cell only, so what several centres find does not repeat.
     best = entries.withColumn("_n", rank).filter(F.col("_n") <= k).groupBy("qid").agg(F.collect_list("e").alias("far"))
+    asks = vectors.filter("qid IS NOT NULL")
     own = F.transform("ids", lambda i: F.struct(F.lit(0.0).alias("dist"), i.alias("id")))
     empty = F.array().cast("array<struct<dist:double,id:long>>")
-    merged = local.select("qid", own.alias("own")).join(best, "qid", "left").select(
+    merged = asks.select("qid", own.alias("own")).join(best, "qid", "left").select(
         "qid", F.slice(F.sort_array(F.concat("own", F.coalesce("far", empty))), 1, k + 1).alias("nn")
     )
-    if local.count() == n_queries:
-        return merged.withColumnRenamed("qid", "row_id"), k
+    if asks.count() == n_queries:
+        return merged.withColumnRenamed("qid", "row_id")
     # Copies among the queries: hand every copy the list of its vector. A hot
     # vector sits on the row side, which adaptive execution splits.
-    names = vectors.filter("asks").select("h", "vi", "vv", "qid")
+    names = asks.select(F.col("h").alias("nh"), F.col("vi").alias("ni"), F.col("vv").alias("nv"), "qid")
     hashed = queries.withColumn("h", F.xxhash64("vi", "vv"))
-    same = (hashed.h == names.h) & (hashed.vv == names.vv) & hashed.vi.eqNullSafe(names.vi)
+    same = (F.col("h") == F.col("nh")) & (F.col("vv") == F.col("nv")) & F.col("vi").eqNullSafe(F.col("ni"))
     mapped = hashed.join(names, same).select(F.col("id").alias("row_id"), "qid")
-    return mapped.join(merged, "qid").select("row_id", "nn"), k
+    return mapped.join(merged, "qid").select("row_id", "nn")
 
 
 def nearest(
@@ -364,14 +265,20 @@ def nearest(
     include_self: bool = False,
     key: str = "row_id",
     features: str = "features",
-    rows_per_block: int | None = None,
-    pivots: int = PIVOTS,
+    rows_per_side: int | None = None,
+    method: str = "exact",
+    centres: int = CENTRES,
+    probes: int = PROBES,
 ) -> DataFrame:
     """``(row_id, nn)``: the k nearest base rows, ``nn`` an ordered array of (dist, id).
 
     Without ``base`` the queries search themselves and a row is not its own
-    neighbour unless ``include_self``. Ties go to the smaller id.
+    neighbour unless ``include_self``. Ties go to the smaller id. Only
+    ``method="approximate"`` uses ``centres`` and ``probes``; its result has a
+    third column, ``approximate``.
     """
+    if method not in ("exact", "approximate"):
+        raise ValueError(f"unknown method {method!r}")
     width = vector_width(queries if base is None else base, features)
     asked = unpacked(queries, key, features, width)
     self_join = base is None
@@ -383,16 +290,12 @@ def nearest(
             held.withColumn("is_query", F.lit(False)).withColumn("is_base", F.lit(True))
         )
     skip_self = self_join and not include_self
-    per_block = rows_per_block or block_size(width)
-    n_rows = rows.count()
-    if n_rows <= 2 * per_block:
-        return _one_block(rows, k, width, skip_self)
-    n_queries = n_rows if self_join else asked.count()
-    lists, k = _many_blocks(
-        rows, asked, k, width, skip_self, self_join, n_rows, n_queries, per_block, pivots
-    )
+    vectors = _distinct(rows, k + 1, self_join).select("h", "vi", "vv", "ids", "qid")
+    side = rows_per_side or side_rows(width)
+    lists = _search(vectors, asked, k, width, skip_self, side, asked.count(), method, centres, probes)
     kept = F.filter("nn", lambda e: e["id"] != F.col("row_id")) if skip_self else F.col("nn")
-    return lists.select("row_id", F.slice(kept, 1, k).alias("nn"))
+    out = lists.select("row_id", F.slice(kept, 1, k).alias("nn"))
+    return out if method == "exact" else out.withColumn("approximate", F.lit(True))
 
 
 def graph(lists: DataFrame) -> DataFrame:

@@ -45,27 +45,40 @@ def test_blocked_neighbours_equal_brute_force(spark, copies, include_self):
     x = cloud(copies=copies)
     ids = np.random.default_rng(5).permutation(len(x)) + 10
     df = frame(spark, x, ids)
-    got = lists(nearest(df, k=6, include_self=include_self, rows_per_block=16, pivots=5))
+    got = lists(nearest(df, k=6, include_self=include_self, rows_per_side=16))
     assert got == brute(x, ids, x, ids, 6, not include_self)
 
 
-def test_one_block_equals_blocked_and_sparse(spark):
+def test_groups_and_sparse_vectors_do_not_change_results(spark):
     rng = np.random.default_rng(2)
     x = (rng.random((90, 300)) < 0.01) * rng.integers(1, 4, (90, 300)).astype(float)
     want = brute(x, range(90), x, range(90), 4, True)
     assert lists(nearest(frame(spark, x, sparse=True), k=4)) == want
-    assert lists(nearest(frame(spark, x, sparse=True), k=4, rows_per_block=10, pivots=4)) == want
-    assert lists(nearest(frame(spark, x), k=4, rows_per_block=10, pivots=4)) == want
+    assert lists(nearest(frame(spark, x, sparse=True), k=4, rows_per_side=10)) == want
+    assert lists(nearest(frame(spark, x), k=4, rows_per_side=10)) == want
 
 
-@pytest.mark.parametrize("rows_per_block", [None, 12])
-def test_queries_against_another_table(spark, rows_per_block):
+@pytest.mark.parametrize("rows_per_side", [None, 12])
+def test_queries_against_another_table(spark, rows_per_side):
     x, q = cloud(240, seed=1), cloud(90, seed=3)
     q[:40] = x[3]
-    got = lists(nearest(frame(spark, q), frame(spark, x), 5, rows_per_block=rows_per_block, pivots=4))
+    got = lists(nearest(frame(spark, q), frame(spark, x), 5, rows_per_side=rows_per_side))
     assert got == brute(q, range(len(q)), x, range(len(x)), 5, False)
 
 
+def test_approximate_lists_are_flagged_and_near(spark):
+    x = cloud(600, copies=50)
+    df = frame(spark, x)
+    want = lists(nearest(df, k=5))
+    found = nearest(df, k=5, method="approximate", centres=12, probes=4, rows_per_side=40)
+    assert found.filter("approximate").count() == len(x)
+    got = lists(found)
+    recall = np.mean([len({i for _, i in got[r]} & {i for _, i in want[r]}) / 5 for r in want])
+    assert recall > 0.9 and all(len(v) == 5 for v in got.values())
+    with pytest.raises(ValueError):
+        nearest(df, method="fast")
+
+
 def test_fewer_rows_than_neighbours(spark):
     x = np.array([[0.0], [1.0], [3.0]])
     assert lists(nearest(frame(spark, x), k=5)) == brute(x, range(3), x, range(3), 5, True)
@@ -183,11 +196,11 @@ def components_by_hand(x, eps):
     return label
 
 
-@pytest.mark.parametrize("rows_per_block", [None, 10])
-def test_cluster_roots_equal_brute_force(spark, rows_per_block):
+@pytest.mark.parametrize("rows_per_side", [None, 10])
+def test_cluster_roots_equal_brute_force(spark, rows_per_side):
     x = np.round(np.random.default_rng(3).random((150, 2)) * 64) / 8
     x[:50] = x[0]
-    got = dict(cluster_roots(frame(spark, x), 0.7, rows_per_block, pivots=4).collect())
+    got = dict(cluster_roots(frame(spark, x), 0.7, rows_per_side).collect())
     want = components_by_hand(x, 0.7)
     assert len(got) == len(x)
     assert [got[i] for i in range(len(x))] == want
