@@ -21,13 +21,15 @@ def bound(value: Column, body) -> Column:
 
 
 def typed_fill(df: DataFrame, name: str) -> Column:
-    """Numeric nulls (and NaN) become 0; anything else becomes text, null ''."""
+    """Numeric nulls (and NaN) become 0, booleans 0 or 1; anything else becomes text, null ''."""
     column = quoted(name)
     kind = df.schema[name].dataType
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         return F.when(column.isNull() | F.isnan(column), F.lit(0).cast(kind)).otherwise(column)
     if isinstance(kind, T.NumericType):
         return F.coalesce(column, F.lit(0).cast(kind))
+    if isinstance(kind, T.BooleanType):
+        return F.coalesce(column.cast("int"), F.lit(0))
     return F.coalesce(column.cast("string"), F.lit(""))
 
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.mllib.linalg import Vectors as OldVectors
 from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, functions as F
 
-# The covariance or Gramian of this many features still fits one process.
+# The covariance of this many features still fits one process. Wider columns take the SVD encoding.
 MAX_WIDTH = 16_384
 
 
@@ -63,10 +63,8 @@ def fit_pca(df: DataFrame, k: int, features: str = "features") -> LinearEncoder:
 
 
 def fit_svd(df: DataFrame, k: int, features: str = "features") -> LinearEncoder:
-    """Right singular vectors of the uncentred matrix."""
-    _check_width(df.select(features).first()[0].size)
-    rows = df.select(features).rdd.map(lambda r: OldVectors.fromML(r[0]))
-    matrix = RowMatrix(rows)
+    """Right singular vectors of the uncentred matrix, for any width; rows stay in the JVM."""
+    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(df.select(features), features))
     found = matrix.computeSVD(min(k, matrix.numCols()))
     components = np.array(found.V.toArray())
     return LinearEncoder(np.zeros(components.shape[0]), _oriented(components))

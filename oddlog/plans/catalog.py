@@ -123,6 +123,34 @@ def hit_text_match(spark, sf):
     return HitSource(spark, table=hits, query=query).load().select("_id", "role")
 
 
+def _hit_query(query):
+    def found(spark, sf):
+        return HitSource(spark, table=nested_hits(spark, sf), query={"query": query}).load().select("_id")
+
+    return found
+
+
+hit_should = _hit_query({"bool": {
+    "should": [{"term": {"event.type": {"value": "error"}}}, {"range": {"event.value": {"gt": 150}}}, {"term": {"props.k": 7}}],
+    "minimum_should_match": 2,
+}})
+hit_terms_exists = _hit_query({"bool": {
+    "filter": [{"terms": {"props.k": [1, 2, 3]}}, {"exists": {"field": "user.id"}}], "must_not": {"prefix": {"event.type": "cl"}},
+}})
+hit_missing_field = _hit_query({"bool": {
+    "must": [{"wildcard": {"event.type": "*r*"}}], "must_not": [{"exists": {"field": "no.field"}}, {"range": {"no.other": {"gte": 1}}}],
+}})
+
+
+def hit_json_scan(spark, sf):
+    """Hits written as JSON lines and read from files."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/hits-{uuid.uuid4().hex}"
+    hits = nested_hits(spark, sf)
+    hits.write.json(path)
+    return HitSource(spark, path, HIT_QUERY, schema=hits.schema).load(["event.type", "props.k"])
+
+
 def hit_max_docs(spark, sf):
     hits = HitSource(spark, table=nested_hits(spark, sf), query=HIT_QUERY, max_docs=100).load()
     return hits.select("_id", F.col("`props.k`").alias("k"))
@@ -244,6 +272,45 @@ def _encode_query(fit, k):
     return query
 
 
+def part_pair(spark, sf, far: bool = False) -> DataFrame:
+    """Two numeric columns of part; with ``far``, each 500th row lies far from all others."""
+    scale = F.when(F.col("p_partkey") % 500 == 0, 1000.0).otherwise(1.0) if far else F.lit(1.0)
+    values = F.array(F.col("p_size") * scale, F.col("p_retailprice") / 100 * scale)
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("row_id"), array_to_vector(values).alias("features"))
+
+
+def _pair_query(fit):
+    def query(spark, sf):
+        rows = part_pair(spark, sf)
+        value = F.get(vector_to_array("features"), F.lit(0))
+        return fit(rows, 1).transform(rows).select("row_id", F.round(value, 4).alias("value"))
+
+    return query
+
+
+def recon_part(spark, sf):
+    return Reconstruction(latent_dim=1).fit(part_pair(spark, sf)).train_scores.select("row_id", F.round("score", 3).alias("score"))
+
+
+def pca_norms(spark, sf):
+    """An encoding with all components keeps the length of every centred row."""
+    rows = embeddings(spark, sf)
+    square = F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x * x)
+    return fit_pca(rows, 64).transform(rows).select("row_id", F.round(F.sqrt(square), 6).alias("norm"))
+
+
+def _far_query(detector):
+    """Rows that score highest, as many as were planted."""
+
+    def query(spark, sf):
+        rows = part_pair(spark, sf, far=True)
+        planted = rows.filter("row_id % 500 = 0").count()
+        scores = detector().fit(rows).train_scores
+        return scores.orderBy(F.desc("score"), "row_id").limit(planted).select("row_id")
+
+    return query
+
+
 def ordered_events(spark, sf) -> tuple[DataFrame, int]:
     return with_position(table(spark, sf, "events").select("event_id", "ts", "value", "event_type"), ["ts", "event_id"])
 
@@ -434,7 +501,15 @@ def sink_roundtrip(spark, sf):
     path = f"{spark.sparkContext.getCheckpointDir()}/sink-{uuid.uuid4().hex}"
     events = table(spark, sf, "events").select("event_id", "event_type", F.col("value").cast("decimal(20,4)").alias("value"), "props")
     write_table(events, path)
-    return CsvSource(spark, path, block_size=None, sep=";").load(["event_id", "props"])
+    return CsvSource(spark, path, sep=";").load(["event_id", "props"])
+
+
+def csv_text_roundtrip(spark, sf):
+    """Whole texts, line breaks included, through the CSV sink and source."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/text-{uuid.uuid4().hex}"
+    write_table(table(spark, sf, "documents").select("doc_id", "lang", "text"), path)
+    return CsvSource(spark, path, sep=";").load(["doc_id", "text"])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -491,4 +566,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "vote_sequence": vote_sequence,
     "grid_search": grid_search,
     "sink_roundtrip": sink_roundtrip,
+    "csv_text_roundtrip": csv_text_roundtrip,
+    "hit_should": hit_should,
+    "hit_terms_exists": hit_terms_exists,
+    "hit_missing_field": hit_missing_field,
+    "hit_json_scan": hit_json_scan,
+    "pca_part": _pair_query(fit_pca),
+    "svd_part": _pair_query(fit_svd),
+    "recon_part": recon_part,
+    "pca_norms": pca_norms,
+    "iforest_far": _far_query(IForest),
+    "iforest_bootstrap_far": _far_query(lambda: IForest(bootstrap=True)),
+    "lunar_far": _far_query(LUNAR),
 }

@@ -128,6 +128,22 @@ HITS = """(SELECT event_id::VARCHAR AS _id, event_type, value, user_id, CAST(pro
       AND NOT coalesce(CAST(props->>'k' AS INT) >= 90, false))"""
 SHAPE = "[length(token) / 7.31::DOUBLE, unicode(token[1:1]) / 7.31::DOUBLE, unicode(token[-1:]) / 7.31::DOUBLE]"
 GRAMS = "list_distinct(flatten([[('<' || token || '>')[i:i + n - 1] for i in range(1, length(token) + 4 - n)] for n in range(3, 7)]))"
+EVENT_HITS = "(SELECT event_id::VARCHAR AS _id, event_type, value, user_id, CAST(props->>'k' AS INT) AS k FROM events)"
+
+
+def _part_axis(centred: bool) -> str:
+    """First axis (v1, v2) of the two part columns: the closed form of a 2 x 2 eigenproblem, largest loading positive."""
+    mean = "avg(x) OVER ()" if centred else "0.0"
+    mean_y = "avg(y) OVER ()" if centred else "0.0"
+    return f"""raw AS (SELECT p_partkey AS row_id, p_size::DOUBLE AS x, p_retailprice / 100 AS y FROM part),
+        c AS (SELECT row_id, x - {mean} AS x, y - {mean_y} AS y FROM raw),
+        g AS (SELECT sum(x * x) AS a, sum(x * y) AS b, sum(y * y) AS c FROM c),
+        e AS (SELECT *, (a + c) / 2 + sqrt(((a - c) / 2) ** 2 + b * b) AS l FROM g),
+        u AS (SELECT b / sqrt(b * b + (l - a) ** 2) AS v1, (l - a) / sqrt(b * b + (l - a) ** 2) AS v2 FROM e),
+        axis AS (SELECT v1 * s AS v1, v2 * s AS v2 FROM (SELECT *, CASE WHEN abs(v1) > abs(v2) THEN sign(v1) ELSE sign(v2) END AS s FROM u))"""
+
+
+FAR = "SELECT p_partkey AS row_id FROM part WHERE p_partkey % 500 = 0"
 FOLDS = """d AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_id, n_chars::DOUBLE AS v,
         CASE WHEN toxic::VARCHAR = '0' THEN 0 ELSE 1 END AS y FROM """ + LABELLED + """),
     s AS (SELECT count(*) AS n, count(*) // 3 AS q, count(*) % 3 AS r FROM d),
@@ -281,4 +297,19 @@ ORACLES: dict[str, str] = {
         SELECT setting, round(m, 6) AS mean_test_score, round(s, 6) AS std_test_score,
             rank() OVER (ORDER BY m DESC)::INT AS rank_test_score FROM means""",
     "sink_roundtrip": "SELECT event_id::VARCHAR AS event_id, event_type, value::DECIMAL(20, 4)::VARCHAR AS value, props FROM events",
+    "csv_text_roundtrip": "SELECT doc_id::VARCHAR AS doc_id, lang, text FROM documents",
+    "hit_should": f"""SELECT _id FROM {EVENT_HITS} WHERE coalesce((event_type = 'error')::INT, 0) + coalesce((value > 150)::INT, 0)
+        + coalesce((k = 7)::INT, 0) >= 2""",
+    "hit_terms_exists": f"SELECT _id FROM {EVENT_HITS} WHERE k IN (1, 2, 3) AND user_id IS NOT NULL AND event_type NOT LIKE 'cl%'",
+    "hit_missing_field": f"SELECT _id FROM {EVENT_HITS} WHERE event_type LIKE '%r%'",
+    "hit_json_scan": f"""SELECT event_type AS "event.type", value AS "event.value", user_id AS "user.id", k AS "props.k",
+        _id, 'events' AS _index FROM {HITS}""",
+    "pca_part": f"WITH {_part_axis(True)} SELECT row_id, round(x * v1 + y * v2, 4) AS value FROM c, axis",
+    "svd_part": f"WITH {_part_axis(False)} SELECT row_id, round(x * v1 + y * v2, 4) AS value FROM c, axis",
+    "recon_part": f"WITH {_part_axis(True)} SELECT row_id, round(abs(y * v1 - x * v2), 3) AS score FROM c, axis",
+    "pca_norms": """WITH v AS (SELECT vec_id AS row_id, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)
+        SELECT row_id, round(sqrt(sum(d * d)), 6) AS norm FROM (SELECT row_id, x - avg(x) OVER (PARTITION BY i) AS d FROM v) GROUP BY row_id""",
+    "iforest_far": FAR,
+    "iforest_bootstrap_far": FAR,
+    "lunar_far": FAR,
 }

@@ -26,7 +26,9 @@ METRICS_SCHEMA = T.StructType([
 ])
 
 
-_CSV = {"sep": ";", "header": True, "escape": '"', "emptyValue": ""}
+_CSV = {
+    "sep": ";", "header": True, "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
 
 
 def _flat_cells(df: DataFrame) -> DataFrame:
