@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from oddlog.llm.words import mix
+
 PACKED = "part int, key binary, proof binary, row binary, pos binary, known binary"
 _NAMES = [c.split()[0] for c in PACKED.split(", ")]
 FOUND = "row bigint, pos binary"
@@ -54,26 +56,31 @@ def pack(key: np.ndarray, proof: np.ndarray, row: np.ndarray, pos: np.ndarray, p
     yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*rows))], _NAMES)
 
 
-def binaries(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+def _binaries(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     """A binary array of the runs of `values` that end at `ends`."""
     offsets = np.concatenate([[0], ends * values.itemsize]).astype(np.int32)
     return pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def _places(table: pa.Table) -> pa.Table:
-    keys, proofs, rows, places, knowns, out_rows, out_pos = [], [], [], [], [], [], []
+def _columns(table: pa.Table, *names: str) -> Iterator[tuple]:
     for batch in table.to_batches():
-        for key, proof, row, pos, known in zip(*[batch.column(k).to_pylist() for k in range(1, 6)]):
-            row, pos = _unpack(row, np.int64), _unpack(pos, np.int32)
-            if key:
-                keys.append(np.frombuffer(key, np.uint64))
-                proofs.append(np.frombuffer(proof, np.uint32))
-                knowns.append(np.unpackbits(np.frombuffer(known, np.uint8))[: len(row)].astype(bool))
-                rows.append(row)
-                places.append(pos)
-            else:
-                out_rows.append(row)
-                out_pos.append(pos)
+        yield from zip(*[batch.column(n).to_pylist() for n in names])
+
+
+def _told(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Places (row, pos) of a part whose key another place has too."""
+    keys, proofs, rows, places, knowns, out_rows, out_pos = [], [], [], [], [], [], []
+    for key, proof, row, pos, known in _columns(table, *_NAMES[1:]):
+        row, pos = _unpack(row, np.int64), _unpack(pos, np.int32)
+        if key:
+            keys.append(np.frombuffer(key, np.uint64))
+            proofs.append(np.frombuffer(proof, np.uint32))
+            knowns.append(np.unpackbits(np.frombuffer(known, np.uint8))[: len(row)].astype(bool))
+            rows.append(row)
+            places.append(pos)
+        else:
+            out_rows.append(row)
+            out_pos.append(pos)
     if keys:
         key, proof, row, pos, known = map(np.concatenate, (keys, proofs, rows, places, knowns))
         order = np.lexsort((proof, key))
@@ -85,13 +92,36 @@ def _places(table: pa.Table) -> pa.Table:
         told = several[np.cumsum(new) - 1] & ~known
         out_rows.append(row[told])
         out_pos.append(pos[told])
-    row, pos = np.concatenate(out_rows), np.concatenate(out_pos)
-    order = np.argsort(row, kind="stable")
-    row, pos = row[order], pos[order]
-    starts = np.flatnonzero(np.diff(row, prepend=row[0] - 1)) if len(row) else np.zeros(0, np.int64)
-    return pa.table({"row": pa.array(row[starts], pa.int64()), "pos": binaries(pos, np.append(starts[1:], len(row))) if len(row) else pa.array([], pa.binary())})
+    return np.concatenate(out_rows), np.concatenate(out_pos)
 
 
-def places(packed: DataFrame) -> DataFrame:
-    """(row, pos) of all places whose key occurs at two places or more; pos holds int32 values."""
-    return packed.groupBy("part").applyInArrow(_places, FOUND)
+def _by_row(table: pa.Table) -> pa.Table:
+    """All places of the rows of a bucket, one record a row."""
+    parts = [(_unpack(row, np.int64), _unpack(pos, np.int32)) for row, pos in _columns(table, "row", "pos")]
+    row, pos = (np.concatenate(p) for p in zip(*parts))
+    order = np.lexsort((pos, row))
+    row, pos = row[order], pos[order]
+    starts = np.flatnonzero(np.diff(row, prepend=row[0] - 1))
+    return pa.table({"row": pa.array(row[starts], pa.int64()), "pos": _binaries(pos, np.append(starts[1:], len(row)))})
+
+
+def places(packed: DataFrame, buckets: int) -> DataFrame:
+    """(row, pos) of all places whose key occurs at two places or more: a record a row, pos its ascending int32 values.
+
+    Answers go back packed as well, a record for each part and bucket of rows.
+    """
+
+    def answer(table: pa.Table) -> pa.Table:
+        row, pos = _told(table)
+        of = (mix(row.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((pos, row, of))
+        of, row, pos = of[order], row[order], pos[order]
+        cuts = np.flatnonzero(np.diff(of, prepend=-1))
+        runs = list(zip(cuts, [*cuts[1:], len(of)]))
+        return pa.table({
+            "bucket": pa.array(of[cuts], pa.int32()), "row": pa.array([_pack(row[a:b]) for a, b in runs], pa.binary()),
+            "pos": pa.array([_pack(pos[a:b]) for a, b in runs], pa.binary()),
+        })
+
+    answers = packed.groupBy("part").applyInArrow(answer, "bucket int, row binary, pos binary")
+    return answers.groupBy("bucket").applyInArrow(_by_row, FOUND)

@@ -28,7 +28,7 @@ PERIOD, COVER = 21, (3, 6, 7, 12, 14)  # a perfect difference set
 
 
 def _spans(column, k: int) -> np.ndarray:
-    return np.unique(np.concatenate([np.frombuffer(b, np.int32) for b in column[k].as_py() or [] if b] or [np.zeros(0, np.int32)]))
+    return np.frombuffer(column[k].as_py() or b"", np.int32)
 
 
 def anchors(docs: DataFrame, window: int, parts: int) -> DataFrame:
@@ -54,7 +54,7 @@ def anchors(docs: DataFrame, window: int, parts: int) -> DataFrame:
 
 
 def windows(hit: DataFrame, window: int, parts: int) -> DataFrame:
-    """Packed windows that hold a repeated anchor, from (row, text, pos lists of anchors)."""
+    """Packed windows that hold a repeated anchor, from (row, text, pos of the anchors, ..)."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, more = Words(), Words(seed=7)
@@ -96,9 +96,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
         raise ValueError(f"windows below {PERIOD} words have no anchors")
     parts = 4 * shuffle_parts(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{id_col}`").alias("doc_id"))
-    gather = lambda packed: places(packed).groupBy("row").agg(F.collect_list("pos").alias("pos"))  # places of one text
-    hits = gather(anchors(rows.select("row", "text"), window, parts))
-    spans = gather(windows(rows.join(hits.hint("merge"), "row").select("row", "text", "pos"), window, parts))
+    hits = places(anchors(rows.select("row", "text"), window, parts), parts)
+    # Both joins ask for the same columns, so that one exchange of the texts serves both.
+    spans = places(windows(rows.join(hits.hint("merge"), "row", "left").select("row", "text", "pos", "doc_id"), window, parts), parts)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
