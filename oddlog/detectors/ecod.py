@@ -2,62 +2,59 @@
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from oddlog.detectors.base import Fitted, clean
 from oddlog.functions.rows import nonzeros
 from oddlog.operators.ecdf import run_sums, shifted, sorted_runs
-from oddlog.session import broadcast_if_small
+from oddlog.session import broadcast_if_small, hold
 
 _PARTS = ("left", "right", "skew", "worst")
 
 
-def _tail(count: np.ndarray, zeros: np.ndarray, n: int) -> np.ndarray:
+def _tail(count: Column, n: int) -> Column:
     """Tail term of a zero entry; 0 where a feature has none."""
-    return np.where(zeros > 0, -np.log(np.maximum(count + zeros, 1) / n), 0.0)
+    return F.when(F.col("zeros") > 0, -F.log(F.greatest(count + F.col("zeros"), F.lit(1)) / n)).otherwise(0.0)
 
 
 def _contributions(rows: DataFrame, n: int) -> tuple[DataFrame, dict[str, float], int]:
     """Tail terms of every nonzero (feature, value), relative to a zero entry.
 
     Zeros are never stored: a row of zeros only scores the returned base, a
-    nonzero entry adds its difference to that. Only per-feature sums reach
-    the driver.
+    nonzero entry adds its difference to that. Per-feature numbers stay a
+    table; only their sums reach the driver.
     """
     runs = sorted_runs(nonzeros(rows), n)
     sums = run_sums(runs)
-    stats = sums.groupby("feature_id", as_index=False)[["weight", "neg", "total"]].sum()
-    stats["mean"] = stats["total"] / n
-    means = rows.sparkSession.createDataFrame(stats[["feature_id", "mean"]], "feature_id int, mean double")
+    lines, size = sums.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    stats = sums.groupBy("feature_id").agg(*[F.sum(c).alias(f"all_{c}") for c in ("weight", "neg", "total")])
+    stats = stats.withColumn("mean", F.col("all_total") / n).withColumn("zeros", n - F.col("all_weight"))
+    means = broadcast_if_small(stats.select("feature_id", "mean"), lines)
     # Second pass around the mean: the sign of the third moment is what counts.
-    centred = runs.join(F.broadcast(means), "feature_id").groupBy("feature_id").agg(
+    centred = runs.join(means, "feature_id").groupBy("feature_id").agg(
         F.sum(F.col("weight") * F.pow(F.col("value") - F.col("mean"), 3)).alias("m3")
     )
-    stats = stats.merge(centred.toPandas(), on="feature_id")
-    zeros = (n - stats["weight"]).to_numpy()
-    falls = (stats["m3"] - zeros * stats["mean"] ** 3).to_numpy() < 0
-    left0 = _tail(stats["neg"].to_numpy(), zeros, n)
-    right0 = _tail((stats["weight"] - stats["neg"]).to_numpy(), zeros, n)
-    stats = stats.assign(
-        zeros=zeros, falls=falls, left0=left0, right0=right0,
-        skew0=np.where(falls, left0, right0), worst0=np.maximum(left0, right0),
-    )
-    base = {p: float(stats[f"{p}0"].sum()) for p in _PARTS}
-    per_feature = rows.sparkSession.createDataFrame(
-        stats[["feature_id", "zeros", "falls", *[f"{p}0" for p in _PARTS]]],
-        "feature_id int, zeros long, falls boolean, " + ", ".join(f"{p}0 double" for p in _PARTS),
+    per_feature = hold(
+        stats.join(centred, "feature_id")
+        .withColumn("falls", F.col("m3") - F.col("zeros") * F.pow("mean", F.lit(3)) < 0)
+        .withColumn("left0", _tail(F.col("all_neg"), n))
+        .withColumn("right0", _tail(F.col("all_weight") - F.col("all_neg"), n))
+        .withColumn("skew0", F.when(F.col("falls"), F.col("left0")).otherwise(F.col("right0")))
+        .withColumn("worst0", F.greatest("left0", "right0"))
+        .select("feature_id", "zeros", "falls", *[f"{p}0" for p in _PARTS])
     )
+    row = per_feature.agg(*[F.coalesce(F.sum(f"{p}0"), F.lit(0.0)).alias(p) for p in _PARTS]).first()
+    base = {p: float(row[p]) for p in _PARTS}
     at_most = F.col("upto") + F.when(F.col("value") > 0, F.col("zeros")).otherwise(0)
     terms = (
-        shifted(runs, sums).join(F.broadcast(per_feature), "feature_id")
+        shifted(runs, sums, lines).join(broadcast_if_small(per_feature, lines), "feature_id")
         .withColumn("left", -F.log(at_most / n))
         .withColumn("right", -F.log((n - at_most + F.col("weight")) / n))
         .withColumn("skew", F.when(F.col("falls"), F.col("left")).otherwise(F.col("right")))
         .withColumn("worst", F.greatest("left", "right"))
         .select("feature_id", "value", *[(F.col(p) - F.col(f"{p}0")).alias(p) for p in _PARTS])
     )
-    return terms, base, int(sums["size"].sum())
+    return terms, base, int(size)
 
 
 def _scores(rows: DataFrame, terms: DataFrame, base: dict[str, float], size: int, per_feature: bool) -> DataFrame:

@@ -56,6 +56,10 @@ class LunarModel(Fitted):
     def score(self, rows: DataFrame) -> DataFrame:
         return self._of(nearest(clean(rows), self.train, self.k))
 
+    def score_lists(self, lists: DataFrame) -> DataFrame:
+        """Scores of rows whose lists among the training rows are known, k long or longer."""
+        return self._of(lists.select("row_id", F.slice("nn", 1, self.k).alias("nn")))
+
 
 class LUNAR:
     def __init__(self, n_neighbours: int = 5, seed: int = 7, hidden: int = 16, max_iter: int = 50):

@@ -29,8 +29,11 @@ class KnnModel(Fitted):
         super().__init__(lists.select("row_id", distance_score(F.col("nn"), method).alias("score")))
 
     def score(self, rows: DataFrame) -> DataFrame:
-        lists = nearest(clean(rows), self.train, self.k)
-        return lists.select("row_id", distance_score(F.col("nn"), self.method).alias("score"))
+        return self.score_lists(nearest(clean(rows), self.train, self.k))
+
+    def score_lists(self, lists: DataFrame) -> DataFrame:
+        """Scores of rows whose lists among the training rows are known, k long or longer."""
+        return lists.select("row_id", distance_score(F.slice("nn", 1, self.k), self.method).alias("score"))
 
 
 class KNN:
@@ -66,7 +69,11 @@ class LofModel(Fitted):
         super().__init__(_outlier_factor(edges, self.lrd, self.lrd))
 
     def score(self, rows: DataFrame) -> DataFrame:
-        edges = graph(nearest(clean(rows), self.train, self.k))
+        return self.score_lists(nearest(clean(rows), self.train, self.k))
+
+    def score_lists(self, lists: DataFrame) -> DataFrame:
+        """As `KnnModel.score_lists`."""
+        edges = graph(lists.select("row_id", F.slice("nn", 1, self.k).alias("nn")))
         return _outlier_factor(edges, _reachability(edges, self.reach), self.lrd)
 
 

@@ -82,6 +82,7 @@ def ratio_columns(column: Column, lowercase: bool = False) -> dict[str, Column]:
     }
 
 
+_STEP_CHARS = 1 << 21
 # Bits of the code point classes.
 _ALNUM, _SPACE, _ILLEGAL, _VOWEL, _LETTER, _PERCENT, _HEX, _KNOWN = (1 << i for i in range(8))
 
@@ -100,36 +101,37 @@ def _class_of(code: int) -> int:
     )
 
 
-def _one_text(text: str, classes: np.ndarray) -> tuple[float, ...]:
-    """``classes`` holds the class of every code point met so far, 0 if new."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="uint32")
-    n = len(codes)
-    if n == 0:
-        return (0.0,) * 7
-    if codes.max() < 0x3000:
-        counts = np.bincount(codes)
-        present = np.nonzero(counts)[0]
-        counts = counts[present]
-    else:
-        present, counts = np.unique(codes, return_counts=True)
-    kinds = classes[present]
-    if (kinds == 0).any():
-        for code in present[kinds == 0]:
-            classes[code] = _class_of(int(code))
-        kinds = classes[present]
-    held = lambda bits: int(counts[(kinds & bits) != 0].sum())
-    encoded = 0
-    if held(_PERCENT):
-        hexed = (classes[codes] & _HEX) != 0
-        encoded = int(((codes[:-2] == 37) & hexed[1:-1] & hexed[2:]).sum()) if n > 2 else 0
+def _counted(texts: list[str], classes: np.ndarray) -> np.ndarray:
+    """The seven statistics of some texts, a row each, all code points at once.
+
+    ``classes`` holds the class of every code point met so far, 0 if new.
+    """
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="uint32")
+    sizes = np.fromiter(map(len, texts), "int64", len(texts))
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    row = np.repeat(np.arange(len(texts)), sizes)
+    # A run is one character of one text with its count.
+    runs, count = np.unique(row << 21 | codes, return_counts=True)
+    of, code = runs >> 21, runs & ((1 << 21) - 1)
+    for new in np.unique(code[classes[code] == 0]):
+        classes[new] = _class_of(int(new))
+    kinds = classes[code]
+    held = lambda bits: np.bincount(of, count * ((kinds & bits) != 0), len(texts))
+    hexed = (classes[codes] & _HEX) != 0
+    at = np.flatnonzero(codes[:-2] == 37) if len(codes) > 2 else np.zeros(0, "int64")
+    at = at[hexed[at + 1] & hexed[at + 2] & (at + 2 < ends[row[at] + 1])]
+    encoded = np.bincount(row[at], minlength=len(texts))
     # Equal counts in any order must give the same number.
-    ordered = np.sort(counts).astype("float64")
-    spread = max(float(np.log2(n) - (ordered * np.log2(ordered)).sum() / n), 0.0)
+    order = np.lexsort((count, of))
+    ordered = count[order].astype("float64")
+    weighted = np.bincount(of[order], ordered * np.log2(ordered), len(texts))
+    n = np.maximum(sizes, 1)
+    spread = np.maximum(np.log2(n) - weighted / n, 0.0)
     vowels = held(_VOWEL)
-    return (
-        held(_ALNUM) / n, (n - held(_ALNUM | _SPACE)) / n, held(_ILLEGAL) / n, 3 * encoded / n,
+    return np.stack([
+        held(_ALNUM) / n, (sizes - held(_ALNUM | _SPACE)) / n, held(_ILLEGAL) / n, 3 * encoded / n,
         spread, vowels / n, (held(_LETTER) - vowels) / n,
-    )
+    ], axis=1)
 
 
 _RATIO_TYPE = T.StructType([T.StructField(name, T.DoubleType()) for name in RATIO_NAMES[:-1]])
@@ -138,7 +140,10 @@ _RATIO_TYPE = T.StructType([T.StructField(name, T.DoubleType()) for name in RATI
 @F.pandas_udf(_RATIO_TYPE)
 def _ratio_batch(texts: pd.Series) -> pd.DataFrame:
     classes = np.zeros(0x110000, dtype="uint8")
-    return pd.DataFrame([_one_text(t, classes) for t in texts], columns=RATIO_NAMES[:-1], dtype="float64")
+    sizes = texts.str.len().to_numpy()
+    step = np.cumsum(sizes) // _STEP_CHARS  # texts of about so many characters at a time
+    parts = [_counted(list(part), classes) for _, part in texts.groupby(step)]
+    return pd.DataFrame(np.concatenate(parts) if parts else np.zeros((0, 7)), columns=RATIO_NAMES[:-1])
 
 
 def ratio_struct(column: Column, lowercase: bool = False) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from oddlog.session import freeze, hold
+from oddlog.session import broadcast_if_small, freeze, hold
 
 WINDOW_ROWS = 500_000
 
@@ -43,7 +43,7 @@ def sorted_runs(long: DataFrame, n_rows: int | None = None) -> DataFrame:
     )
 
 
-def run_sums(runs: DataFrame) -> pd.DataFrame:
+def run_sums(runs: DataFrame) -> DataFrame:
     """Sums per feature and partition: one line per feature and per partition edge.
 
     ``shift`` is the weight of a feature in the partitions before.
@@ -54,24 +54,23 @@ def run_sums(runs: DataFrame) -> pd.DataFrame:
         F.sum("weight").alias("weight"),
         F.sum(F.when(value < 0, weight).otherwise(0)).alias("neg"),
         F.sum(value * weight).alias("total"),
-    ).toPandas().sort_values(["feature_id", "_part"])
-    sums["shift"] = sums.groupby("feature_id")["weight"].cumsum() - sums["weight"]
-    return sums
+    )
+    before = Window.partitionBy("feature_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return hold(sums.withColumn("shift", F.coalesce(F.sum("weight").over(before), F.lit(0))))
 
 
 def tail_counts(long: DataFrame) -> DataFrame:
     """``(feature_id, value, weight, upto)``: rows equal to and at most a value."""
     runs = sorted_runs(long)
-    return shifted(runs, run_sums(runs))
+    sums = run_sums(runs)
+    return shifted(runs, sums, sums.count())
 
 
-def shifted(runs: DataFrame, sums: pd.DataFrame) -> DataFrame:
-    """Running weights over whole features."""
-    shifts = runs.sparkSession.createDataFrame(
-        sums[["feature_id", "_part", "shift"]], "feature_id int, _part int, shift long"
-    )
+def shifted(runs: DataFrame, sums: DataFrame, lines: int) -> DataFrame:
+    """Running weights over whole features; ``lines`` is the size of ``sums``."""
+    shifts = broadcast_if_small(sums.select("feature_id", "_part", "shift"), lines)
     return (
-        runs.join(F.broadcast(shifts), ["feature_id", "_part"])
+        runs.join(shifts, ["feature_id", "_part"])
         .withColumn("upto", F.col("upto") + F.col("shift"))
         .drop("_part", "shift")
     )

@@ -14,9 +14,21 @@ from oddlog.operators.vocabulary import term_counts
 SHIPPED_BYTES = 64 << 20
 
 
+# Texts that one task of a training run takes.
+TRAIN_ROWS = 50_000
+
+
 def train_token_vectors(df: DataFrame, tokens: str = "tokens", size: int = 64, seed: int = 7, min_count: int = 1) -> DataFrame:
-    """Skip-gram vectors ``(token, vector)`` trained on the column itself."""
-    model = Word2Vec(vectorSize=size, seed=seed, minCount=min_count, inputCol=tokens, outputCol="_v").fit(df)
+    """Skip-gram vectors ``(token, vector)`` trained on the column itself.
+
+    Tasks grow with the rows, and their vectors are averaged. Rare tokens of a
+    large column can be left out with ``min_count``: the mean of their n-grams
+    stands for them.
+    """
+    tasks = -(-df.count() // TRAIN_ROWS) or 1
+    model = Word2Vec(
+        vectorSize=size, seed=seed, minCount=min_count, numPartitions=tasks, inputCol=tokens, outputCol="_v"
+    ).fit(df)
     return model.getVectors().select(F.col("word").alias("token"), "vector")
 
 

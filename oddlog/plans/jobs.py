@@ -217,13 +217,14 @@ class Runner:
     def _search(self, strategy, prefix, estimator, groups, unit, shared) -> None:
         n = unit.n_rows if unit.window is None else unit.n_windows
         folded = unit.features.withColumn("fold", sr.fold_of(F.col("row_id"), n, self.folds))
-        scorings = []
+        scorings, reach = [], 0
         for _, numbers in groups:
-            fit, _ = _detector(estimator, estimator.settings[numbers[0]])
+            fit, neighbours = _detector(estimator, estimator.settings[numbers[0]])
+            reach = max(reach, neighbours)
             scorings.append((fit, lambda model, numbers=numbers: _cuts(model, estimator, numbers)))
-        found = sr.fold_scores(folded, unit.truth, scorings, self.folds)
+        found = sr.fold_scores(folded, unit.truth, scorings, self.folds, reach)
         found_rows = sr.ranked(self.spark, found).collect()
-        told = sr.summary(found_rows, estimator.settings)
+        told = sr.summary(found_rows, estimator.settings, sr.fit_times(found))
         best = told.pop("best")
         fit, _ = _detector(estimator, estimator.settings[best])
         model = fit(unit.features, shared)

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import json
+import statistics
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from oddlog.detectors.base import Shared, clean
 from oddlog.operators.evaluate import anomaly_recall, label_sets
+from oddlog.operators.nearest import nearest
+from oddlog.session import hold
 
 DEFAULT_FOLDS = 5
 
@@ -20,27 +25,45 @@ def fold_of(pos: Column, n_rows: int, folds: int) -> Column:
     return F.when(pos < edge, early).otherwise(late).cast("int")
 
 
-def fold_scores(rows: DataFrame, truth: DataFrame, scorings: list, folds: int) -> list[dict]:
-    """Recall per (setting, fold).
+def fold_scores(rows: DataFrame, truth: DataFrame, scorings: list, folds: int, neighbours: int = 0) -> list[dict]:
+    """Recall, fit seconds per (setting, fold).
 
-    ``rows``: row_id, fold, features. ``scorings``: (detector factory,
-    {setting number: contamination or threshold function}) pairs; a detector is
-    fitted once per fold and serves all its cuts.
+    ``rows``: row_id, fold, features. ``scorings``: (detector factory taking
+    rows and shared work, {setting number: contamination or threshold
+    function}) pairs; a detector is fitted once per fold and serves all its
+    cuts. With ``neighbours``, the largest list a detector takes, a fold's
+    training rows and test rows are each searched once for all detectors.
     """
     found = []
     for fold in range(folds):
-        train = rows.filter(F.col("fold") != fold).select("row_id", "features")
-        test = rows.filter(F.col("fold") == fold).select("row_id", "features")
+        train = clean(rows.filter(F.col("fold") != fold))
+        test = clean(rows.filter(F.col("fold") == fold))
+        shared = Shared(train, neighbours)
+        lists = hold(nearest(test, train, neighbours)) if neighbours else None
         for fit, cuts_of in scorings:
-            model = fit(train)
+            start = time.perf_counter()
+            model = fit(train, shared)
             cuts = cuts_of(model)
-            judged = label_sets(model.score(test), {str(i): c for i, c in cuts.items()}, ("row_id", "score"))
+            spent = time.perf_counter() - start
+            scores = model.score_lists(lists) if lists is not None and hasattr(model, "score_lists") else model.score(test)
+            judged = label_sets(scores, {str(i): c for i, c in cuts.items()}, ("row_id", "score"))
             recalls = judged.join(truth, "row_id").groupBy("variant").agg(anomaly_recall().alias("recall"))
             known = {r.variant: r.recall for r in recalls.collect()}
-            found += [{"setting": i, "fold": fold, "recall": float(known.get(str(i), 0.0))} for i in cuts]
+            found += [{"setting": i, "fold": fold, "recall": float(known.get(str(i), 0.0)), "fit": spent} for i in cuts]
+        shared.release()
+        if lists is not None:
+            lists.unpersist()
     return found
 
 
+def fit_times(found: list[dict]) -> dict[int, tuple[float, float]]:
+    """Mean and deviation of the fit seconds per setting."""
+    spent: dict[int, list[float]] = {}
+    for f in found:
+        spent.setdefault(f["setting"], []).append(f["fit"])
+    return {i: (statistics.fmean(s), statistics.pstdev(s)) for i, s in spent.items()}
+
+
 def ranked(spark: SparkSession, found: list[dict]) -> DataFrame:
     """Mean, deviation and rank per setting; rank ties share the lowest rank."""
     scores = spark.createDataFrame(
@@ -54,7 +77,7 @@ def ranked(spark: SparkSession, found: list[dict]) -> DataFrame:
     return means.withColumn("rank_test_score", rank)
 
 
-def summary(ranks: list, settings: list) -> dict:
+def summary(ranks: list, settings: list, times: dict[int, tuple[float, float]]) -> dict:
     """Best setting (the first of equals) and the search table as JSON."""
     rows = sorted(ranks, key=lambda r: r.setting)
     best = min(rows, key=lambda r: (r.rank_test_score, r.setting))
@@ -63,6 +86,8 @@ def summary(ranks: list, settings: list) -> dict:
         "mean_test_score": [r.mean_test_score for r in rows],
         "std_test_score": [r.std_test_score for r in rows],
         "rank_test_score": [r.rank_test_score for r in rows],
+        "mean_fit_time": [times[r.setting][0] for r in rows],
+        "std_fit_time": [times[r.setting][1] for r in rows],
     }
     for name in sorted({k for p in table["params"] for k in p}):
         table[f"param_{name}"] = [p.get(name) for p in table["params"]]
