@@ -31,13 +31,22 @@ def shingles(words: Column, make) -> Column:
     return F.when(F.size(words) >= WORDS, runs).when(F.size(words) > 0, F.array(make(words))).otherwise(F.slice(F.array(make(words)), 1, 0))
 
 
+def _text_sets(df: DataFrame, name: str) -> DataFrame:
+    """The distinct shingles as text, in place of the text. The words are a column of their own: inside a lambda an
+    expression is computed for every element."""
+    return df.withColumn("words", words_of("text")).select(
+        *[c for c in df.columns if c != "text"], F.array_distinct(shingles(F.col("words"), lambda w: F.concat_ws(" ", w))).alias(name)
+    )
+
+
 def _needed(n: Column, share: int) -> Column:
     return F.ceil(n * share / F.lit(100)).cast("int")
 
 
 def sketches(items: DataFrame, share: int = SHARE) -> DataFrame:
     """(item_id, key, needed): the sketch of each item with a word, by the bound of its size partition."""
-    hashed = items.select("item_id", F.array_distinct(shingles(words_of("text"), F.xxhash64)).alias("set")).filter("size(set) > 0")
+    worded = items.select("item_id", words_of("text").alias("words"))
+    hashed = worded.select("item_id", F.array_distinct(shingles(F.col("words"), F.xxhash64)).alias("set")).filter("size(set) > 0")
     size = F.size("set")
     bound = F.pow(F.lit(2), F.floor(F.log2(size)) + 1).cast("int") - 1
     ranked = F.array_sort(F.transform("set", lambda s: F.struct(F.xxhash64(s, F.lit("minhash")).alias("rank"), s.alias("key"))))
@@ -62,12 +71,17 @@ def contaminated(docs: DataFrame, items: DataFrame, share: int = SHARE) -> DataF
     pairs = freeze(
         found.join(broadcast_if_small(keys, keys.count()), "key").filter("n_words >= needed").select("doc_id", "item_id").distinct()
     )
-    texts = lambda df, name: df.withColumn(name, F.array_distinct(shingles(words_of("text"), lambda w: F.concat_ws(" ", w)))).drop("text")
-    doc, item = pairs.select(F.col("doc_id").alias("d"), F.col("item_id").alias("i")), texts(items, "item_set")
-    sets = docs.join(broadcast_if_small(doc, doc.count()), F.col("doc_id").eqNullSafe(F.col("d")))
-    both = texts(sets, "doc_set").join(broadcast_if_small(item, item.count()), F.col("i").eqNullSafe(F.col("item_id")))
-    shared = both.select("doc_id", "item_id", F.size(F.array_intersect("item_set", "doc_set")).alias("n_shared"), F.size("item_set").alias("n_item"))
-    enough = shared.filter(F.col("n_shared") * 100 >= F.col("n_item") * share).filter("n_item > 0")
+    doc, item = pairs.select(F.col("doc_id").alias("d"), F.col("item_id").alias("i")), _text_sets(items, "item_set")
+    item = item.withColumn("n_item", F.size("item_set")).filter("n_item > 0")
+    wanted = broadcast_if_small(doc.select("d").distinct(), doc.count())
+    sets = _text_sets(docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("d"))).select("doc_id", "text"), "doc_set")
+    both = sets.join(broadcast_if_small(doc, doc.count()), F.col("doc_id").eqNullSafe(F.col("d"))).join(
+        broadcast_if_small(item, item.count()), F.col("i").eqNullSafe(F.col("item_id"))
+    )
+    counted = both.select("doc_id", "item_id", "n_item", F.size(F.array_intersect("item_set", "doc_set")).alias("n_shared"))
+    # Rows that repeat an id are summed up before anything else looks at the count, so it is counted once.
+    most = counted.groupBy("doc_id", "item_id", "n_item").agg(F.max("n_shared").alias("n_shared"))
+    enough = most.filter(F.col("n_shared") * 100 >= F.col("n_item") * share)
     best = enough.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("n_shared") / F.col("n_item"), "n_shared", "n_item")).alias("best"))
     return best.select(
         "doc_id", "item_id", F.col("best.n_shared").cast("long").alias("n_shared"), F.col("best.n_item").cast("long").alias("n_item"),

@@ -213,7 +213,7 @@ class Tree:
 
         `group` says which component each set is in (the caller updates it between steps), `own` which each probe is.
         """
-        step = max(1, min(64, (1 << 25) // max(width, 1), (1 << 21) // max(len(self.sets), 1)))
+        step = max(1, min(64, (1 << 25) // max(width, 1), (1 << 21) // max(len(self.ranks), 1)))
         for base in range(0, len(probes), step):
             some = probes[base : base + step]
             has = np.zeros((len(some), width), bool)
