@@ -45,7 +45,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             low.select("u", F.col("m").alias("v"))
         )
-        links = freeze(small.filter("u <> v").distinct())
+        links = freeze(small.filter("u <> v").distinct(), 2 * seen[0])
         now = mark(links)
         if now == seen:
             break

@@ -25,14 +25,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
 
 
-def freeze(df: DataFrame) -> DataFrame:
+# Narrow rows that one file of a checkpoint of known size should hold.
+FILE_ROWS = 250_000
+
+
+def freeze(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Write ``df`` once to the checkpoint folder and read it from there on.
 
     Range exchanges pick their bounds from a sample, so whatever is derived
-    from a partition number must not be evaluated twice.
+    from a partition number must not be evaluated twice. ``rows``, a bound on
+    the rows of a narrow frame, keeps a small one from many tiny files.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    return (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).checkpoint()
 
 
 def hold(df: DataFrame) -> DataFrame:
