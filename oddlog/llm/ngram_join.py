@@ -276,7 +276,7 @@ def join_block(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num:
     return root
 
 
-BLOCKS = "bin string, family bigint, node bigint, side int, members binary"
+EDGES = "a bigint, b bigint"
 
 
 def _joined(num: int, den: int):
@@ -328,18 +328,20 @@ def near_classes(docs: DataFrame, n: int = NGRAM, num: int = NUM, den: int = DEN
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     scan = freeze(_scan(rows, n, num, den, parts))
     seen = scan.filter("part IS NULL").select("doc_id", "n", "k1", "k2")
-    edges = scan.filter("part IS NOT NULL").select("part", "sign", "class").groupBy("part").applyInArrow(_agreements, "a bigint, b bigint")
+    edges = scan.filter("part IS NOT NULL").select("part", "sign", "class").groupBy("part").applyInArrow(_agreements, EDGES)
     families = components(edges)  # (node, root), nodes are classes (k1)
     return _classes(rows, seen, families, n, num, den)
 
 
 def _classes(rows: DataFrame, seen: DataFrame, families: DataFrame, n: int, num: int, den: int) -> DataFrame:
     spark = rows.sparkSession
-    ids = freeze(seen.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")))
+    n_docs = seen.count()
+    ids = freeze(seen.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id")), n_docs)
     sizes = families.groupBy("root").agg(F.count(F.lit(1)).alias("family_size"))
     member = families.join(sizes, "root").select(F.col("node").alias("k1"), F.col("root").alias("family"), "family_size")
     chosen = freeze(
-        ids.join(member, "k1").select("doc_id", F.col("k1").alias("node"), "family", "family_size", F.xxhash64("k1").alias("place")).filter("doc_id IS NOT NULL")
+        ids.join(member, "k1").select("doc_id", F.col("k1").alias("node"), "family", "family_size", F.xxhash64("k1").alias("place")).filter("doc_id IS NOT NULL"),
+        n_docs,
     )
     few = broadcast_if_small(chosen, chosen.count())
     sets = _sets_of(rows.join(few, "doc_id").select("text", "node", "family", "family_size", "place"), n)
@@ -358,14 +360,11 @@ def _classes(rows: DataFrame, seen: DataFrame, families: DataFrame, n: int, num:
     whole = dealt.filter("blocks = 1").select(
         F.pmod(F.xxhash64("family"), F.lit(bins)).cast("string").alias("bin"), "family", "node", F.lit(2).alias("side"), "members"
     )
-    links = whole.unionByName(paired).groupBy("bin").applyInArrow(_joined(num, den), "a bigint, b bigint")
+    links = whole.unionByName(paired).groupBy("bin").applyInArrow(_joined(num, den), EDGES)
     linked = components(links)  # (node, root) of classes with links
-    least = freeze(
-        linked.join(ids.select(F.col("k1").alias("node"), "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    )
+    least = linked.join(ids.select(F.col("k1").alias("node"), "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_class = ids.join(linked, F.col("k1") == F.col("node"), "left").join(least, "root", "left").select(
         "k1", "k2", F.coalesce("component_id", "doc_id").alias("component_id")
     )
-    of_class = freeze(of_class)
-    out = seen.join(broadcast_if_small(of_class, of_class.count()), ["k1", "k2"], "left")
+    out = seen.join(broadcast_if_small(of_class, ids.count()), ["k1", "k2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
