@@ -94,11 +94,12 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     """
     if window < PERIOD:
         raise ValueError(f"windows below {PERIOD} words have no anchors")
-    parts = 4 * shuffle_parts(docs.sparkSession)
+    buckets = shuffle_parts(docs.sparkSession)
+    parts = 4 * buckets
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{id_col}`").alias("doc_id"))
-    hits = places(anchors(rows.select("row", "text"), window, parts), parts)
+    hits = places(anchors(rows.select("row", "text"), window, parts), buckets)
     # Both joins ask for the same columns, so that one exchange of the texts serves both.
-    spans = places(windows(rows.join(hits.hint("merge"), "row", "left").select("row", "text", "pos", "doc_id"), window, parts), parts)
+    spans = places(windows(rows.join(hits.hint("merge"), "row", "left").select("row", "text", "pos", "doc_id"), window, parts), buckets)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
