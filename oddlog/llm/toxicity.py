@@ -1,6 +1,6 @@
 """Severity of toxic texts by cumulative-link ordinal regression over sparse text features.
 
-Features are which words a text has, and which openings of 4 and 5 bytes its longer words have, as 64-bit hashes of
+Features are which words a text has, and which openings of 4, 5, 6 and 8 bytes its longer words have, as 64-bit hashes of
 lower-cased words. P(grade >= k) = sigmoid(w x - t_k) with one weight vector for all ordered thresholds t_1 < t_2 <
 t_3. Labels only say toxic or not; toxic rows are graded 1 to 3 by thirds of how many of the chosen features they
 have. A fit reads a bounded sample (`SAMPLE` rows) and keeps at most `FEATURES` features, so the table each scoring
@@ -24,7 +24,7 @@ from oddlog.session import freeze
 SAMPLE = 20_000
 FEATURES = 4_096
 GRADES = 3
-OPENINGS = (4, 5)
+OPENINGS = (4, 5, 6, 8)
 _BITS = 22
 
 
@@ -109,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> OrdinalModel
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(lower=True, keep_marks=False)
         for batch in batches:
-            for low, high, data, offsets in slices(batch.column(1)):
+            for low, high, data, offsets in slices(batch.column(1), 1 << 20):
                 rows, features = _distinct(*text_features(words, data, offsets))
                 ends = np.searchsorted(rows, np.arange(high - low + 1))
                 each = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(features.view(np.int64))).cast(pa.list_(pa.int64()))
