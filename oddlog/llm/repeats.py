@@ -2,7 +2,7 @@
 
 Keys travel as packed arrays with the place they were seen at: a row of the shuffle holds all keys of one slice of
 texts that belong to one part of the key space. A slice sends each key once, however often it has it, so a key that a
-third of all texts share is as many entries as there are slices. Parts are four to a shuffle partition, each sorted
+third of all texts share is as many entries as there are slices. Parts are two to a shuffle partition, each sorted
 in one task's memory; `spark.sql.shuffle.partitions` is what keeps them small.
 """
 

@@ -94,8 +94,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     """
     if window < PERIOD:
         raise ValueError(f"windows below {PERIOD} words have no anchors")
-    buckets = shuffle_parts(docs.sparkSession)
-    parts = 4 * buckets
+    tasks = shuffle_parts(docs.sparkSession)
+    parts, buckets = 2 * tasks, max(1, tasks // 2)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{id_col}`").alias("doc_id"))
     hits = places(anchors(rows.select("row", "text"), window, parts), buckets)
     # Both joins ask for the same columns, so that one exchange of the texts serves both.
