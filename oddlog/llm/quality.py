@@ -115,10 +115,12 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> RuleModel:
 
 def with_score(docs: DataFrame, model: RuleModel, text_col: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with the score (0 to 1) of its text; null counts as empty. A column named like `out` is replaced."""
-    text, *own = fresh(docs, "_text", *STATISTICS)
-    values = statistics(F.col(text))
-    wide = docs.withColumn(text, text_of(text_col)).select("*", *[v.alias(o) for v, o in zip(values, own)])
-    return wide.withColumn(out, model.score(dict(zip(STATISTICS, own)))).drop(text, *own)
+    text, seen = fresh(docs, "_text", "_seen")
+    # One struct out of a generator: a filter on the score cannot be moved below it, where each rule it names would
+    # count its statistics anew.
+    values = F.explode(F.array(F.struct(*statistics(F.col(text)))))
+    wide = docs.withColumn(text, text_of(text_col)).select("*", values.alias(seen))
+    return wide.withColumn(out, model.score({s: f"{seen}.{s}" for s in STATISTICS})).drop(text, seen)
 
 
 def classify(docs: DataFrame, model: RuleModel) -> DataFrame:
