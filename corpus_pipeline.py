@@ -12,6 +12,9 @@ from oddlog.llm import decontaminate, exact, mixing, ngram_join, quality
 from oddlog.llm.common import fresh, table
 from oddlog.session import broadcast_if_small, freeze
 
+# Near copies share 80 of 100 of their runs of five words; the three words and 90 of 100 of op3 are that query's own.
+NEAR = {"n": 5, "num": 80, "den": 100}
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows the rule ensemble scores 0.5 or more; it learns from all documents with labels, not from what is left."""
@@ -27,7 +30,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links join, that of the least doc_id. Rows that repeat a doc_id go together; null ids stay."""
-    classes = ngram_join.near_classes(docs)
+    classes = ngram_join.near_classes(docs, **NEAR)
     gone = freeze(classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
     return docs.join(broadcast_if_small(gone, gone.count()), F.col("doc_id") == F.col("_gone"), "left_anti")
 

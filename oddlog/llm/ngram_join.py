@@ -70,8 +70,9 @@ def part_signs(members: np.ndarray, ends: np.ndarray, num: int, den: int) -> tup
 
     At level bound r two linked sets differ in at most k = 2 r (den - num) / (den + num) members. For small k the sets
     are split into k // 2 + 1 parts: one differs in at most one member, so a part and the part without a member agree.
-    For large k they are split into 1.25 k + 1 parts, of which more than 0.25 k agree; if fewer parts of a set have
-    less than STRONG members, only parts that have as many are signs, so that chance agreement is rare.
+    For large k they are split into 1.25 k + 1 parts, of which more than 0.25 k agree. Parts of few members agree by
+    chance, so a set's signs are its parts of `least` members or more, the largest number up to STRONG that leaves out
+    fewer parts than agree; the larger `least` of two linked sets still leaves both a part that agrees.
     """
     sizes = np.diff(ends)
     tops = levels(int(sizes.max(initial=0)), num, den)
@@ -94,9 +95,10 @@ def part_signs(members: np.ndarray, ends: np.ndarray, num: int, den: int) -> tup
         count = np.bincount(cell, minlength=first[-1])
         owner = np.repeat(np.arange(len(sizes)), n_parts)
         salt = mix((level[owner].astype(np.uint64) << np.uint64(32)) + (np.arange(first[-1]) - first[owner]).astype(np.uint64))
-        weak = np.bincount(owner, count < STRONG, len(sizes))
-        strong_only = fine & (n_parts - k > weak)
-        shown = ~strong_only[owner] | (count >= STRONG)
+        least = np.zeros(len(sizes), np.int64)
+        for few in range(1, STRONG + 1):
+            least[fine & (n_parts - k > np.bincount(owner, count < few, len(sizes)))] = few
+        shown = count >= least[owner]
         sets.append(owner[shown])
         signs.append(mix(total + salt)[shown])
         without = ~fine[of]

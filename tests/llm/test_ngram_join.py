@@ -86,3 +86,11 @@ def test_linked_sets_share_a_sign():
                     continue
                 sets, signs = nj.part_signs(np.concatenate([base, other]), np.array([0, len(base), len(base) + len(other)]), 90, 100)
                 assert np.intersect1d(signs[sets == 0], signs[sets == 1]).size
+
+
+def test_unlike_sets_share_few_signs():
+    random.seed(2)
+    members = np.concatenate([np.unique(np.array([random.getrandbits(63) for _ in range(100)], np.uint64)) for _ in range(200)])
+    sets, signs = nj.part_signs(members, np.arange(201) * 100, 80, 100)
+    shared = len(signs) - len(np.unique(signs))
+    assert shared < 40  # parts without a member, signs before, were shared by the hundred

@@ -89,3 +89,12 @@ def test_odd_input(spark, planted, tmp_path):
             assert out.columns[: len(docs.columns)] == docs.columns
             out.collect()
     assert exact.exact_dedup(spark.createDataFrame([(*r, "x", 1, 2, "w") for r in rows], schema)).count() == 2
+
+
+def test_near_copies_share_four_fifths_of_five_word_runs(spark):
+    words = [f"w{k}" for k in range(100)]
+    changed = [w if k not in (40, 60) else "x" for k, w in enumerate(words)]  # 86 of 106 runs of five words, 92 of 104 of three
+    far = [w if k % 30 > 1 else f"z{k}" for k, w in enumerate(words)]  # 76 of 116 runs of five words
+    rows = [(k, " ".join(w)) for k, w in enumerate((words, changed, far))]
+    out = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in out.collect()) == [0, 2]
