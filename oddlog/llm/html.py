@@ -6,8 +6,8 @@ kept as a combinable digest, so vectors are compared without gathering a host. T
 Classes on at least half of a host's pages, with two or more tokens, whose elements nest in elements of such classes,
 are the host's template. Its slots are the containers of the template, and the slot that holds most of the text no
 rule marks as page furniture is the main one. Texts that are themselves template tokens (once on every page of a host
-with `CONSTANT_PAGES` different pages or more, outside the article element) are left out too. Where a host has no
-template, or a page does not fit it, the page's own article, main or body element is the slot.
+with `CONSTANT_PAGES` different pages or more, outside the article element) are left out too. Pages of a host with the
+same text are one page to the template. Where a host has no template, or a page does not fit it, the page's own article, main or body element is the slot.
 """
 
 from __future__ import annotations
@@ -155,7 +155,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         under = own.get(("/".join(steps[:k]), None))
                         if under:
                             under[2] += len(text)
-            body = _hash(*[t for e, t in texts if not e.furniture])
+            body = _body(texts)
             own[("", None)] = [False, 1, 0]
             for (path, text), (container, total, chars) in own.items():
                 key = (host, _hash(path, "e" if text is None else "t" + text))
@@ -197,12 +197,38 @@ def _main_slot(elements: list[dict], n_pages: int) -> str | None:
     return max(slots, key=lambda e: (e["path"].count("/"), e["path"]))["path"] if slots else None
 
 
+BODIES = "host string, body bigint, row bigint, digest bigint"
+
+
+def _body(texts: list[tuple[Element, str]]) -> int:
+    return _hash(*[t for e, t in texts if not e.furniture])
+
+
+def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = pa.array([_body(blocks(page.as_py() or "")[1]) for page in batch.column(1)], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), found, batch.column(2), batch.column(3)], [c.split()[0] for c in BODIES.split(", ")])
+
+
+def _different(pages: DataFrame) -> DataFrame:
+    """(host, html), a row for each host and body text: of rows that repeat one, that of the least digest of its html."""
+    html = F.col("html").cast("string")
+    rows = pages.select(host_of(F.col("url")).alias("host"), html.alias("html"), F.monotonically_increasing_id().alias("row"))
+    read = freeze(rows.select("host", "html", "row", F.xxhash64("html").alias("digest")).mapInArrow(_bodies, BODIES))
+    repeated = freeze(
+        read.groupBy("host", "body").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("digest", "row")).alias("least")).filter("n > 1")
+        .select("host", "body", F.col("least.row").alias("first"))
+    )
+    gone = freeze(read.join(broadcast_if_small(repeated, repeated.count()), ["host", "body"]).filter("row <> first").select("row"))
+    return rows.join(broadcast_if_small(gone, gone.count()), "row", "left_anti").select("host", "html")
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, main, constants): main slot and constant texts of each host, from all its pages.
+    """(host, main, constants): main slot and constant texts of each host, from all its different pages.
 
     What is gathered for a host stands on half of its pages at least, so it is at most twice a mean page's elements.
     """
-    found = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(_tokens, TOKENS)
+    found = _different(pages).mapInArrow(_tokens, TOKENS)
     tokens = freeze(
         found.groupBy("host", "token").agg(
             F.max("path").alias("path"), F.bool_and("container").alias("container"), F.sum("pages").alias("pages"),
@@ -238,9 +264,10 @@ def page_text(page: str, main: str | None = None, constants: frozenset[int] = fr
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars), a row for each row given.
 
-    Null html is empty and gives an empty text; null and odd urls share the host "". Repeated rows are one page to the
-    template and each gives its row. Columns beside page_id, url and html are not looked at. An empty table gives an
-    empty result.
+    Null html is empty and gives an empty text; null and odd urls share the host "". Rows of a host that repeat a text
+    are one page to the template and each gives its row. Rows are numbered, so ``pages`` must come from storage, a
+    checkpoint or a local table. Columns beside page_id, url and html are not looked at. An empty table gives an empty
+    result.
     """
     known = freeze(templates(pages))
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))

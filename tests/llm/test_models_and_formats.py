@@ -106,6 +106,14 @@ def test_odd_pages(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_copies_are_one_page_to_the_template(spark):
+    page = "<html><body><main><h1>Title</h1><p>Some text of the page.</p><p>More text.</p></main></body></html>"
+    rows = [(k, "http://one.example/p", page) for k in range(12)] + [(20 + k, None, page.replace("main", "div")) for k in range(12)]
+    rows += [(40 + k, "http://two.example/p", f"<!-- {k} -->{page}") for k in range(12)]  # differ in no text
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == 36 and set(got.values()) == {"Title\nSome text of the page.\nMore text."}
+
+
 def test_page_query_against_the_article_element(spark):
     pages = {p.page_id: p.html for p in table(spark, "pages").collect()}
     for r in LLM_QUERIES["op4_html_text"](spark, SF).collect():
