@@ -36,7 +36,7 @@ CONTAINERS = frozenset("article main section div td body".split())
 FURNITURE = frozenset("head nav header footer aside form select option optgroup menu dialog fieldset button".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
              "option": {"option"}}
-# Words in classes, ids and roles that mark page furniture.
+# Words in classes, ids and roles that mark page furniture outside an article or main element.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promoted promotion banner cookie cookies consent "
     "gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login nav navbar navigation "
@@ -44,6 +44,8 @@ MARKS = frozenset(
     "footer header masthead topbar toolbar comment comments commentlist respond reply replies disqus discussion pagination pager paging "
     "copyright legal disclaimer skip hidden search searchform contentinfo complementary toc".split()
 )
+# Whole classes, ids and roles that mark comments and adverts inside an article or main element too.
+INSERTS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored comment comments commentlist respond reply replies disqus".split())
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -59,17 +61,19 @@ class Element:
     def __init__(self, tag: str, attributes: str, parent: Element | None) -> None:
         self.tag = tag
         names = ""
-        marked = False
+        marked = whole = False
         if attributes:
             found = [(k.lower(), v.strip("\"'").lower()) for k, v in _NAMED.findall(attributes)]
             names = "".join(f".{w}" for k, v in found if k != "role" for w in _WORD.findall(v)[:3])
-            marked = any(w in MARKS for _, v in found for w in _WORD.findall(v)) or bool(_HIDDEN.search(attributes))
+            whole = any(w in INSERTS for _, v in found for w in v.split())
+            words = not (parent and parent.inside) and any(w in MARKS for _, v in found for w in _WORD.findall(v))
+            marked = whole or words or bool(_HIDDEN.search(attributes))
         self.path = (parent.path if parent else "") + "/" + tag + names
         self.inside = (parent.inside if parent else frozenset()) | ({tag} & {"article", "main"})
         # A header of the article belongs to it; names on the outer frame say nothing.
         own = tag in FURNITURE and not (tag == "header" and self.inside)
         self.furniture = bool(parent and parent.furniture) or own or (marked and tag not in ("html", "body", "article", "main"))
-        if marked and tag == "article" and self.inside and "comment" in names:
+        if whole and tag == "article" and "comment" in names:
             self.furniture = True
 
 

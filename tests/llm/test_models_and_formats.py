@@ -114,6 +114,14 @@ def test_copies_are_one_page_to_the_template(spark):
     assert len(got) == 36 and set(got.values()) == {"Title\nSome text of the page.\nMore text."}
 
 
+def test_names_inside_an_article_keep_their_text():
+    inner = '<div class="entry-header"><h1>Title</h1></div><section id="discussion"><p>Findings</p></section><p class="legal">Law</p>'
+    cut = '<div class="ad">Buy</div><div class="box comments"><p>Reader</p></div><p hidden>Unseen</p><article class="comment">Says</article>'
+    for tag in ("article", "main"):
+        page = f'<body><div class="legal">Terms</div><{tag} class="comments-open">{inner}{cut}</{tag}></body>'
+        assert html.page_text(page) == "Title\nFindings\nLaw"
+
+
 def test_page_query_against_the_article_element(spark):
     pages = {p.page_id: p.html for p in table(spark, "pages").collect()}
     for r in LLM_QUERIES["op4_html_text"](spark, SF).collect():
