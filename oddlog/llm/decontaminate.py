@@ -1,7 +1,7 @@
 r"""Benchmark decontamination by size-partitioned MinHash containment search, in DataFrame functions only.
 
 Words are maximal runs of letters and digits, lower-cased; a set is the distinct 5-word shingles (a shorter text is
-one shingle). A document contains an item if it has 80 in 100 of the item's shingles or more. Items are partitioned
+one shingle, so an item below five words matches whole texts only). A document contains an item if it has 80 in 100 of the item's shingles or more. Items are partitioned
 by powers of two of their set size, and the upper bound u of a partition sets how many of an item's least hash values
 are its sketch: u - ceil(0.8 u) + 1. A document that lacks all of them lacks too many shingles, so no pair is missed
 however long the document is. Sketch values are looked up among the documents' shingles, and candidates are verified
