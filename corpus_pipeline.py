@@ -29,10 +29,17 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links join, that of the least doc_id. Rows that repeat a doc_id go together; null ids stay."""
-    classes = ngram_join.near_classes(docs, **NEAR)
-    gone = freeze(classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(broadcast_if_small(gone, gone.count()), F.col("doc_id") == F.col("_gone"), "left_anti")
+    """Of rows that links join, the one of the least doc_id; null ids come last, and of equal ids the first row stays."""
+    (row,) = fresh(docs, "_row")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    classes = freeze(ngram_join.near_classes(numbered.select(row, "text"), **NEAR, id_col=row).select(F.col("doc_id").alias("_at"), "component_id"))
+    several = classes.groupBy("component_id").count().filter("count > 1").select("component_id")
+    member = classes.join(several, "component_id")
+    ids = numbered.select(F.col(row).alias("_at"), F.col("doc_id").alias("_id"))
+    named = freeze(ids.join(broadcast_if_small(member, member.count()), "_at"))
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_at")).alias("least"))
+    gone = freeze(named.join(first, "component_id").filter("_at <> least._at").select(F.col("_at").alias(row)))
+    return numbered.join(broadcast_if_small(gone, gone.count()), row, "left_anti").drop(row)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from oddlog.llm.common import text_of
+from oddlog.llm.common import fresh, text_of
 from oddlog.session import broadcast_if_small, freeze
 
 WORDS, SHARE = 5, 80
@@ -90,6 +90,13 @@ def contaminated(docs: DataFrame, items: DataFrame, share: int = SHARE) -> DataF
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, share: int = SHARE) -> DataFrame:
-    """The rows of ``docs`` whose document contains no item, with all their columns."""
-    found = freeze(contaminated(docs, items, share).select(F.col("doc_id").alias("_found")).distinct())
-    return docs.join(broadcast_if_small(found, found.count()), docs["doc_id"].eqNullSafe(found["_found"]), "left_anti")
+    """The rows of ``docs`` whose text contains no item, with all their columns.
+
+    Each row goes by its own text, whatever its doc_id. Rows are numbered, so ``docs`` must come from storage, a
+    checkpoint or a local table.
+    """
+    (row,) = fresh(docs, "_row")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    texts = numbered.select(F.col(row).alias("doc_id"), "text")
+    found = freeze(contaminated(texts, items, share).select(F.col("doc_id").alias(row)).distinct())
+    return numbered.join(broadcast_if_small(found, found.count()), row, "left_anti").drop(row)

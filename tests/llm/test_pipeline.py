@@ -98,3 +98,16 @@ def test_near_copies_share_four_fifths_of_five_word_runs(spark):
     rows = [(k, " ".join(w)) for k, w in enumerate((words, changed, far))]
     out = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert sorted(r.doc_id for r in out.collect()) == [0, 2]
+
+
+def test_rows_go_by_their_text_not_by_id(spark, tmp_path):
+    words = [f"w{k}" for k in range(100)]
+    base, near, near2 = (" ".join([*words, *more]) for more in ([], ["x"], ["y"]))
+    clean, clean2 = (" ".join(f"{c}{k}" for k in range(50)) for c in "cd")
+    schema = "doc_id long, text string"
+    rows = [(1, base), (1, near), (5, clean), (5, near2), (None, clean2), (None, base + " z")]
+    out = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, schema), "")
+    assert sorted(r.text for r in out.collect()) == sorted([base, clean, clean2])
+    spark.createDataFrame([(1, base)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.drop_benchmark(spark, spark.createDataFrame(rows, schema), str(tmp_path))
+    assert sorted(r.text for r in out.collect()) == sorted([clean, clean2])
