@@ -1,12 +1,17 @@
 """Near-duplicate classes by a prefix-tree join on word n-gram sets.
 
-Three steps. (1) Every set is split, by a hash of its members, into parts so many that two sets as alike as the
-threshold asks must agree on a whole part; who shares a part with whom makes families. This only deals out the work:
-linked sets are always of one family. (2) The sets of a family come together once, in a prefix tree over the family's
-global order (most frequent n-gram first, so that alike sets share long paths). Probes descend from the root: the
-overlap of a path is counted once for all sets below it, and a subtree is left as soon as the overlap so far and the
-n-grams that remain on either side cannot reach what its smallest set needs, or all its sets are linked to the probe
-already. A family of many sets is split into blocks that meet pairwise. (3) Links make components.
+Four steps. (1) One global order of all n-grams: a sketch of counters over every set says how frequent an n-gram is, a
+hash breaks ties. (2) Sets that link share one of their rarest n-grams, so each set sends only those (size - needed
+overlap + 1 of them), packed, to the part of the n-gram. An n-gram's sets, sorted by size and cut where two neighbours
+differ too much in size to link, are a list; the one of least digest leads it. A set then goes once to each of its
+leaders: whoever shares a rare n-gram meets at the leader of that n-gram's list, and sets that share none never meet.
+(3) The sets of a leader form a prefix tree in the global order, most frequent n-gram first. Probes descend from the
+root: the overlap of a path is counted once for all sets below it, and a subtree is left as soon as the overlap so far
+and the n-grams that remain on either side cannot reach what its smallest set needs, or all its sets are linked to the
+probe already. (4) Links make components.
+
+A leader of more than CHUNK n-grams is cut: its sets meet in chunks, each beside the leader. If links have not joined
+them all, the sets outside the largest component (only those) visit every chunk.
 
 Sets are compared by 64-bit hashes of their n-grams; equal sets are one class from the start (128-bit digest).
 """
@@ -17,16 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from oddlog.llm.common import shuffle_parts
 from oddlog.llm.words import Words, mix, runs, slices
-from oddlog.operators.components import components
+from oddlog.operators.components import components, local_components
 from oddlog.session import broadcast_if_small, freeze
 
 NGRAM, NUM, DEN = 3, 90, 100
-STRONG = 4  # members that make a part telling
-LEAST, SPLIT, MOST = 64, 40, 4096  # sets in a block: at least, blocks up to which a family is cut so fine, at most
+SLOTS, STRIPE = 1 << 20, 1 << 10  # counters of the frequency sketch, counters of one of its rows
+CHUNK = 1 << 19  # n-grams of one tree
+PART_BYTES = 32 << 20  # packed n-grams that one task sorts
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -56,58 +62,58 @@ def _sums(key: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return low + (high << np.uint64(32))
 
 
-def levels(most: int, num: int, den: int) -> np.ndarray:
-    """Largest set size of each level: sizes whose ratio is num / den or more are of one level or neighbours."""
-    out = [0]
-    while out[-1] < most:
-        out.append((out[-1] + 1) * den // num)
-    out.append((out[-1] + 1) * den // num)
-    return np.array(out, np.int64)
+def slot(grams: np.ndarray) -> np.ndarray:
+    """The counter of each n-gram."""
+    return (mix(grams) >> np.uint64(40)).astype(np.int64) & (SLOTS - 1)
 
 
-def part_signs(members: np.ndarray, ends: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(set number, sign): linked sets of different content share a sign.
+def order_key(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Place of each n-gram in the global order, rare ones first."""
+    return (counts[slot(grams)].astype(np.uint64) << np.uint64(32)) | (mix(grams) >> np.uint64(32))
 
-    At level bound r two linked sets differ in at most k = 2 r (den - num) / (den + num) members. For small k the sets
-    are split into k // 2 + 1 parts: one differs in at most one member, so a part and the part without a member agree.
-    For large k they are split into 1.25 k + 1 parts, of which more than 0.25 k agree. Parts of few members agree by
-    chance, so a set's signs are its parts of `least` members or more, the largest number up to STRONG that leaves out
-    fewer parts than agree; the larger `least` of two linked sets still leaves both a part that agrees.
+
+def gram_counts(docs: DataFrame, n: int) -> np.ndarray:
+    """Counts of all n-grams of all sets, by slot; SLOTS counters of 32 bits at the end, whatever the table's size.
+
+    A task sends its counters once (16 bits each, full at 65,535) in stripes; a stripe is summed as it streams by.
     """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, own = Words(lower=True), np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for _, _, data, offsets in slices(batch.column(0)):
+                own += np.bincount(slot(ngram_sets(words, data, offsets, n)[0]), minlength=SLOTS)
+        striped = np.minimum(own, 65_535).astype(np.uint16).reshape(-1, STRIPE)
+        held = np.flatnonzero(striped.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array([striped[k].tobytes() for k in held], pa.binary())], ["stripe", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for stripe, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                total[stripe] = total.get(stripe, np.zeros(STRIPE, np.int64)) + np.frombuffer(counts, np.uint16)
+        held = sorted(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array([np.minimum(total[k], 2**32 - 1).astype(np.uint32).tobytes() for k in held], pa.binary())], ["stripe", "counts"])
+
+    kind = "stripe int, counts binary"
+    parts = min(SLOTS // STRIPE, shuffle_parts(docs.sparkSession))
+    out = np.zeros((SLOTS // STRIPE, STRIPE), np.uint32)
+    for row in docs.select("text").mapInArrow(count, kind).repartition(parts, "stripe").mapInArrow(add, kind).collect():
+        out[row.stripe] = np.frombuffer(row.counts, np.uint32)
+    return out.reshape(-1)
+
+
+def rarest(members: np.ndarray, ends: np.ndarray, counts: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(set number, n-gram) of the n-grams of which two linked sets share one: all but the last `needed overlap - 1`."""
     sizes = np.diff(ends)
-    tops = levels(int(sizes.max(initial=0)), num, den)
-    own = np.searchsorted(tops, sizes)
-    spread = mix(members + np.uint64(0x5851F42D4C957F2D))
-    sets, signs = [], []
-    for step in (0, 1):
-        level = own + step
-        k = 2 * tops[np.minimum(level, len(tops) - 1)] * (den - num) // (den + num)
-        fine = k > 6
-        n_parts = np.where(fine, k + k // 4 + 1, k // 2 + 1)
-        n_parts[(k == 0) | (sizes == 0)] = 0
-        first = np.concatenate([[0], np.cumsum(n_parts)])
-        of = np.repeat(np.arange(len(sizes)), sizes)
-        live = n_parts[of] > 0
-        of, h = of[live], spread[live]
-        part = ((h >> np.uint64(32)) % n_parts[of].astype(np.uint64)).astype(np.int64)
-        cell = first[of] + part
-        total = _sums(cell, h, first[-1])
-        count = np.bincount(cell, minlength=first[-1])
-        owner = np.repeat(np.arange(len(sizes)), n_parts)
-        salt = mix((level[owner].astype(np.uint64) << np.uint64(32)) + (np.arange(first[-1]) - first[owner]).astype(np.uint64))
-        least = np.zeros(len(sizes), np.int64)
-        for few in range(1, STRONG + 1):
-            least[fine & (n_parts - k > np.bincount(owner, count < few, len(sizes)))] = few
-        shown = count >= least[owner]
-        sets.append(owner[shown])
-        signs.append(mix(total + salt)[shown])
-        without = ~fine[of]
-        sets.append(of[without])
-        signs.append(mix(total[cell[without]] - h[without] + salt[cell[without]]))
-    return np.concatenate(sets), np.concatenate(signs)
-
-
-SENT = "doc_id bigint, n bigint, k1 bigint, k2 bigint, part int, sign binary, class binary"
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((order_key(members, counts), of))
+    place = np.arange(len(members)) - np.repeat(ends[:-1], sizes)
+    sent = place < np.repeat(sizes - -(-num * sizes // den) + 1, sizes)
+    return of[sent], members[order][sent]
+
+
+SENT = "doc_id bigint, n bigint, k1 bigint, k2 bigint, part int, gram binary, class binary, size binary"
 
 
 def _digests(members: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,52 +124,61 @@ def _digests(members: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     return one.view(np.int64), two.view(np.int64)
 
 
-def _scan(docs: DataFrame, n: int, num: int, den: int, parts: int) -> DataFrame:
-    """A row of size and digest for each document, and packed part signs for each slice and part of the sign space."""
+def _scan(docs: DataFrame, n: int, num: int, den: int, parts: int, counts: np.ndarray) -> DataFrame:
+    """A row of size and digest for each document, and packed rare n-grams for each slice and part of their space."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(lower=True)
         names = [c.split()[0] for c in SENT.split(", ")]
+        none = lambda kind, m: pa.nulls(m, kind)
         for batch in batches:
             for low, high, data, offsets in slices(batch.column(1)):
                 members, ends = ngram_sets(words, data, offsets, n)
                 k1, k2 = _digests(members, ends)
-                rows = high - low
-                none = lambda kind, m: pa.nulls(m, kind)
+                rows, sizes = high - low, np.diff(ends)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[low:high].cast(pa.int64()), pa.array(np.diff(ends)), pa.array(k1), pa.array(k2), none(pa.int32(), rows), none(pa.binary(), rows), none(pa.binary(), rows)], names
+                    [batch.column(0)[low:high].cast(pa.int64()), pa.array(sizes), pa.array(k1), pa.array(k2), none(pa.int32(), rows), *[none(pa.binary(), rows)] * 3], names
                 )
-                once = np.unique(k1, return_index=True)[1]  # equal sets of the slice send their signs once
-                sets, signs = part_signs(
-                    np.concatenate([members[ends[i] : ends[i + 1]] for i in once]), np.concatenate([[0], np.cumsum(np.diff(ends)[once])]), num, den
+                once = np.unique(k1, return_index=True)[1]  # equal sets of the slice send their n-grams once
+                sets, grams = rarest(
+                    np.concatenate([members[ends[i] : ends[i + 1]] for i in once]), np.concatenate([[0], np.cumsum(sizes[once])]), counts, num, den
                 )
-                if not len(signs):
+                if not len(grams):
                     continue
-                of = ((signs >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+                of = ((grams >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
                 order = np.lexsort((sets, of))
-                of, sets, signs = of[order], k1[once][sets[order]], signs[order]
+                of, at, grams = of[order], once[sets[order]], grams[order]
                 cuts = np.flatnonzero(np.diff(of, prepend=-1))
-                stops = [*cuts[1:], len(of)]
                 m = len(cuts)
+                packed = lambda values: pa.array([values[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(of)])], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [*[none(pa.int64(), m)] * 4, pa.array(of[cuts], pa.int32()), pa.array([signs[a:b].tobytes() for a, b in zip(cuts, stops)], pa.binary()),
-                     pa.array([sets[a:b].tobytes() for a, b in zip(cuts, stops)], pa.binary())], names
+                    [*[none(pa.int64(), m)] * 4, pa.array(of[cuts], pa.int32()), packed(grams), packed(k1[at]), packed(sizes[at].astype(np.int32))], names
                 )
 
     return docs.mapInArrow(read, SENT)
 
 
-def _agreements(table: pa.Table) -> pa.Table:
-    """Edges (a, b) from the least class of each sign to its others."""
-    sign = np.concatenate([np.frombuffer(b, np.uint64) for b in table["sign"].to_pylist()])
-    of = np.concatenate([np.frombuffer(b, np.int64) for b in table["class"].to_pylist()])
-    order = np.lexsort((of, sign))
-    sign, of = sign[order], of[order]
-    start = np.ones(len(sign), bool)
-    start[1:] = sign[1:] != sign[:-1]
-    least = of[np.flatnonzero(start)][np.cumsum(start) - 1]
-    edges = np.unique(np.stack([least, of], 1)[least != of], axis=0)
-    return pa.table({"a": pa.array(edges[:, 0], pa.int64()), "b": pa.array(edges[:, 1], pa.int64())})
+LED = "lead bigint, k1 bigint, n bigint"
+
+
+def _leaders(num: int, den: int):
+    def run(table: pa.Table) -> pa.Table:
+        """(lead, k1, n): each class of a list beside the list's leader, for lists of two classes or more."""
+        gram, of, size = (np.concatenate([np.frombuffer(b, kind) for b in table[c].to_pylist()]) for c, kind in (("gram", np.uint64), ("class", np.int64), ("size", np.int32)))
+        order = np.lexsort((of, size, gram))
+        gram, of, size = gram[order], of[order], size[order].astype(np.int64)
+        own = np.ones(len(gram), bool)  # a class that several slices sent
+        own[1:] = (gram[1:] != gram[:-1]) | (of[1:] != of[:-1])
+        gram, of, size = gram[own], of[own], size[own]
+        start = np.ones(len(gram), bool)
+        start[1:] = (gram[1:] != gram[:-1]) | (den * size[:-1] < num * size[1:])
+        at = np.flatnonzero(start)
+        count = np.diff(np.append(at, len(gram)))
+        lead, several = np.repeat(np.minimum.reduceat(of, at), count), np.repeat(count, count) > 1
+        led = np.unique(np.stack([lead[several], of[several], size[several]], 1), axis=0)
+        return pa.table({name: pa.array(led[:, k], pa.int64()) for k, name in enumerate(("lead", "k1", "n"))})
+
+    return run
 
 
 class Tree:
@@ -240,15 +255,14 @@ class Tree:
                     overlap = overlap + hit[ends] - hit[ends - lengths]
                 below = self.child_to[node] - self.child_from[node]
                 leaf = below == 0
-                there = overlap[leaf] >= _needs(size[probe[leaf]], self.end[node[leaf]], num, den)
-                for k in np.flatnonzero(leaf)[there]:
-                    for s in range(self.low[node[k]], self.high[node[k]]):
-                        found_p.append(base + probe[k])
-                        found_s.append(s)
+                there = np.flatnonzero(leaf)[overlap[leaf] >= _needs(size[probe[leaf]], self.end[node[leaf]], num, den)]
+                copies = self.high[node[there]] - self.low[node[there]]
+                found_p.append(np.repeat(base + probe[there], copies))
+                found_s.append(np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies) + np.repeat(self.low[node[there]], copies))
                 stops = np.cumsum(below)
                 place = np.arange(stops[-1] if len(stops) else 0) - np.repeat(stops - below, below) + np.repeat(self.child_from[node], below)
                 probe, overlap, node = np.repeat(probe, below), np.repeat(overlap, below), self.children[place]
-            yield np.array(found_p, np.int64), np.array(found_s, np.int64)
+            yield np.concatenate(found_p), np.concatenate(found_s)
 
 
 def _needs(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -256,24 +270,25 @@ def _needs(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
     return -(-num * (a + b) // (den + num))
 
 
-def join_block(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Component number of each set by links between `left` and `right` sets (numbers into `sets`)."""
+def join_block(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, known: np.ndarray, counts: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Component number of each set by links between `left` and `right` sets (numbers into `sets`).
+
+    `known` numbers the components that earlier links made.
+    """
     flat = np.concatenate(sets)
-    values, place, count = np.unique(flat, return_inverse=True, return_counts=True)
+    values, place = np.unique(flat, return_inverse=True)
     rank = np.empty(len(values), np.int64)
-    rank[np.lexsort((values, -count))] = np.arange(len(values))  # most frequent first
+    rank[np.argsort(order_key(values, counts), kind="stable")[::-1]] = np.arange(len(values))  # most frequent first
     ranks = rank[place]
     ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
     ordered = [np.sort(ranks[a:b]) for a, b in zip(ends[:-1], ends[1:])]
     right = np.array(sorted(right, key=lambda k: ordered[k].astype(">u4").tobytes()), np.int64)
     tree = Tree([ordered[k] for k in right])
-    root = np.arange(len(sets))
+    root = np.unique(known, return_index=True, return_inverse=True)[1:]
+    root = root[0][root[1]]
     group, own = root[right].copy(), root[left].copy()
     for probes, found in tree.links([ordered[k] for k in left], group, own, num, den, len(values)):
-        for p, s in zip(left[probes].tolist(), right[found].tolist()):
-            a, b = root[p], root[s]
-            if a != b:
-                root[root == max(a, b)] = min(a, b)
+        root = local_components(len(sets), root[left[probes]], root[right[found]])[root]
         group[:], own[:] = root[right], root[left]
     return root
 
@@ -281,19 +296,19 @@ def join_block(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num:
 EDGES = "a bigint, b bigint"
 
 
-def _joined(num: int, den: int):
+def _joined(num: int, den: int, counts: np.ndarray):
     def run(table: pa.Table) -> pa.Table:
-        """Links of all families (or of one pair of blocks) dealt to a bin."""
-        node, family, side = (table[c].to_numpy() for c in ("node", "family", "side"))
+        """Links of all leaders (or of one chunk of a leader) dealt to a bin."""
+        node, lead, side, known = (table[c].to_numpy() for c in ("node", "lead", "side", "known"))
         members = [np.frombuffer(b, np.uint64) for b in table["members"].to_pylist()]
         out: list[np.ndarray] = []
-        order = np.lexsort((node, family))
-        for at in np.split(order, np.flatnonzero(np.diff(family[order])) + 1):
+        order = np.lexsort((node, lead))
+        for at in np.split(order, np.flatnonzero(np.diff(lead[order])) + 1):
             sides = side[at]
             left, right = np.flatnonzero(sides != 1), np.flatnonzero(sides != 0)
             if len(at) < 2 or not len(left) or not len(right):
                 continue
-            root = join_block([members[k] for k in at], left, right, num, den)
+            root = join_block([members[k] for k in at], left, right, known[at], counts, num, den)
             linked = np.flatnonzero(root != np.arange(len(at)))
             out.append(np.stack([node[at[root[linked]]], node[at[linked]]], 1))
         edges = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
@@ -309,11 +324,51 @@ def _sets_of(docs: DataFrame, n: int) -> DataFrame:
             for low, high, data, offsets in slices(batch.column(0)):
                 members, ends = ngram_sets(words, data, offsets, n)
                 packed = pa.array([members[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())
-                found = pa.RecordBatch.from_arrays([*[c[low:high] for c in batch.columns[1:]], packed], [*batch.schema.names[1:], "members"])
+                found = pa.RecordBatch.from_arrays([*[c[low:high] for c in batch.columns[1:]], packed], ["node", "goes", "members"])
                 # An id that has several texts has met its class by id alone.
                 yield found.filter(pa.array(_digests(members, ends)[0] == found.column(0).to_numpy()))
 
-    return docs.mapInArrow(read, "node bigint, family bigint, family_size bigint, place bigint, members binary")
+    return docs.mapInArrow(read, f"node bigint, goes array<struct<{GOES}>>, members binary")
+
+
+# Where a set goes: the leader, the chunk (null: the leader is whole), the bin, whom it meets there, its component.
+GOES = "lead:bigint,chunk:bigint,bin:bigint,side:int,known:bigint"
+
+
+def _meet(rows: DataFrame, ids: DataFrame, goes: DataFrame, n: int, num: int, den: int, counts: np.ndarray) -> DataFrame:
+    """Links among the sets that `goes` (k1 and the fields of GOES) brings together."""
+    targets = F.collect_list(F.struct(*[F.col(c.split(":")[0]).cast(c.split(":")[1]) for c in GOES.split(",")])).alias("goes")
+    chosen = freeze(goes.groupBy("k1").agg(targets).join(ids, "k1").select("doc_id", F.col("k1").alias("node"), "goes").filter("doc_id IS NOT NULL"))
+    few = broadcast_if_small(chosen, chosen.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.size("goes")), F.lit(0))).first()[0], BROADCAST)
+    sets = _sets_of(rows.join(few, "doc_id").select("text", "node", "goes"), n)
+    dealt = sets.select("node", "members", F.explode("goes").alias("go")).select("node", "members", "go.*")
+    return dealt.groupBy("chunk", "bin").applyInArrow(_joined(num, den, counts), EDGES)
+
+
+BROADCAST = 250_000  # narrow rows of 40 bytes or less
+
+
+def _chunk(chunks: Column) -> Column:
+    return F.pmod(F.xxhash64("k1", F.lit(1)), chunks)
+
+
+def _met_in_chunks(led: DataFrame, hot: DataFrame, n_hot: int, linked: DataFrame) -> DataFrame | None:
+    """Where the sets of cut leaders go once more, if links have not joined all of a leader's sets."""
+    member = led.join(broadcast_if_small(hot, n_hot, BROADCAST), "lead").join(linked.select(F.col("node").alias("k1"), "root"), "k1", "left")
+    member = freeze(member.select("lead", "chunks", "k1", F.coalesce("root", "k1").alias("known")))
+    parts = member.groupBy("lead", "chunks", "known").agg(F.count(F.lit(1)).alias("m"))
+    split = freeze(
+        parts.groupBy("lead").agg(F.max(F.struct("m", "known")).alias("largest"), F.count(F.lit(1)).alias("kinds"))
+        .filter("kinds > 1").select("lead", F.col("largest.known").alias("major"))
+    )
+    if split.isEmpty():
+        return None
+    own = _chunk(F.col("chunks"))
+    minor = F.col("known") != F.col("major")
+    at = F.explode(F.when(minor, F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array(own))).alias("chunk")
+    visits = member.join(broadcast_if_small(split, n_hot, BROADCAST), "lead").select("k1", "lead", own.alias("own"), minor.alias("minor"), "known", at)
+    side = F.when(~F.col("minor"), 1).when(F.col("chunk") == F.col("own"), 2).otherwise(0)
+    return visits.select("k1", "lead", "chunk", F.col("lead").alias("bin"), side.alias("side"), "known")
 
 
 def near_classes(docs: DataFrame, n: int = NGRAM, num: int = NUM, den: int = DEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -325,48 +380,46 @@ def near_classes(docs: DataFrame, n: int = NGRAM, num: int = NUM, den: int = DEN
     doc_id link with rows of equal sets only. doc_id is a whole number. Other columns are not looked at. An empty
     table gives an empty result.
     """
-    spark = docs.sparkSession
-    parts = 4 * shuffle_parts(spark)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    scan = freeze(_scan(rows, n, num, den, parts))
+    counts = gram_counts(rows, n)
+    # A packed n-gram is 20 bytes, a few times that while sorted.
+    parts = max(shuffle_parts(rows.sparkSession), int(20 * int(counts.sum(dtype=np.int64)) * (den - num) / den) // PART_BYTES + 1)
+    scan = freeze(_scan(rows, n, num, den, parts, counts))
     seen = scan.filter("part IS NULL").select("doc_id", "n", "k1", "k2")
-    edges = scan.filter("part IS NOT NULL").select("part", "sign", "class").groupBy("part").applyInArrow(_agreements, EDGES)
-    families = components(edges)  # (node, root), nodes are classes (k1)
-    return _classes(rows, seen, families, n, num, den)
-
-
-def _classes(rows: DataFrame, seen: DataFrame, families: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    spark = rows.sparkSession
-    n_docs = seen.count()
-    ids = freeze(seen.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id")), n_docs)
-    sizes = families.groupBy("root").agg(F.count(F.lit(1)).alias("family_size"))
-    member = families.join(sizes, "root").select(F.col("node").alias("k1"), F.col("root").alias("family"), "family_size")
-    chosen = freeze(
-        ids.join(member, "k1").select("doc_id", F.col("k1").alias("node"), "family", "family_size", F.xxhash64("k1").alias("place")).filter("doc_id IS NOT NULL"),
-        n_docs,
-    )
-    few = broadcast_if_small(chosen, chosen.count())
-    sets = _sets_of(rows.join(few, "doc_id").select("text", "node", "family", "family_size", "place"), n)
-    # Blocks of a family: a whole one has block 0 only; a large one meets as pairs of blocks (i <= j).
-    block = F.greatest(F.lit(LEAST), F.least(F.lit(MOST), F.ceil(F.col("family_size") / SPLIT)))
-    blocks = F.ceil(F.col("family_size") / block)
-    mine = F.pmod("place", blocks)
-    dealt = sets.select("node", "family", "members", blocks.alias("blocks"), mine.alias("mine"))
-    bins = 4 * shuffle_parts(spark)
-    paired = dealt.filter("blocks > 1").select(
-        "node", "family", "members", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    ).select(
-        F.concat_ws("|", "family", F.least("mine", "other"), F.greatest("mine", "other")).alias("bin"), "family", "node",
-        F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"), "members",
-    )
-    whole = dealt.filter("blocks = 1").select(
-        F.pmod(F.xxhash64("family"), F.lit(bins)).cast("string").alias("bin"), "family", "node", F.lit(2).alias("side"), "members"
+    packed = scan.filter("part IS NOT NULL").select("part", "gram", "class", "size")
+    led = freeze(packed.groupBy("part").applyInArrow(_leaders(num, den), LED).distinct())
+    ids = freeze(seen.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")))
+    links = _links(rows, ids, led, n, num, den, counts)
+    return _classes(seen, ids, links)
+
+
+def _links(rows: DataFrame, ids: DataFrame, led: DataFrame, n: int, num: int, den: int, counts: np.ndarray) -> DataFrame:
+    """(node, root) of the classes that links join."""
+    grams = led.agg(F.sum("n")).first()[0] or 0
+    bins = max(shuffle_parts(rows.sparkSession), 8 * grams // PART_BYTES + 1)
+    hot = freeze(led.groupBy("lead").agg(F.sum("n").alias("n")).filter(F.col("n") > CHUNK).select("lead", F.ceil(F.col("n") / CHUNK).alias("chunks")))
+    n_hot = hot.count()
+    cut = F.col("chunks").isNotNull()
+    spread = led.join(broadcast_if_small(hot, n_hot, BROADCAST), "lead", "left")
+    # A leader is in each of its chunks, so that sets like it meet across chunks.
+    every = F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
+    at = F.when(~cut, F.array(F.lit(None).cast("long"))).when(F.col("k1") == F.col("lead"), every).otherwise(F.array(_chunk(F.col("chunks"))))
+    goes = spread.select(
+        "k1", "lead", F.explode(at).alias("chunk"), F.when(cut, F.col("lead")).otherwise(F.pmod(F.xxhash64("lead"), F.lit(bins))).alias("bin"),
+        F.lit(2).alias("side"), F.col("k1").alias("known"),
     )
-    links = whole.unionByName(paired).groupBy("bin").applyInArrow(_joined(num, den), EDGES)
-    linked = components(links)  # (node, root) of classes with links
-    least = linked.join(ids.select(F.col("k1").alias("node"), "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_class = ids.join(linked, F.col("k1") == F.col("node"), "left").join(least, "root", "left").select(
-        "k1", "k2", F.coalesce("component_id", "doc_id").alias("component_id")
+    first = freeze(_meet(rows, ids, goes, n, num, den, counts))
+    linked = components(first)
+    again = _met_in_chunks(led, hot, n_hot, linked) if n_hot else None
+    return linked if again is None else components(first.unionByName(_meet(rows, ids, again, n, num, den, counts)))
+
+
+def _classes(seen: DataFrame, ids: DataFrame, linked: DataFrame) -> DataFrame:
+    least = freeze(linked.join(ids.select(F.col("k1").alias("node"), "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("least")))
+    named = linked.join(broadcast_if_small(least, least.count(), BROADCAST), "root").select(F.col("node").alias("k1"), "least")
+    # Only a class of several rows or with links has another id than its row.
+    of_class = freeze(
+        ids.join(named, "k1", "left").filter("copies > 1 OR least IS NOT NULL").select("k1", "k2", F.coalesce("least", "doc_id").alias("component_id"))
     )
-    out = seen.join(broadcast_if_small(of_class, ids.count()), ["k1", "k2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = seen.join(broadcast_if_small(of_class, of_class.count(), BROADCAST), ["k1", "k2"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

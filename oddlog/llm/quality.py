@@ -92,8 +92,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> RuleModel:
         docs.select("doc_id", text_of("text").alias("text"))
         .join(F.broadcast(labelled_sample(labels, "quality", limit)), "doc_id")
         .select((F.col("label") == 1).cast("double").alias("label"), *statistics(F.col("text")))
-        .coalesce(4)
-    )
+    ).coalesce(4)  # of the rows written; the scan above keeps all its tasks
     n, positive = sample.agg(F.count(F.lit(1)), F.sum("label")).first()
     if not n or positive in (0, n):
         share = positive / n if n else 0.5

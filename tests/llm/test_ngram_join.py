@@ -58,13 +58,32 @@ def test_other_thresholds(spark):
     assert got(frame(spark, texts), n=5, num=80) == brute(texts, 80, 100, 5)
 
 
-def test_large_families_meet_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(nj, "LEAST", 4)
-    monkeypatch.setattr(nj, "MOST", 4)
+@pytest.mark.parametrize("chunk", [1, 60, 400])
+def test_large_leaders_meet_in_chunks(spark, monkeypatch, chunk):
+    monkeypatch.setattr(nj, "CHUNK", chunk)
     texts = corpus(5)
     assert got(frame(spark, texts)) == brute(texts)
 
 
+def family(copies):
+    """One text and copies of it that differ in a word each, beside texts that share a passage of it only."""
+    random.seed(8)
+    base = [f"w{random.randint(0, 5000)}" for _ in range(120)]
+    near = [" ".join([*base[:k], f"x{i}", *base[k + 1 :]]) for i in range(copies) for k in [random.randrange(120)]]
+    return near + [" ".join([*base[:60], *(f"y{random.randint(0, 9999)}" for _ in range(90))]) for _ in range(copies)]
+
+
+def test_rows_into_the_join_grow_with_the_sets(spark):
+    for copies in (100, 200):
+        texts = family(copies)
+        rows = frame(spark, texts).select("doc_id", "text")
+        counts = nj.gram_counts(rows, 5)
+        scan = nj._scan(rows, 5, 80, 100, 8, counts).filter("part IS NOT NULL").select("part", "gram", "class", "size")
+        led = scan.groupBy("part").applyInArrow(nj._leaders(80, 100), nj.LED).distinct()
+        assert led.count() <= 3 * len(texts)
+        assert got(frame(spark, texts), n=5, num=80) == brute(texts, 80, 100, 5)
+
+
 def test_empty_repeated_and_null_ids(spark):
     assert near_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     text = " ".join(f"w{k}" for k in range(40))
@@ -74,23 +93,27 @@ def test_empty_repeated_and_null_ids(spark):
     assert found == sorted([(1, 1), (1, 1), (1, 1), (2, 1), (None, 1), (None, None)], key=repr)
 
 
-def test_linked_sets_share_a_sign():
+def test_linked_sets_share_a_rare_gram():
     rng = np.random.default_rng(1)
+    counts = rng.integers(0, 5, nj.SLOTS).astype(np.uint32)
     for size in [*range(1, 80), 150, 400, 900]:
         base = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
         for drop in range(0, max(1, size // 18) + 1):
             for add in range(0, max(1, size // 18) + 1, max(1, size // 60)):
                 other = np.unique(np.concatenate([base[: len(base) - drop], rng.integers(0, 1 << 63, add, dtype=np.uint64)]))
                 same = len(np.intersect1d(base, other))
-                if 100 * same < 90 * (len(base) + len(other) - same) or drop + add == 0:
+                if 100 * same < 90 * (len(base) + len(other) - same):
                     continue
-                sets, signs = nj.part_signs(np.concatenate([base, other]), np.array([0, len(base), len(base) + len(other)]), 90, 100)
-                assert np.intersect1d(signs[sets == 0], signs[sets == 1]).size
-
-
-def test_unlike_sets_share_few_signs():
-    random.seed(2)
-    members = np.concatenate([np.unique(np.array([random.getrandbits(63) for _ in range(100)], np.uint64)) for _ in range(200)])
-    sets, signs = nj.part_signs(members, np.arange(201) * 100, 80, 100)
-    shared = len(signs) - len(np.unique(signs))
-    assert shared < 40  # parts without a member, signs before, were shared by the hundred
+                sets, grams = nj.rarest(np.concatenate([base, other]), np.array([0, len(base), len(base) + len(other)]), counts, 90, 100)
+                assert np.intersect1d(grams[sets == 0], grams[sets == 1]).size
+
+
+def test_frequent_passages_are_not_rare_grams(spark):
+    """Texts that share a passage and nothing else go to no leader."""
+    random.seed(3)
+    passage = [f"p{k}" for k in range(30)]
+    texts = [" ".join([*passage, *(f"w{random.randint(0, 10**9)}" for _ in range(70))]) for _ in range(200)]
+    rows = frame(spark, texts).select("doc_id", "text")
+    counts = nj.gram_counts(rows, 5)
+    scan = nj._scan(rows, 5, 80, 100, 8, counts).filter("part IS NOT NULL").select("part", "gram", "class", "size")
+    assert scan.groupBy("part").applyInArrow(nj._leaders(80, 100), nj.LED).count() < 10

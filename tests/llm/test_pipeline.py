@@ -50,11 +50,11 @@ def test_stages_against_brute_force(spark, planted):
             seen.add(norm)
             unique.add(k)
     shingles = lambda t, n: {tuple(w[k : k + n]) for w in [t.lower().split()] for k in range(len(w) - n + 1)} or ({tuple(t.lower().split())} - {()})
-    sets = {k: shingles(texts[k] or "", 3) for k in unique}
+    sets = {k: shingles(texts[k] or "", 5) for k in unique}
     root = {k: k for k in unique}
     for a in unique:
         for b in unique:
-            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                 low, high = sorted((root[a], root[b]))
                 root = {k: low if r == high else r for k, r in root.items()}
     apart = {k for k in unique if root[k] == k}
