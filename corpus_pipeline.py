@@ -33,12 +33,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     (row,) = fresh(docs, "_row")
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
     classes = freeze(ngram_join.near_classes(numbered.select(row, "text"), **NEAR, id_col=row).select(F.col("doc_id").alias("_at"), "component_id"))
-    several = classes.groupBy("component_id").count().filter("count > 1").select("component_id")
-    member = classes.join(several, "component_id")
+    several = freeze(classes.groupBy("component_id").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
+    member = freeze(classes.join(broadcast_if_small(several, several.count()), "component_id"))
     ids = numbered.select(F.col(row).alias("_at"), F.col("doc_id").alias("_id"))
     named = freeze(ids.join(broadcast_if_small(member, member.count()), "_at"))
-    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_at")).alias("least"))
-    gone = freeze(named.join(first, "component_id").filter("_at <> least._at").select(F.col("_at").alias(row)))
+    first = freeze(named.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_at")).alias("least")))
+    gone = freeze(named.join(broadcast_if_small(first, first.count()), "component_id").filter("_at <> least._at").select(F.col("_at").alias(row)))
     return numbered.join(broadcast_if_small(gone, gone.count()), row, "left_anti").drop(row)
 
 
