@@ -10,7 +10,7 @@ root: the overlap of a path is counted once for all sets below it, and a subtree
 and the n-grams that remain on either side cannot reach what its smallest set needs, or all its sets are linked to the
 probe already. (4) Links make components.
 
-A leader of more than CHUNK n-grams is cut: its sets meet in chunks, each beside the leader. If links have not joined
+A leader of more than CHUNK n-grams or CHUNK_SETS sets is cut: its sets meet in chunks, each beside the leader. If links have not joined
 them all, the sets outside the largest component (only those) visit every chunk.
 
 Sets are compared by 64-bit hashes of their n-grams; equal sets are one class from the start (128-bit digest).
@@ -31,7 +31,7 @@ from oddlog.session import broadcast_if_small, freeze
 
 NGRAM, NUM, DEN = 3, 90, 100
 SLOTS, STRIPE = 1 << 20, 1 << 10  # counters of the frequency sketch, counters of one of its rows
-CHUNK = 1 << 19  # n-grams of one tree
+CHUNK, CHUNK_SETS = 1 << 19, 512  # n-grams and sets of one tree
 PART_BYTES = 32 << 20  # packed n-grams that one task sorts
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -397,7 +397,8 @@ def _links(rows: DataFrame, ids: DataFrame, led: DataFrame, n: int, num: int, de
     """(node, root) of the classes that links join."""
     grams = led.agg(F.sum("n")).first()[0] or 0
     bins = max(shuffle_parts(rows.sparkSession), 8 * grams // PART_BYTES + 1)
-    hot = freeze(led.groupBy("lead").agg(F.sum("n").alias("n")).filter(F.col("n") > CHUNK).select("lead", F.ceil(F.col("n") / CHUNK).alias("chunks")))
+    chunks = F.greatest(F.ceil(F.sum("n") / CHUNK), F.ceil(F.count(F.lit(1)) / CHUNK_SETS)).alias("chunks")
+    hot = freeze(led.groupBy("lead").agg(chunks).filter("chunks > 1"))
     n_hot = hot.count()
     cut = F.col("chunks").isNotNull()
     spread = led.join(broadcast_if_small(hot, n_hot, BROADCAST), "lead", "left")

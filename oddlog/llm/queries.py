@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from oddlog.llm import chat, decontaminate, exact, html, mixing, ngram_join, quality, substring, tokens, toxicity
+from oddlog.llm import chat, decontaminate, exact, html, langid, lexical, mixing, ngram_join, quality, substring, tokens, toxicity, whitening
 from oddlog.llm.common import table
 
 NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
@@ -65,6 +65,19 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read_back(chat.format_turns(turns, chat.text_parts(F.col("text")))))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
 LLM_QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_counts": op2_token_counts,
@@ -76,6 +89,9 @@ LLM_QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_chat": op10_chat,
+    "op11_whitening": op11_whitening,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_language": op13_language,
 }
 
 LLM_ORACLES = {
@@ -126,4 +142,23 @@ LLM_ORACLES = {
         sized AS (SELECT *, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size
                   FROM normal WINDOW w AS (PARTITION BY text_sha256))
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM sized""",
+    "op12_lexical_search": r"""
+        WITH words AS (
+            SELECT 0 AS kind, doc_id AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+            UNION ALL
+            SELECT 1, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) FROM benchmark),
+        tf AS (SELECT kind, id, term, count(*)::BIGINT AS tf FROM words GROUP BY ALL),
+        sizes AS (SELECT id, sum(tf)::BIGINT AS n FROM tf WHERE kind = 0 GROUP BY id),
+        totals AS (SELECT count(*)::BIGINT AS nn, sum(n)::BIGINT AS ll FROM sizes),
+        weights AS (SELECT term, floor(1000 * ln((2 * any_value(nn) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, totals WHERE kind = 0 GROUP BY term),
+        scores AS (
+            SELECT q.id AS item_id, d.id AS doc_id,
+                   sum(q.tf * w * ((1000000000 * d.tf) // (1000 * d.tf + 12 * (75 + (25 * n * nn) // ll))))::BIGINT AS score
+            FROM tf q JOIN tf d ON q.kind = 1 AND d.kind = 0 AND q.term = d.term JOIN weights w ON w.term = d.term JOIN sizes s ON s.id = d.id, totals
+            GROUP BY q.id, d.id)
+        SELECT item_id, rank, doc_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM scores WHERE score > 0)
+        WHERE rank <= 20""",
 }

@@ -58,9 +58,10 @@ def test_other_thresholds(spark):
     assert got(frame(spark, texts), n=5, num=80) == brute(texts, 80, 100, 5)
 
 
-@pytest.mark.parametrize("chunk", [1, 60, 400])
-def test_large_leaders_meet_in_chunks(spark, monkeypatch, chunk):
+@pytest.mark.parametrize("chunk, sets", [(1, 512), (400, 3)])
+def test_large_leaders_meet_in_chunks(spark, monkeypatch, chunk, sets):
     monkeypatch.setattr(nj, "CHUNK", chunk)
+    monkeypatch.setattr(nj, "CHUNK_SETS", sets)
     texts = corpus(5)
     assert got(frame(spark, texts)) == brute(texts)
 
