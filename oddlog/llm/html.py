@@ -4,10 +4,15 @@ A page is a sequence of tokens: the start of each structural element with its pa
 root) and each text block with its path. A token's occurrence vector says how often each page of its host has it; it is
 kept as a combinable digest, so vectors are compared without gathering a host. Tokens of equal vectors form a class.
 Classes on at least half of a host's pages, with two or more tokens, whose elements nest in elements of such classes,
-are the host's template. Its slots are the containers of the template, and the slot that holds most of the text no
-rule marks as page furniture is the main one. Texts that are themselves template tokens (once on every page of a host
-with `CONSTANT_PAGES` different pages or more, outside the article element) are left out too. Pages of a host with the
-same text are one page to the template. Where a host has no template, or a page does not fit it, the page's own article, main or body element is the slot.
+are the host's template. Its slots are the containers of the template, and the slot that holds most of the text is the
+main one. Texts in the class of the whole page (once on every different page of the host, of two or more), outside an
+article element, belong to the template and are left out, unless they are most of what the page has in its slot: the
+slot is what differs. Rows of a host with the same text are one page to the template. Where a host has no template, or
+a page does not fit it, the page's own article, main or body element is the slot.
+
+Names of elements only break ties: an element is what the last telling word of a class, id or role says (`share-bar`,
+`reader-comments`, but not `with-sidebar`, `comments-open` or `search-results`), and none that holds an article, a main
+element, the first-level heading or most of the page's text is furniture for its name.
 """
 
 from __future__ import annotations
@@ -22,7 +27,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from oddlog.session import broadcast_if_small, freeze
 
-CONSTANT_PAGES = 10
 MAIN_SHARE = 0.6
 
 # Elements of HTML by what they do to the text; fixed by the language.
@@ -36,51 +40,102 @@ CONTAINERS = frozenset("article main section div td body".split())
 FURNITURE = frozenset("head nav header footer aside form select option optgroup menu dialog fieldset button".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
              "option": {"option"}}
-# Words in classes, ids and roles that mark page furniture outside an article or main element.
-MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promoted promotion banner cookie cookies consent "
-    "gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login nav navbar navigation "
-    "menu breadcrumb breadcrumbs sidebar sidebars rail widget widgets related recommended recommendations trending share sharing social "
-    "footer header masthead topbar toolbar comment comments commentlist respond reply replies disqus discussion pagination pager paging "
-    "copyright legal disclaimer skip hidden search searchform contentinfo complementary toc".split()
+# What an element is by its name: page furniture inside an article or main element too, and outside them only.
+INSERTS = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promoted promotion comment comments "
+    "commentlist respond reply replies disqus newsletter subscribe subscription signup cookie cookies consent gdpr related recommended "
+    "recommendations share sharing social popup modal overlay".split()
 )
-# Whole classes, ids and roles that mark comments and adverts inside an article or main element too.
-INSERTS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored comment comments commentlist respond reply replies disqus".split())
+COMMENTS = frozenset("comment comments commentlist respond reply replies disqus".split())
+MARKS = INSERTS | frozenset(
+    "banner notice notices notification alert login nav navbar navigation menu breadcrumb breadcrumbs sidebar sidebars rail widget widgets "
+    "trending footer header masthead topbar toolbar discussion pagination pager paging copyright legal disclaimer skip search searchform "
+    "contentinfo complementary toc".split()
+)
+# Words that say nothing of what an element is, and words before one that it only goes with.
+GENERAL = frozenset("list bar box wrap wrapper container section area block blocks form panel item items inner outer content posts links link button buttons unit slot text top bottom left right".split())
+WITH = frozenset("with has no is not without".split())
 
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
-_NAMED = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 _WORD = re.compile(r"[a-z]+")
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+
+
+def attributes_of(text: str) -> dict[str, str]:
+    out: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(text):
+        out.setdefault(name.lower(), value.strip("\"'"))
+    return out
+
+
+def unseen(attributes: dict[str, str]) -> bool:
+    return "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or bool(_UNSEEN.search(attributes.get("style", "")))
+
+
+def telling(name: str) -> str:
+    """The word of a class, id or role that says what the element is."""
+    words = _WORD.findall(name.lower())
+    while len(words) > 1 and words[-1] in GENERAL:
+        words.pop()
+    return "" if not words or (len(words) > 1 and words[0] in WITH) else words[-1]
+
+
+def names_of(attributes: dict[str, str]) -> list[str]:
+    return [w for k in ("class", "id", "role") for w in attributes.get(k, "").split()]
 
 
 class Element:
-    __slots__ = ("tag", "path", "furniture", "inside")
+    __slots__ = ("tag", "path", "parent", "inside", "hard", "marked", "comments", "furniture", "chars", "holds")
 
     def __init__(self, tag: str, attributes: str, parent: Element | None) -> None:
-        self.tag = tag
-        names = ""
-        marked = whole = False
-        if attributes:
-            found = [(k.lower(), v.strip("\"'").lower()) for k, v in _NAMED.findall(attributes)]
-            names = "".join(f".{w}" for k, v in found if k != "role" for w in _WORD.findall(v)[:3])
-            whole = any(w in INSERTS for _, v in found for w in v.split())
-            words = not (parent and parent.inside) and any(w in MARKS for _, v in found for w in _WORD.findall(v))
-            marked = whole or words or bool(_HIDDEN.search(attributes))
-        self.path = (parent.path if parent else "") + "/" + tag + names
+        self.tag, self.parent = tag, parent
         self.inside = (parent.inside if parent else frozenset()) | ({tag} & {"article", "main"})
-        # A header of the article belongs to it; names on the outer frame say nothing.
-        own = tag in FURNITURE and not (tag == "header" and self.inside)
-        self.furniture = bool(parent and parent.furniture) or own or (marked and tag not in ("html", "body", "article", "main"))
-        if whole and tag == "article" and "comment" in names:
-            self.furniture = True
+        known = attributes_of(attributes) if attributes else {}
+        names = names_of(known)
+        self.path = (parent.path if parent else "") + "/" + tag + "".join(f".{w}" for n in names if n != known.get("role") for w in _WORD.findall(n.lower())[:3])
+        # A header of the article belongs to it.
+        self.hard = bool(parent and parent.hard) or (tag in FURNITURE and not (tag == "header" and self.inside)) or unseen(known)
+        among = INSERTS if parent and parent.inside else MARKS
+        self.marked = tag not in ("html", "body", "main") and any(telling(n) in among for n in names)
+        self.comments = self.marked and any(telling(n) in COMMENTS for n in names)
+        self.furniture = self.hard
+        self.chars, self.holds = 0, False
+
+
+def _settle(elements: list[Element], texts: list[tuple[Element, str]]) -> None:
+    """Decide which marked elements are furniture, from what they hold."""
+    total = plain = 0
+    for element, text in texts:
+        if not element.hard:
+            total += len(text)
+            at, named = element, False
+            while at:
+                at.chars += len(text)
+                named |= at.marked
+                at = at.parent
+            plain += 0 if named else len(text)
+    for element in elements:
+        if element.tag in ("article", "main", "h1") and not element.hard and not element.marked:
+            at = element.parent
+            while at and not at.holds:
+                at.holds = True
+                at = at.parent
+    for element in elements:  # parents come first
+        # Comments may be longer than what they are about, if there is such a thing.
+        small = 2 * element.chars <= total or (element.comments and (plain > 0 if element.inside else 10 * plain >= total))
+        by_name = element.marked and not element.holds and small
+        element.furniture = element.hard or by_name or bool(element.parent and element.parent.furniture)
 
 
 def blocks(page: str) -> tuple[list[Element], list[tuple[Element, str]]]:
     """Structural elements of a page in order, and its text blocks with the element they stand in."""
     stack = [Element("html", "", None)]
     elements, out, text = [], [], []
+    silent: list[str] = []  # open inline elements from the first that is not shown
     at, size = 0, len(page)
 
     def flush() -> None:
@@ -93,7 +148,7 @@ def blocks(page: str) -> tuple[list[Element], list[tuple[Element, str]]]:
     while at < size:
         found = _TAG.search(page, at)
         stop = found.start() if found else size
-        if stop > at:
+        if stop > at and not silent:
             text.append(entities.unescape(page[at:stop]))
         if not found:
             break
@@ -103,7 +158,7 @@ def blocks(page: str) -> tuple[list[Element], list[tuple[Element, str]]]:
         closing, tag, attributes = (found[1], found[2], found[3]) if found[2] is not None else (found[4], found[5], found[6])
         tag = tag.lower()
         if tag in RAW and not closing:
-            if not attributes.endswith("/"):
+            if not (attributes.endswith("/") and tag in ("svg", "math")):
                 end = re.compile(rf"</{tag}[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = end.end() if end else size
         elif tag == "br":
@@ -111,6 +166,7 @@ def blocks(page: str) -> tuple[list[Element], list[tuple[Element, str]]]:
         elif tag == "hr":
             flush()
         elif tag in BLOCK or tag == "button":
+            silent.clear()  # a block ends what an unclosed inline element hides
             flush()
             if closing:
                 for k in range(len(stack) - 1, 0, -1):
@@ -126,7 +182,18 @@ def blocks(page: str) -> tuple[list[Element], list[tuple[Element, str]]]:
                 element = Element(tag, attributes, stack[-1])
                 stack.append(element)
                 elements.append(element)
+        elif tag not in _VOID:
+            if closing:
+                if tag in silent:
+                    del silent[len(silent) - 1 - silent[::-1].index(tag) :]
+            elif silent:
+                silent.append(tag)
+            elif attributes and not attributes.endswith("/"):
+                known = attributes_of(attributes)
+                if unseen(known) or any(telling(n) in INSERTS for n in names_of(known)):
+                    silent.append(tag)
     flush()
+    _settle(elements, out)
     return elements, out
 
 
@@ -246,7 +313,7 @@ def templates(pages: DataFrame) -> DataFrame:
         F.max("host_pages").alias("host_pages"),
         F.collect_list(F.when(
             F.col("path").isNull() & (F.col("pages") == F.col("host_pages")) & (F.col("total") == F.col("pages"))
-            & (F.col("pages") >= CONSTANT_PAGES), F.col("token"))).alias("constants"),
+            & (F.col("pages") > 1), F.col("token"))).alias("constants"),
     )
     mains = gathered.select("host", "elements", "host_pages").mapInArrow(_deduce, "host string, main string")
     return gathered.select("host", "constants").join(mains, "host")
@@ -261,7 +328,10 @@ def page_text(page: str, main: str | None = None, constants: frozenset[int] = fr
         slot = slot or [(e, t) for e, t in texts if tag in e.inside]
     slot = slot or texts
     if constants:
-        slot = [(e, t) for e, t in slot if "article" in e.inside or _hash(e.path, "t" + t) not in constants]
+        own = [(e, t) for e, t in slot if "article" in e.inside or _hash(e.path, "t" + t) not in constants]
+        # The slot is what differs: where most of it is on every page, the pages are versions of one text.
+        if 2 * sum(len(t) for _, t in own) >= sum(len(t) for _, t in slot):
+            slot = own
     return "\n".join(t for _, t in slot)
 
 
