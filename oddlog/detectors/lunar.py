@@ -1,8 +1,17 @@
-"""Learned score over neighbour distances (after Goodge et al. 2022)."""
+"""Learned score over neighbour distances (after Goodge et al. 2022).
+
+Made-up rows are real ones moved by a few times the distance of their own farthest neighbour, so one far row does not
+stretch what the others are compared with. Distances count by their logarithm in units of the median one. The network's
+weights stay above zero: a row that is farther from all its neighbours never scores less. Training is one full-batch
+step a pass, and neither its order nor the partitions change the result.
+"""
 
 from __future__ import annotations
 
-from pyspark.ml.classification import MultilayerPerceptronClassifier
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -10,48 +19,50 @@ from oddlog.detectors.base import Fitted, Shared, clean
 from oddlog.detectors.iforest import uniform
 from oddlog.detectors.neighbours import distance_score
 from oddlog.operators.nearest import nearest
-from oddlog.operators.scaling import fit_minmax
+from oddlog.operators.network import Network, _matrix, drawn, train
+from oddlog.operators.quantile import quantiles
 from oddlog.session import hold
 
-# Fixed values of the method: box margin, noise width, share of noisy features.
-BOX, NOISE, NOISY = 0.1, 0.2, 0.3
+# Moves in units of the farthest neighbour's distance: of all features, of a share of them.
+WIDE, NARROW, SHARE = 2.0, 4.0, 0.3
+STARTS = 3
 
 
-def _filled(nn: Column, k: int) -> Column:
-    """Exactly k ordered distances; short lists repeat their last one."""
+def _inputs(nn: Column, k: int, unit: float) -> Column:
+    """Exactly k ordered distances, as logarithms of units; short lists repeat their last one."""
     dist = F.transform(nn, lambda e: e["dist"])
-    last = distance_score(nn)
-    spare = F.array_repeat(last, F.lit(k) - F.size(dist))
-    return array_to_vector(F.concat(dist, spare))
+    spare = F.array_repeat(distance_score(nn), F.lit(k) - F.size(dist))
+    return F.transform(F.slice(F.concat(dist, spare), 1, k), lambda d: F.log1p(d / F.lit(unit)))
 
 
-def negatives(rows: DataFrame, low: list[float], high: list[float], seed: int) -> DataFrame:
-    """One made-up row per row: even ids uniform in the box, odd ids perturbed."""
-    lo = F.array(*[F.lit(float(x)) for x in low])
-    span = F.array(*[F.lit(float(h - l)) for l, h in zip(low, high)])
+def negatives(rows: DataFrame, lists: DataFrame, unit: float, seed: int) -> DataFrame:
+    """One made-up row per row: even ids moved in all features, odd ids in a share of them."""
+    far = distance_score(F.col("nn"))
+    reach = lists.select("row_id", F.when(far > 0, far).otherwise(F.lit(unit)).alias("reach"))
     x = vector_to_array("features")
-
-    def u(j: Column, salt: int) -> Column:
-        return uniform(F.lit(seed + salt), F.col("row_id"), j)
-
-    box = F.transform(lo, lambda l, j: l + F.get(span, j) * ((1 + 2 * BOX) * u(j, 0) - BOX))
-    moved = F.transform(
-        x,
-        lambda v, j: v + F.when(u(j, 1) < NOISY, F.get(span, j) * NOISE * (2 * u(j, 2) - 1)).otherwise(0.0),
-    )
-    made = F.when(F.pmod("row_id", F.lit(2)) == 0, box).otherwise(moved)
-    return rows.select("row_id", array_to_vector(made).alias("features"))
+    even = F.pmod("row_id", F.lit(2)) == 0
+    root = F.sqrt(F.greatest(F.size(x) * F.when(even, 1.0).otherwise(SHARE), F.lit(1.0)))
+    u = lambda j, salt: uniform(F.lit(seed + salt), F.col("row_id"), j)
+    size = F.col("reach") * F.when(even, WIDE).otherwise(NARROW) * 3**0.5 / root
+    moved = F.transform(x, lambda v, j: v + F.when(even | (u(j, 1) < SHARE), size * (2 * u(j, 2) - 1)).otherwise(0.0))
+    return rows.join(reach, "row_id").select("row_id", array_to_vector(moved).alias("features"))
 
 
 class LunarModel(Fitted):
-    def __init__(self, train: DataFrame, lists: DataFrame, k: int, network, scale: float):
-        self.train, self.k, self.network, self.scale = train, k, network, scale
+    def __init__(self, train: DataFrame, lists: DataFrame, k: int, network: Network, unit: float):
+        self.train, self.k, self.network, self.unit = train, k, network, unit
         super().__init__(self._of(lists))
 
     def _of(self, lists: DataFrame) -> DataFrame:
-        unit = F.transform(vector_to_array(_filled(F.col("nn"), self.k)), lambda d: d / F.lit(self.scale))
-        judged = self.network.transform(lists.select("row_id", array_to_vector(unit).alias("features")))
-        return judged.select("row_id", F.get(vector_to_array("probability"), F.lit(1)).alias("score"))
+        network = self.network
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                z = network.output(_matrix(batch.column(1)))[:, 0] if batch.num_rows else np.zeros(0)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-z)))], ["row_id", "score"])
+
+        kind = lists.schema["row_id"].dataType.simpleString()
+        return lists.select("row_id", _inputs(F.col("nn"), self.k, self.unit).alias("x")).mapInArrow(read, f"row_id {kind}, score double")
 
     def score(self, rows: DataFrame) -> DataFrame:
         return self._of(nearest(clean(rows), self.train, self.k))
@@ -62,23 +73,20 @@ class LunarModel(Fitted):
 
 
 class LUNAR:
-    def __init__(self, n_neighbours: int = 5, seed: int = 7, hidden: int = 16, max_iter: int = 50):
+    def __init__(self, n_neighbours: int = 5, seed: int = 7, hidden: int = 16, max_iter: int = 30):
         self.k, self.seed, self.hidden, self.max_iter = n_neighbours, seed, hidden, max_iter
         self.neighbours = n_neighbours
 
     def fit(self, rows: DataFrame, shared: Shared | None = None) -> LunarModel:
         shared = shared or Shared(clean(rows))
         rows, lists = shared.features, shared.lists(self.k)
-        box = fit_minmax(rows)
-        fake = nearest(negatives(rows, box.low, box.high, self.seed), rows, self.k)
-        real = lists.select("nn", F.lit(0.0).alias("label"))
-        told = real.unionByName(fake.select("nn", F.lit(1.0).alias("label")))
-        vectors = told.select(_filled(F.col("nn"), self.k).alias("features"), "label")
-        scale = lists.agg(F.avg(distance_score(F.col("nn")))).first()[0] or 1.0
-        unit = F.transform(vector_to_array("features"), lambda d: d / F.lit(scale))
-        told = hold(vectors.select(array_to_vector(unit).alias("features"), "label"))
-        network = MultilayerPerceptronClassifier(
-            layers=[self.k, self.hidden, 2], seed=self.seed, maxIter=self.max_iter
-        ).fit(told)
+        far = lists.select(distance_score(F.col("nn")).alias("far")).filter("far > 0")
+        unit = quantiles(far, "far", [0.5])[0] if not far.isEmpty() else 1.0
+        fake = nearest(negatives(rows, lists, unit, self.seed), rows, self.k)
+        real = lists.select("nn", F.array(F.lit(0.0)).alias("y"))
+        told = real.unionByName(fake.select("nn", F.array(F.lit(1.0)).alias("y")))
+        told = hold(told.select(_inputs(F.col("nn"), self.k, unit).alias("x"), "y"))
+        starts = [drawn([self.k, self.hidden, 1], self.seed + s, "leaky") for s in range(STARTS)]
+        network = train(told, starts, "logistic", self.max_iter, 0.1, rising=True)
         told.unpersist()
-        return LunarModel(rows, lists, self.k, network, scale)
+        return LunarModel(rows, lists, self.k, network, unit)

@@ -21,6 +21,7 @@ from oddlog.functions import text
 from oddlog.functions.ratios import RATIO_NAMES, load_words, ratio_struct, with_meaning
 from oddlog.functions.rows import finite_vector
 from oddlog.operators import pooling, vocabulary as vocab
+from oddlog.operators.autoencoder import fit_autoencoder
 from oddlog.operators.order import with_position
 from oddlog.operators.reduce import fit_pca, fit_svd
 from oddlog.operators.scaling import fit_minmax
@@ -96,10 +97,14 @@ def _pool(df: DataFrame, column: str, resources: dict, model=None, pattern=r"[\w
     return pooling.pool(termed, total, width, "_t", out=column).drop("_t")
 
 
-def _autoencoder(df: DataFrame, column: str, resources: dict, hidden_neurons=None, **_) -> DataFrame:
-    """Linear encoding of the last hidden width; training settings have no meaning."""
+def _autoencoder(df: DataFrame, column: str, resources: dict, hidden_neurons=None, epochs=20, lr=0.03, linear=False, **_) -> DataFrame:
+    """Encoding of the last hidden width: by a network, trained one full-batch step an epoch, or, if `linear`, by
+    principal components. A batch size has no meaning here."""
+    widths = list(hidden_neurons or [128, 64])
     cleaned = df.withColumn(column, finite_vector(F.col(column)))
-    return fit_pca(cleaned, (hidden_neurons or [128, 64])[-1], column).transform(cleaned, column)
+    if linear:
+        return fit_pca(cleaned, widths[-1], column).transform(cleaned, column)
+    return fit_autoencoder(cleaned, widths, epochs, lr, features=column).transform(cleaned, column)
 
 
 def _minmax(df: DataFrame, column: str, resources: dict) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from oddlog.functions.rows import quoted
 from oddlog.functions.text import word_tokens
 from oddlog.operators.order import with_position
+from oddlog.sources.records import QUOTE, records
 
 # Cells a string-typed CSV reader still takes for missing.
 NA_WORDS = (
@@ -51,29 +52,33 @@ class CachedTable:
 class CsvSource(CachedTable):
     """Header CSV with every column as text.
 
-    Quoted cells may hold line breaks, so a file is read by one task and many
-    files are what is read in parallel. ``multi_line=False`` splits files, for
-    huge files whose records are one line each.
+    Quoted cells may hold line breaks, and a large file is still read by many tasks (see `records`): splits are those
+    of ``spark.sql.files.maxPartitionBytes``.
     """
 
-    def __init__(self, spark: SparkSession, path: str, sep: str = ",", multi_line: bool = True):
-        self.spark, self.path, self.sep, self.multi_line = spark, path, sep, multi_line
+    def __init__(self, spark: SparkSession, path: str, sep: str = ","):
+        self.spark, self.path, self.sep = spark, path, sep
+
+    def _placed(self, columns: Sequence[str] | None) -> DataFrame:
+        options = {"sep": self.sep, "escape": QUOTE}
+        names = self.spark.read.options(**options, header=True, inferSchema=False, multiLine=True).csv(self.path).columns
+        missing = [c for c in columns or () if c not in names]
+        if missing:
+            raise ValueError(f"Requested columns not available in csv data: {missing}")
+        if not names:
+            return self.spark.createDataFrame([], "_file string, _start bigint, _line bigint")
+        schema = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(len(names))])
+        found = records(self.spark, self.path, self.sep)
+        cells = found.select("_file", "_start", "_line", F.from_csv("_text", schema.simpleString()[7:-1].replace(":", " "), options).alias("_row"))
+        cell = lambda k: F.col("_row")[f"c{k}"]
+        return cells.select("_file", "_start", "_line", *[F.when(~cell(k).isin(*NA_WORDS), cell(k)).alias(n) for k, n in enumerate(names)])
 
     def load(self, columns: Sequence[str] | None = None) -> DataFrame:
-        options = {"header": True, "inferSchema": False, "sep": self.sep, "escape": '"', "multiLine": self.multi_line}
-        raw = self.spark.read.options(**options).csv(self.path)
-        require_columns(raw, columns, "csv data")
-        return raw.select(*[F.when(~quoted(c).isin(*NA_WORDS), quoted(c)).alias(c) for c in raw.columns])
+        return self._placed(columns).drop("_file", "_start", "_line")
 
     def load_in_order(self, columns: Sequence[str] | None = None, out: str = "row_id") -> tuple[DataFrame, int]:
         """The table with its 0-based line position over all files, by path."""
-        table = self.load(columns)
-        lines = table.withColumns({
-            "_file": F.col("_metadata.file_path"),
-            "_start": F.col("_metadata.file_block_start"),
-            "_line": F.monotonically_increasing_id(),
-        })
-        placed, n = with_position(lines, ["_file", "_start", "_line"], out)
+        placed, n = with_position(self._placed(columns), ["_file", "_start", "_line"], out)
         return placed.drop("_file", "_start", "_line"), n
 
 

@@ -1,9 +1,12 @@
 import json
 
+import random
+
 import pytest
 from pyspark.sql import Row
 
 from oddlog.sources.sinks import append_metrics, metrics_frame, write_anomalies, write_table, reset
+from oddlog.sources.records import ends_inside, split_lines
 from oddlog.sources.tables import CsvSource, HitSource, flatten
 
 
@@ -27,8 +30,10 @@ def test_csv_lines_in_file_order(spark, tmp_path):
     for part in range(3):
         lines = "\n".join(f"{part * 1000 + i}" for i in range(1000))
         (tmp_path / f"p{part}.csv").write_text("n\n" + lines + "\n")
-    for multi_line in (True, False):
-        df, n = CsvSource(spark, str(tmp_path), multi_line=multi_line).load_in_order()
+    for size in ("128m", "200"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        df, n = CsvSource(spark, str(tmp_path)).load_in_order()
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
         assert n == 3000
         assert all(int(r.n) == r.row_id for r in df.collect())
 
@@ -175,3 +180,56 @@ def test_metrics_rows_share_one_header(spark, tmp_path):
     assert back["b"].n_models == "4"
     with pytest.raises(ValueError):
         metrics_frame(spark, [{"other": 1}])
+
+
+def _odd_csv(path, rows, seed, ending="\n", lead=""):
+    """Records with line breaks, doubled quotes, separators and stray quotes; the cells as they should come back."""
+    rng = random.Random(seed)
+    bits = ["plain", "a b", "x,y", 'say "hi"', "two\nlines", "\n\n", "end\n", '"', '","', "q" * 400, "\n" * 90, "deep\n" * 60]
+    want, out = [], [f"{lead}id,text,more"]
+    for k in range(rows):
+        cells = [str(k), rng.choice(bits), rng.choice(bits)]
+        want.append(cells)
+        out.append(",".join(c if c.isalnum() else '"' + c.replace('"', '""') + '"' for c in cells))
+        if rng.random() < 0.1:
+            out.append("")  # a blank line is no record
+    path.write_text(ending.join(out) + ending)
+    return want
+
+
+@pytest.mark.parametrize("size", ["40", "333", "5k", "128m"])
+def test_one_csv_file_in_many_tasks(spark, tmp_path, size):
+    want = _odd_csv(tmp_path / "one.csv", 300, 5)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        df, n = CsvSource(spark, str(tmp_path / "one.csv")).load_in_order()
+        tasks = split_lines(spark, str(tmp_path / "one.csv")).rdd.getNumPartitions()
+        got = [[r.id, r.text, r.more] for r in df.orderBy("row_id").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert tasks >= 8 or size == "128m"
+    assert n == 300 and got == want
+
+
+def test_many_csv_files_and_crossing_headers(spark, tmp_path):
+    want = []
+    for k in range(3):
+        want += _odd_csv(tmp_path / f"f{k}.csv", 40, k, "\r\n" if k == 1 else "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        df, _ = CsvSource(spark, str(tmp_path)).load_in_order()
+        assert [[r.id, r.text, r.more] for r in df.orderBy("row_id").collect()] == want
+        head = tmp_path / "head.csv"
+        head.write_text('"a\n' + "x" * 200 + '",b\n1,2\n3,4\n')
+        df = CsvSource(spark, str(head)).load()
+        assert df.columns == ["a\n" + "x" * 200, "b"] and sorted(tuple(r) for r in df.collect()) == [("1", "2"), ("3", "4")]
+        (tmp_path / "none.csv").write_text("a,b\n")
+        assert CsvSource(spark, str(tmp_path / "none.csv")).load().count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_stray_quotes_open_no_cell():
+    assert not ends_inside('5" disk, 3" disk', False, ",")
+    assert ends_inside('5,"open', False, ",") and not ends_inside('shut",5', True, ",")
+    assert ends_inside('a""b', True, ",") and not ends_inside('"a""","b"', False, ",") and not ends_inside("", False, ",")
