@@ -27,7 +27,7 @@ UNIT = 1024  # a weight of 1
 EXHAUSTIVE = 6  # languages up to which all partings in two are bits
 AMBIGUOUS = 0.8  # scores below are flagged
 UNKNOWN = "und"
-_STEP = 1 << 19
+_STEP = 1 << 16  # bytes of text looked at together
 
 
 def letters(text: Column) -> Column:
@@ -59,8 +59,8 @@ def codewords(n: int) -> np.ndarray:
     return code
 
 
-def grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(first text, starts of texts, buckets) of stretches of bytes; bucket BUCKETS is no n-gram.
+def grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+    """(first text, starts of texts, buckets of each size) of stretches of bytes; bucket BUCKETS is no n-gram.
 
     Each place is the start of an n-gram of every size, as far as it ends in its text; the stretches overlap no place.
     """
@@ -74,17 +74,19 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, n
         ends = np.repeat(offsets[first + 1 : last + 2], np.diff(np.append(starts, high - low)))
         key = np.zeros(high - low, np.uint64)
         place = np.arange(low, high)
+        found = []
         for n in range(1, max(GRAMS) + 1):
             byte = np.zeros(high - low, np.uint8)
             there = data[low + n - 1 : min(high + n - 1, len(data))]
             byte[: len(there)] = there
             key = (key << np.uint64(8)) | byte.astype(np.uint64)
             if n in GRAMS:
-                bucket = (mix(key + np.uint64(n << 40)) % np.uint64(BUCKETS)).astype(np.int64)
+                bucket = (mix(key + np.uint64(n << 40)) & np.uint64(BUCKETS - 1)).astype(np.int64)
                 bucket[place + n > ends] = BUCKETS
                 if n == 1:
                     bucket[byte == 32] = BUCKETS
-                yield first, starts, bucket
+                found.append(bucket)
+        yield first, starts, found
 
 
 @dataclass(frozen=True)
@@ -99,10 +101,16 @@ class LanguageModel:
         """Mean weight of the n-grams of each text, a column for each bit, in units of the bit's usual margin."""
         n = len(offsets) - 1
         total, count = np.zeros((n, self.weights.shape[1]), np.int64), np.zeros(n, np.int64)
-        for first, starts, bucket in grams(data, offsets):
+        tables = [np.ascontiguousarray(w) for w in self.weights.T]  # a stretch of one bit's sums stays in cache
+        for first, starts, found in grams(data, offsets):
             at = slice(first, first + len(starts))
-            total[at] += np.add.reduceat(self.weights[bucket], starts, axis=0, dtype=np.int64)
-            count[at] += np.add.reduceat(bucket < BUCKETS, starts, dtype=np.int64)
+            for b, table in enumerate(tables):
+                each = table.take(found[0])
+                for bucket in found[1:]:
+                    each += table.take(bucket)
+                total[at, b] += np.add.reduceat(each, starts, dtype=np.int64)
+            for bucket in found:
+                count[at] += np.add.reduceat(bucket < BUCKETS, starts, dtype=np.int64)
         return total / np.maximum(count, 1)[:, None] / self.margin
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,9 +158,9 @@ def gram_counts(learning: DataFrame, n: int) -> np.ndarray:
         for batch in batches:
             own = batch.column(0).to_numpy().astype(np.int64)
             for low, _, data, offsets in slices(batch.column(1)):
-                for first, starts, bucket in grams(data, offsets):
-                    of = np.repeat(own[low + first : low + first + len(starts)], np.diff(np.append(starts, len(bucket))))
-                    found += np.bincount(of * (BUCKETS + 1) + bucket, minlength=len(found))
+                for first, starts, buckets in grams(data, offsets):
+                    of = np.repeat(own[low + first : low + first + len(starts)], np.diff(np.append(starts, len(buckets[0])))) * (BUCKETS + 1)
+                    found += np.bincount(np.concatenate([of + bucket for bucket in buckets]), minlength=len(found))
         striped = found.reshape(n, -1)[:, :BUCKETS].reshape(n * STRIPES, -1)
         held = np.flatnonzero(striped.any(1))
         yield pa.RecordBatch.from_arrays(
