@@ -5,9 +5,7 @@ rows into p, by hash, and each of the p x q cells of the grid is one task: a que
 row q times. Cells are as many as keep the cores busy, and more once a side would pass SIDE_BYTES. Partial top-k lists
 are merged per query, so no pair of rows leaves a task unless it is in a list.
 
-``method="exact"`` (the default, at every size) meets all cells. ``method="approximate"`` is for tables where every
-pair is too much: rows go to their nearest of some centres, a query looks at its nearest few, and each centre's rows
-are such a grid of their own, so a crowded centre is cut like any other. Its lists may miss neighbours.
+This meets every pair; `descent` finds most of the same lists without.
 """
 
 from __future__ import annotations
@@ -23,8 +21,6 @@ from oddlog.session import freeze
 
 DENSE_WIDTH = 256
 SIDE_BYTES = 64 << 20
-CENTRES, PROBES = 64, 4
-_PIVOT_SAMPLE = 4096
 
 
 def side_rows(width: int) -> int:
@@ -143,18 +139,6 @@ def _objects(values) -> pd.Series:
     return pd.Series(list(values), dtype=object)
 
 
-def _pivots(rows: DataFrame, width: int, count: int) -> np.ndarray:
-    """Far-apart rows of a hash sample; only the balance depends on them."""
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(_PIVOT_SAMPLE).select("vi", "vv").toPandas()
-    points = to_matrix(sample.vi, sample.vv, width)
-    chosen = [0]
-    gap = np.linalg.norm(points - points[0], axis=1)
-    while len(chosen) < min(count, len(points)) and gap.max() > 0:
-        chosen.append(int(gap.argmax()))
-        gap = np.minimum(gap, np.linalg.norm(points - points[chosen[-1]], axis=1))
-    return points[chosen]
-
-
 def _distinct(rows: DataFrame, keep: int, self_join: bool) -> DataFrame:
     """One row per vector: base ids (the ``keep`` smallest) and a query id."""
     rows = rows.withColumn("h", F.xxhash64("vi", "vv"))
@@ -176,55 +160,25 @@ def _distinct(rows: DataFrame, keep: int, self_join: bool) -> DataFrame:
 LISTS = "qid long, nd array<double>, ni array<long>"
 
 
-def _cells(vectors: DataFrame, width: int, centres: np.ndarray, probes: int) -> DataFrame:
-    """Add ``near``: numbers of the ``probes`` nearest centres, the nearest first."""
-
-    def place(batches):
-        for pdf in batches:
-            x = to_matrix(pdf.vi, pdf.vv, width)
-            d2 = (centres * centres).sum(1)[None, :] - 2.0 * x @ centres.T
-            yield pdf.assign(near=_objects(np.argsort(d2, axis=1, kind="stable")[:, :probes].astype("int32")))
-
-    return vectors.mapInPandas(
-        place, "h long, vi array<int>, vv array<double>, ids array<long>, qid long, near array<int>"
-    )
-
-
-def grid(vectors: DataFrame, k: int, width: int, skip_self: bool, side: int, cores: int, probes: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides of all cells: queries and base rows with ``cell``, ``a`` and ``b``.
+def grid(vectors: DataFrame, side: int, cores: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of all cells: queries and base rows with ``a`` and ``b``.
 
-    ``vectors``: h, vi, vv, ids (as base), qid (as query), near (centres).
+    ``vectors``: h, vi, vv, ids (as base), qid (as query).
     """
-    asks = vectors.filter("qid IS NOT NULL").withColumn("cell", F.explode(F.slice("near", 1, probes)))
-    bases = vectors.filter(F.size("ids") > 0).withColumn("cell", F.get("near", F.lit(0)))
-    # One row a centre: centres are a parameter, so the plan of the grid is bounded.
-    size = lambda df, name: df.groupBy("cell").agg(F.count(F.lit(1)).alias(name))
-    found = size(asks, "n_q").join(size(bases, "n_b"), "cell").collect()
-    spark = vectors.sparkSession
-    share = max(1, cores // max(len(found), 1))
-    plan = spark.createDataFrame(
-        [(r.cell, cut(r.n_b, side, share), cut(r.n_q, side, share)) for r in found], "cell int, p int, q int"
-    )
-    deal = lambda salt, n: F.pmod(F.xxhash64("h", F.lit(salt)), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = asks.join(F.broadcast(plan), "cell").select(
-        "cell", deal("query", F.col("q")).alias("a"), every("p").alias("b"), "vi", "vv", "qid", F.size("ids").alias("held")
-    )
-    right = bases.join(F.broadcast(plan), "cell").select(
-        "cell", every("q").alias("a"), deal("base", F.col("p")).alias("b"), "vi", "vv", "ids", "qid"
-    )
+    asks = vectors.filter("qid IS NOT NULL")
+    bases = vectors.filter(F.size("ids") > 0)
+    p, q = cut(bases.count(), side, cores), cut(asks.count(), side, cores)
+    deal = lambda salt, n: F.pmod(F.xxhash64("h", F.lit(salt)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asks.select(deal("query", q).alias("a"), every(p).alias("b"), "vi", "vv", "qid", F.size("ids").alias("held"))
+    right = bases.select(every(q).alias("a"), deal("base", p).alias("b"), "vi", "vv", "ids", "qid")
     return left, right
 
 
-def _search(vectors, queries, k, width, skip_self, side, n_queries, method, centres, probes):
+def _search(vectors, queries, k, width, skip_self, side, n_queries):
     cores = vectors.sparkSession.sparkContext.defaultParallelism
-    if method == "approximate":
-        points = _pivots(vectors.withColumnRenamed("h", "id"), width, centres)
-        vectors = _cells(vectors, width, points, probes)
-    else:
-        vectors, probes = vectors.withColumn("near", F.array(F.lit(0))), 1
     vectors = freeze(vectors)
-    left, right = grid(vectors, k, width, skip_self, side, cores, probes)
+    left, right = grid(vectors, side, cores)
 
     def meet(ask: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
         # Other copies of a query are told by their ids, so it needs fewer rows.
@@ -234,12 +188,11 @@ def _search(vectors, queries, k, width, skip_self, side, n_queries, method, cent
         found = pd.DataFrame({"qid": ask.qid.to_numpy(), "nd": _objects(near), "ni": _objects(who)})
         return found[found.nd.map(len) > 0]
 
-    keys = ["cell", "a", "b"]
+    keys = ["a", "b"]
     right = right.withColumnsRenamed({c: f"base_{c}" for c in right.columns})  # both sides come from one frame
     lists = left.groupBy(*keys).cogroup(right.groupBy(*[f"base_{c}" for c in keys])).applyInPandas(meet, LISTS)
     entries = lists.select("qid", F.explode(F.arrays_zip(F.col("nd").alias("dist"), F.col("ni").alias("id"))).alias("e"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("e.dist", "e.id"))
-    # A row is in one cell only, so what several centres find does not repeat.
     best = entries.withColumn("_n", rank).filter(F.col("_n") <= k).groupBy("qid").agg(F.collect_list("e").alias("far"))
     asks = vectors.filter("qid IS NOT NULL")
     own = F.transform("ids", lambda i: F.struct(F.lit(0.0).alias("dist"), i.alias("id")))
@@ -266,19 +219,12 @@ def nearest(
     key: str = "row_id",
     features: str = "features",
     rows_per_side: int | None = None,
-    method: str = "exact",
-    centres: int = CENTRES,
-    probes: int = PROBES,
 ) -> DataFrame:
     """``(row_id, nn)``: the k nearest base rows, ``nn`` an ordered array of (dist, id).
 
     Without ``base`` the queries search themselves and a row is not its own
-    neighbour unless ``include_self``. Ties go to the smaller id. Only
-    ``method="approximate"`` uses ``centres`` and ``probes``; its result has a
-    third column, ``approximate``.
+    neighbour unless ``include_self``. Ties go to the smaller id.
     """
-    if method not in ("exact", "approximate"):
-        raise ValueError(f"unknown method {method!r}")
     width = vector_width(queries if base is None else base, features)
     asked = unpacked(queries, key, features, width)
     self_join = base is None
@@ -292,10 +238,9 @@ def nearest(
     skip_self = self_join and not include_self
     vectors = _distinct(rows, k + 1, self_join).select("h", "vi", "vv", "ids", "qid")
     side = rows_per_side or side_rows(width)
-    lists = _search(vectors, asked, k, width, skip_self, side, asked.count(), method, centres, probes)
+    lists = _search(vectors, asked, k, width, skip_self, side, asked.count())
     kept = F.filter("nn", lambda e: e["id"] != F.col("row_id")) if skip_self else F.col("nn")
-    out = lists.select("row_id", F.slice(kept, 1, k).alias("nn"))
-    return out if method == "exact" else out.withColumn("approximate", F.lit(True))
+    return lists.select("row_id", F.slice(kept, 1, k).alias("nn"))
 
 
 def graph(lists: DataFrame) -> DataFrame:

@@ -17,7 +17,8 @@ from oddlog.functions.ratios import RATIO_NAMES, entropy, ratio_columns, ratio_s
 from oddlog.functions.rows import finite, is_anomaly, nonzeros, typed_fill
 from oddlog.operators import evaluate as ev, pooling, vocabulary as vb, windows as wd
 from oddlog.operators.nearest import graph, nearest
-from oddlog.operators.order import with_position
+from oddlog.operators.descent import descend
+from oddlog.operators.order import with_entity_position, with_position
 from oddlog.operators.quantile import quantiles
 from oddlog.operators.reduce import fit_pca, fit_svd
 from oddlog.operators.scaling import minmax_columns
@@ -321,8 +322,8 @@ def event_positions(spark, sf):
 
 def _win_query(size: int, overlap: int, method: str):
     def query(spark, sf):
-        rows, n = ordered_events(spark, sf)
-        return six(wd.window_values(wd.assign_windows(rows, n, size, overlap), ["value"], method), "value")
+        rows, _ = ordered_events(spark, sf)
+        return six(wd.sliding_values(rows, size, overlap, ["value"], method), "value")
 
     return query
 
@@ -332,13 +333,13 @@ def win_features(spark, sf):
     made = texts(spark, sf, "documents").select("doc_id", ratio_struct(F.col("text")).alias("r"))
     rows, n = with_position(made, ["doc_id"])
     rows = rows.select("pos", array_to_vector(F.array("r.alnum", "r.entropy")).alias("features"))
-    return _spread(wd.window_features(wd.assign_windows(rows, n, 10, 5), width=2), "win_id", "features", "alnum", "entropy")
+    return _spread(wd.sliding_features(rows, 10, 5, width=2), "win_id", "features", "alnum", "entropy")
 
 
 def win_label_max(spark, sf):
     rows, n = ordered_events(spark, sf)
     rows = rows.withColumn("y", (F.col("event_type") == "error").cast("int"))
-    labels = wd.window_labels(wd.assign_windows(rows, n, 5))
+    labels = wd.sliding_labels(rows, 5, 0)
     return labels.select("win_id", "y", wd.window_truth(F.col("y"), "ok").alias("truth"))
 
 
@@ -350,6 +351,25 @@ def win_expand(spark, sf):
     return wd.expand_to_rows(rows, labels, 20, 10).select("event_id", "row_flag")
 
 
+def win_users(spark, sf):
+    """Windows of ten events of one user, in the user's own order."""
+    rows = with_entity_position(table(spark, sf, "events").select("event_id", "ts", "user_id", "value"), "user_id", ["ts", "event_id"])
+    return six(wd.sliding_values(rows, 10, 6, ["value"], "mean", by=["user_id"]), "value")
+
+
+def user_positions(spark, sf):
+    rows = table(spark, sf, "events").select("event_id", "ts", "user_id")
+    return with_entity_position(rows, "user_id", ["ts", "event_id"]).select("event_id", "pos")
+
+
+def knn_descent(spark, sf):
+    """Neighbour lists found without all pairs; at least nine of ten entries are exact, as measured."""
+    found = descend(embeddings(spark, sf), 5)
+    if found.recall < 0.9:
+        raise RuntimeError(f"recall of {found.recall:.3f} is below 0.9")
+    return graph(found.lists).withColumn("recall", F.lit(found.recall))
+
+
 def url_ratio_vectors(spark, sf) -> DataFrame:
     parts = ratio_columns(F.col("url"))
     # Single precision, as the ratio step gives: equal shares stay equal values.
@@ -540,6 +560,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "event_positions": event_positions,
     "win_mean": _win_query(80, 0, "mean"),
     "win_sum_sliding": _win_query(80, 60, "sum"),
+    "win_sum_dense": _win_query(80, 79, "sum"),
+    "win_users": win_users,
+    "user_positions": user_positions,
+    "knn_descent": knn_descent,
     "win_features": win_features,
     "win_label_max": win_label_max,
     "win_expand": win_expand,

@@ -15,7 +15,7 @@ from oddlog.functions.rows import is_anomaly, quoted, typed_fill
 from oddlog.operators import evaluate as ev
 from oddlog.operators.order import with_position
 from oddlog.operators.windows import (
-    WINDOW_DEFAULTS, assign_windows, flagged_positions, window_count, window_features, window_labels,
+    WINDOW_DEFAULTS, flagged_positions, sliding_features, sliding_labels, window_count,
 )
 from oddlog.plans import config as cf, search as sr
 from oddlog.plans.registry import DETECTORS, FEATURES, numeric_vector
@@ -107,11 +107,11 @@ def _windows(features: DataFrame, truth: DataFrame | None, n_rows: int, window:
     count = window_count(n_rows, window["size"], window["overlap"])
     if count == 0:
         return None
-    place = lambda df: assign_windows(df, n_rows, window["size"], window["overlap"], "row_id")
-    vectors = window_features(place(features), window["method"]).withColumnRenamed("win_id", "row_id")
+    size, overlap = window["size"], window["overlap"]
+    vectors = sliding_features(features, size, overlap, window["method"], pos="row_id").withColumnRenamed("win_id", "row_id")
     labels = None
     if truth is not None:
-        labels = window_labels(place(truth)).withColumnRenamed("win_id", "row_id")
+        labels = sliding_labels(truth, size, overlap, pos="row_id").withColumnRenamed("win_id", "row_id")
     return Unit(vectors, labels, n_rows, window, count)
 
 

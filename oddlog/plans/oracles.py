@@ -222,6 +222,11 @@ ORACLES: dict[str, str] = {
     "event_positions": f"WITH {ORDERED} SELECT event_id, pos FROM p",
     "win_mean": windowed(80, 80, "avg"),
     "win_sum_sliding": windowed(80, 20, "sum"),
+    "win_sum_dense": windowed(80, 1, "sum"),
+    "user_positions": "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events",
+    "win_users": """WITH p AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events),
+        w AS (SELECT user_id, value, unnest(range(greatest(0, ceil((pos - 9) / 4)::BIGINT), pos // 4 + 1)) AS win_id FROM p)
+        SELECT user_id, win_id, round(avg(value), 6) AS value FROM w GROUP BY user_id, win_id HAVING count(*) = 10""",
     "win_features": f"""WITH r AS ({ratios('documents', 'doc_id', 'text')}),
         p AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM r), t AS (SELECT count(*) AS n FROM r), {in_windows(10, 5)}
         SELECT win_id, round(avg(alnum), 6) AS alnum, round(avg(entropy), 6) AS entropy FROM w GROUP BY win_id""",

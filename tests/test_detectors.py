@@ -9,6 +9,7 @@ from oddlog.detectors.base import Shared, cuts
 from oddlog.detectors.density import cluster_roots
 from oddlog.detectors.neighbours import transfer_scores
 from oddlog.operators import ecdf
+from oddlog.operators.descent import descend
 from oddlog.operators.nearest import nearest
 
 
@@ -66,17 +67,22 @@ def test_queries_against_another_table(spark, rows_per_side):
     assert got == brute(q, range(len(q)), x, range(len(x)), 5, False)
 
 
-def test_approximate_lists_are_flagged_and_near(spark):
-    x = cloud(600, copies=50)
+def test_descent_finds_nearly_all_lists(spark):
+    x = cloud(700, copies=50)
     df = frame(spark, x)
     want = lists(nearest(df, k=5))
-    found = nearest(df, k=5, method="approximate", centres=12, probes=4, rows_per_side=40)
-    assert found.filter("approximate").count() == len(x)
-    got = lists(found)
-    recall = np.mean([len({i for _, i in got[r]} & {i for _, i in want[r]}) / 5 for r in want])
-    assert recall > 0.9 and all(len(v) == 5 for v in got.values())
-    with pytest.raises(ValueError):
-        nearest(df, method="fast")
+    found = descend(df, k=5)
+    got = lists(found.lists)
+    assert set(got) == set(want) and all(len(v) == 5 for v in got.values())
+    recall = np.mean([len({d for d, _ in got[r]} & {d for d, _ in want[r]}) / len({d for d, _ in want[r]}) for r in want])
+    assert recall > 0.9 and found.recall > 0.9
+    alone = descend(frame(spark, np.ones((1, 3))), k=2)
+    assert [r.nn for r in alone.lists.collect()] == [[]] and alone.recall == 1.0
+
+
+def test_descent_measures_fewer_pairs_a_row(spark):
+    few, many = (descend(frame(spark, np.random.default_rng(2).normal(size=(n, 6))), k=5) for n in (600, 2400))
+    assert many.recall > 0.9 and many.measured / 2400 < 2 * few.measured / 600 and many.measured < 0.7 * 2400 * 2399 / 2
 
 
 def test_fewer_rows_than_neighbours(spark):
