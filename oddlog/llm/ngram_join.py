@@ -1,10 +1,11 @@
 """Near-duplicate classes by a prefix-tree join on word n-gram sets.
 
 Four steps. (1) One global order of all n-grams: a sketch of counters over every set says how frequent an n-gram is, a
-hash breaks ties. (2) Sets that link share one of their rarest n-grams, so each set sends only those (size - needed
-overlap + 1 of them), packed, to the part of the n-gram. An n-gram's sets, sorted by size and cut where two neighbours
-differ too much in size to link, are a list; the one of least digest leads it. A set then goes once to each of its
-leaders: whoever shares a rare n-gram meets at the leader of that n-gram's list, and sets that share none never meet.
+hash breaks ties. (2) Sets that link share so many of their rarest n-grams (see `depth`); each set sends only those,
+packed, to the part of the n-gram. An n-gram's sets, sorted by size and cut where two neighbours differ too much in size
+to link, are a list; the one of least digest leads it. A set with too few n-grams in lists of several sets links with
+none. Any other goes once to each of its leaders: whoever shares a rare n-gram meets at the leader of that n-gram's
+list, and sets that share none never meet.
 (3) The sets of a leader form a prefix tree in the global order, most frequent n-gram first. Probes descend from the
 root: the overlap of a path is counted once for all sets below it, and a subtree is left as soon as the overlap so far
 and the n-grams that remain on either side cannot reach what its smallest set needs, or all its sets are linked to the
@@ -30,7 +31,9 @@ from oddlog.operators.components import components, local_components
 from oddlog.session import broadcast_if_small, freeze
 
 NGRAM, NUM, DEN = 3, 90, 100
-SLOTS, STRIPE = 1 << 20, 1 << 10  # counters of the frequency sketch, counters of one of its rows
+SLOTS, STRIPE = 1 << 21, 1 << 10  # counters of the frequency sketch, counters of one of its rows
+TENTH = 10  # linked sets share a tenth of their size among their rarest n-grams
+SLICE = 2 << 20  # bytes of text whose sets are packed together
 CHUNK, CHUNK_SETS = 1 << 19, 512  # n-grams and sets of one tree
 PART_BYTES = 32 << 20  # packed n-grams that one task sorts
 _LOW = np.uint64(0xFFFFFFFF)
@@ -79,10 +82,11 @@ def gram_counts(docs: DataFrame, n: int) -> np.ndarray:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, own = Words(lower=True), np.zeros(SLOTS, np.int64)
+        words, own = Words(lower=True), np.zeros(SLOTS, np.uint32)
         for batch in batches:
-            for _, _, data, offsets in slices(batch.column(0)):
-                own += np.bincount(slot(ngram_sets(words, data, offsets, n)[0]), minlength=SLOTS)
+            for _, _, data, offsets in slices(batch.column(0), SLICE):
+                at, met = np.unique(slot(ngram_sets(words, data, offsets, n)[0]), return_counts=True)
+                own[at] += met.astype(np.uint32)
         striped = np.minimum(own, 65_535).astype(np.uint16).reshape(-1, STRIPE)
         held = np.flatnonzero(striped.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array([striped[k].tobytes() for k in held], pa.binary())], ["stripe", "counts"])
@@ -103,16 +107,31 @@ def gram_counts(docs: DataFrame, n: int) -> np.ndarray:
     return out.reshape(-1)
 
 
+def depth(sizes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """How many of their rarest n-grams linked sets share at least: a tenth of the size, one or more."""
+    return np.maximum(1, np.minimum(-(-num * sizes // den), sizes // TENTH))
+
+
 def rarest(members: np.ndarray, ends: np.ndarray, counts: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(set number, n-gram) of the n-grams of which two linked sets share one: all but the last `needed overlap - 1`."""
+    """(set number, n-gram) of each set's rarest n-grams: all but the last `needed overlap - depth`.
+
+    The first n-grams that two linked sets share, as many as the smaller of their depths, are among these in both: any
+    set's needed overlap is at most what they share, and the rest of either set lies behind.
+    """
     sizes = np.diff(ends)
     of = np.repeat(np.arange(len(sizes)), sizes)
     order = np.lexsort((order_key(members, counts), of))
     place = np.arange(len(members)) - np.repeat(ends[:-1], sizes)
-    sent = place < np.repeat(sizes - -(-num * sizes // den) + 1, sizes)
+    sent = place < np.repeat(sizes - -(-num * sizes // den) + depth(sizes, num, den), sizes)
     return of[sent], members[order][sent]
 
 
+def asked(size: Column, num: int, den: int) -> Column:
+    """Depth of the smallest set that can link with a set of this size."""
+    least = F.ceil(num * size / den)
+    return F.greatest(F.lit(1), F.least(F.ceil(num * least / den), F.floor(least / TENTH)))
+
+
 SENT = "doc_id bigint, n bigint, k1 bigint, k2 bigint, part int, gram binary, class binary, size binary"
 
 
@@ -132,7 +151,7 @@ def _scan(docs: DataFrame, n: int, num: int, den: int, parts: int, counts: np.nd
         names = [c.split()[0] for c in SENT.split(", ")]
         none = lambda kind, m: pa.nulls(m, kind)
         for batch in batches:
-            for low, high, data, offsets in slices(batch.column(1)):
+            for low, high, data, offsets in slices(batch.column(1), SLICE):
                 members, ends = ngram_sets(words, data, offsets, n)
                 k1, k2 = _digests(members, ends)
                 rows, sizes = high - low, np.diff(ends)
@@ -158,12 +177,12 @@ def _scan(docs: DataFrame, n: int, num: int, den: int, parts: int, counts: np.nd
     return docs.mapInArrow(read, SENT)
 
 
-LED = "lead bigint, k1 bigint, n bigint"
+LED = "lead bigint, k1 bigint, n bigint, lists bigint"
 
 
 def _leaders(num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
-        """(lead, k1, n): each class of a list beside the list's leader, for lists of two classes or more."""
+        """(lead, k1, n, lists): each class beside the leaders of its lists of two classes or more, and how many those are."""
         gram, of, size = (np.concatenate([np.frombuffer(b, kind) for b in table[c].to_pylist()]) for c, kind in (("gram", np.uint64), ("class", np.int64), ("size", np.int32)))
         order = np.lexsort((of, size, gram))
         gram, of, size = gram[order], of[order], size[order].astype(np.int64)
@@ -175,8 +194,9 @@ def _leaders(num: int, den: int):
         at = np.flatnonzero(start)
         count = np.diff(np.append(at, len(gram)))
         lead, several = np.repeat(np.minimum.reduceat(of, at), count), np.repeat(count, count) > 1
-        led = np.unique(np.stack([lead[several], of[several], size[several]], 1), axis=0)
-        return pa.table({name: pa.array(led[:, k], pa.int64()) for k, name in enumerate(("lead", "k1", "n"))})
+        led, lists = np.unique(np.stack([lead[several], of[several], size[several]], 1), axis=0, return_counts=True)
+        columns = [*led.T, lists]
+        return pa.table({name: pa.array(np.ascontiguousarray(c), pa.int64()) for name, c in zip(("lead", "k1", "n", "lists"), columns)})
 
     return run
 
@@ -230,7 +250,7 @@ class Tree:
 
         `group` says which component each set is in (the caller updates it between steps), `own` which each probe is.
         """
-        step = max(1, min(64, (1 << 25) // max(width, 1), (1 << 21) // max(len(self.ranks), 1)))
+        step = max(1, min(64, (1 << 24) // max(width, 1), (1 << 19) // max(len(self.ranks), 1)))
         for base in range(0, len(probes), step):
             some = probes[base : base + step]
             has = np.zeros((len(some), width), bool)
@@ -321,7 +341,7 @@ def _sets_of(docs: DataFrame, n: int) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(lower=True)
         for batch in batches:
-            for low, high, data, offsets in slices(batch.column(0)):
+            for low, high, data, offsets in slices(batch.column(0), SLICE):
                 members, ends = ngram_sets(words, data, offsets, n)
                 packed = pa.array([members[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())
                 found = pa.RecordBatch.from_arrays([*[c[low:high] for c in batch.columns[1:]], packed], ["node", "goes", "members"])
@@ -383,11 +403,17 @@ def near_classes(docs: DataFrame, n: int = NGRAM, num: int = NUM, den: int = DEN
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     counts = gram_counts(rows, n)
     # A packed n-gram is 20 bytes, a few times that while sorted.
-    parts = max(shuffle_parts(rows.sparkSession), int(20 * int(counts.sum(dtype=np.int64)) * (den - num) / den) // PART_BYTES + 1)
+    sent = int(counts.sum(dtype=np.int64)) * (1 - num / den + 1 / TENTH)
+    parts = max(shuffle_parts(rows.sparkSession), int(20 * sent) // PART_BYTES + 1)
     scan = freeze(_scan(rows, n, num, den, parts, counts))
     seen = scan.filter("part IS NULL").select("doc_id", "n", "k1", "k2")
     packed = scan.filter("part IS NOT NULL").select("part", "gram", "class", "size")
-    led = freeze(packed.groupBy("part").applyInArrow(_leaders(num, den), LED).distinct())
+    found = packed.groupBy("part").applyInArrow(_leaders(num, den), LED)
+    seen_at = freeze(found.groupBy("lead", "k1", "n").agg(F.sum("lists").alias("lists")))
+    enough = seen_at.groupBy("k1", "n").agg(F.sum("lists").alias("lists")).filter(F.col("lists") >= asked(F.col("n"), num, den)).select("k1")
+    kept = freeze(seen_at.join(broadcast_if_small(enough, seen_at.count(), BROADCAST), "k1").select("lead", "k1", "n"))
+    several = kept.groupBy("lead").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1").select("lead")
+    led = freeze(kept.join(broadcast_if_small(several, kept.count(), BROADCAST), "lead"))
     ids = freeze(seen.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")))
     links = _links(rows, ids, led, n, num, den, counts)
     return _classes(seen, ids, links)

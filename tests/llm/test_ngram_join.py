@@ -80,7 +80,7 @@ def test_rows_into_the_join_grow_with_the_sets(spark):
         rows = frame(spark, texts).select("doc_id", "text")
         counts = nj.gram_counts(rows, 5)
         scan = nj._scan(rows, 5, 80, 100, 8, counts).filter("part IS NOT NULL").select("part", "gram", "class", "size")
-        led = scan.groupBy("part").applyInArrow(nj._leaders(80, 100), nj.LED).distinct()
+        led = scan.groupBy("part").applyInArrow(nj._leaders(80, 100), nj.LED).select("lead", "k1").distinct()
         assert led.count() <= 3 * len(texts)
         assert got(frame(spark, texts), n=5, num=80) == brute(texts, 80, 100, 5)
 
@@ -106,7 +106,8 @@ def test_linked_sets_share_a_rare_gram():
                 if 100 * same < 90 * (len(base) + len(other) - same):
                     continue
                 sets, grams = nj.rarest(np.concatenate([base, other]), np.array([0, len(base), len(base) + len(other)]), counts, 90, 100)
-                assert np.intersect1d(grams[sets == 0], grams[sets == 1]).size
+                shared = np.intersect1d(grams[sets == 0], grams[sets == 1]).size
+                assert shared >= nj.depth(np.array([len(base), len(other)]), 90, 100).min() >= 1
 
 
 def test_frequent_passages_are_not_rare_grams(spark):
