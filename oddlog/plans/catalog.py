@@ -21,13 +21,13 @@ from oddlog.operators.descent import descend
 from oddlog.operators.order import with_entity_position, with_position
 from oddlog.operators.quantile import quantiles
 from oddlog.operators.reduce import fit_pca, fit_svd
-from oddlog.operators.scaling import minmax_columns
+from oddlog.operators.scaling import fit_minmax, minmax_columns
 from oddlog.operators.tfidf import idf_value, tfidf_long, tfidf_vectors
 from oddlog.plans import search as sr
 from oddlog.plans.config import feature_variants
 from oddlog.plans.jobs import build_features, run
 from oddlog.session import ensure_checkpoint_dir, hold, spread
-from oddlog.sources.sinks import write_table
+from oddlog.sources.sinks import METRICS_SCHEMA, write_table
 from oddlog.sources.tables import CsvSource, HitSource
 
 TOKENS = "[A-Za-z0-9_]{2,}"
@@ -515,6 +515,68 @@ def grid_search(spark, sf):
     return six(ranks, "mean_test_score", "std_test_score")
 
 
+def _scratch(spark, name: str) -> str:
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def run_anomalies(spark, sf):
+    """Flagged rows of a run over orders, written twice to one place: the second run replaces the first."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    jobs = {"price": {"features": {"o_totalprice": {}}, "estimators": {"ecod": ECOD_STEP}}}
+    path = _scratch(spark, "run")
+    for _ in range(2):
+        run(orders, jobs, ["o_orderkey"], results_path=f"{path}/metrics", target_path=f"{path}/rows")
+    back = spark.read.options(sep=";", header=True).csv(f"{path}/rows")
+    return back.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "strategy")
+
+
+def run_metrics(spark, sf):
+    """Metric rows of a labelled run as its CSV holds them, after two runs."""
+    jobs = {"ratio": {"features": {"text": RATIO_STEP}, "estimators": {"ecod": ECOD_STEP}}}
+    path = _scratch(spark, "metrics")
+    for _ in range(2):
+        run(labelled_documents(spark, sf), jobs, ["doc_id"], labels="toxic:0", results_path=path)
+    back = spark.read.options(sep=";", header=True).schema(METRICS_SCHEMA).csv(path)
+    return six(back.select("name", *METRICS, "score_mean", "score_min", "score_max"), "score_mean", "score_min", "score_max")
+
+
+def run_grid(spark, sf):
+    """Best mean recall of a grid searched by a labelled run."""
+    docs = labelled_documents(spark, sf).select("doc_id", "toxic", "n_chars")
+    step = [{"class": "x.ECOD", "grid": {"contamination": [0.1, 0.2, 0.3]}}]
+    jobs = {"size": {"features": {"n_chars": {}}, "estimators": {"ecod": step}}}
+    return run(docs, jobs, ["doc_id"], labels="toxic:0").frame(spark).select(F.round("best_score", 4).alias("best_score"))
+
+
+def run_no_windows(spark, sf):
+    """A table shorter than a window gives no metric row: all regions, in windows of 100."""
+    jobs = {"key": {"features": {"r_regionkey": {}}, "estimators": {"ecod": ECOD_STEP}}}
+    found = run(table(spark, sf, "region").select("r_regionkey"), jobs, ["r_regionkey"], mode="sequence", window={"size": 100})
+    return table(spark, sf, "region").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_metrics", F.lit(len(found.metrics)).cast("long"))
+
+
+def lower_ratios(spark, sf):
+    df = texts(spark, sf, "documents").select("doc_id", ratio_struct(F.col("text"), True).alias("r"))
+    return df.select("doc_id", *[F.round(F.col("r")[n], 6).alias(n) for n in RATIOS])
+
+
+def minmax_model(spark, sf):
+    """Scaling as jobs do it, fitted on a vector column."""
+    rows = part_pair(spark, sf)
+    return _spread(fit_minmax(rows).transform(rows), "row_id", "features", "size", "price")
+
+
+def cached_source(spark, sf):
+    """A source that is read once, kept, and read again on demand."""
+    path = _scratch(spark, "cache")
+    write_table(table(spark, sf, "nation").select("n_nationkey", "n_name"), path)
+    source = CsvSource(spark, path, sep=";")
+    first = source.get_df()
+    kept = source.get_df() is first and source.get_df(force_reload=True) is not first
+    return source.get_df().withColumn("kept", F.lit(kept))
+
+
 def sink_roundtrip(spark, sf):
     """Events written as ``;`` CSV to the shared folder and read back as text."""
     ensure_checkpoint_dir(spark)
@@ -533,6 +595,13 @@ def csv_text_roundtrip(spark, sf):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "run_anomalies": run_anomalies,
+    "run_metrics": run_metrics,
+    "run_grid": run_grid,
+    "run_no_windows": run_no_windows,
+    "lower_ratios": lower_ratios,
+    "minmax_model": minmax_model,
+    "cached_source": cached_source,
     "url_ratios": url_ratios,
     "document_ratios": document_ratios,
     "text_entropy": text_entropy,

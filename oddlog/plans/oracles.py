@@ -171,6 +171,7 @@ POINT_ROWS = f"SELECT doc_id AS row_id, {TEXT_FLOATS}, 0.0 AS meaning FROM ({rat
 
 ORACLES: dict[str, str] = {
     "url_ratios": rounded_ratios("pages", "page_id", "url"),
+    "lower_ratios": rounded_ratios("(SELECT doc_id, lower(text) AS text FROM documents)", "doc_id", "text"),
     "document_ratios": rounded_ratios("documents", "doc_id", "text"),
     "text_entropy": f"""SELECT conv_id, turn, round(coalesce(entropy, 0.0), 6) AS entropy FROM conversations LEFT JOIN (
         {entropies('conversations', 'conv_id, turn', 'text')}) USING (conv_id, turn)""",
@@ -318,3 +319,13 @@ ORACLES: dict[str, str] = {
     "iforest_bootstrap_far": FAR,
     "lunar_far": FAR,
 }
+ORACLES |= {
+    "run_anomalies": f"""WITH s AS ({ecod('SELECT o_orderkey AS row_id, o_totalprice FROM orders', ['o_totalprice'])})
+        SELECT row_id AS o_orderkey, 'price' AS strategy FROM s WHERE score > (SELECT quantile_cont(score, 0.9) FROM s)""",
+    "run_metrics": ORACLES["bench_point"],
+    "run_grid": f"SELECT round(max(mean_test_score), 4) AS best_score FROM ({ORACLES['grid_search']})",
+    "run_no_windows": "SELECT count(*) AS n_rows, 0::BIGINT AS n_metrics FROM region",
+    "minmax_model": """SELECT p_partkey AS row_id, round((p_size - min(p_size) OVER ()) / (max(p_size) OVER () - min(p_size) OVER ())::DOUBLE, 6) AS size,
+        round((p_retailprice - min(p_retailprice) OVER ()) / (max(p_retailprice) OVER () - min(p_retailprice) OVER ()), 6) AS price FROM part""",
+    "cached_source": "SELECT n_nationkey::VARCHAR AS n_nationkey, n_name, true AS kept FROM nation",
+}
