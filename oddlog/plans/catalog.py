@@ -124,23 +124,18 @@ def hit_text_match(spark, sf):
     return HitSource(spark, table=hits, query=query).load().select("_id", "role")
 
 
-def _hit_query(query):
+def _hit_query(where: str, query: dict | None = None):
     def found(spark, sf):
-        return HitSource(spark, table=nested_hits(spark, sf), query={"query": query}).load().select("_id")
+        return HitSource(spark, table=nested_hits(spark, sf), query=query, where=where).load().select("_id")
 
     return found
 
 
-hit_should = _hit_query({"bool": {
-    "should": [{"term": {"event.type": {"value": "error"}}}, {"range": {"event.value": {"gt": 150}}}, {"term": {"props.k": 7}}],
-    "minimum_should_match": 2,
-}})
-hit_terms_exists = _hit_query({"bool": {
-    "filter": [{"terms": {"props.k": [1, 2, 3]}}, {"exists": {"field": "user.id"}}], "must_not": {"prefix": {"event.type": "cl"}},
-}})
-hit_missing_field = _hit_query({"bool": {
-    "must": [{"wildcard": {"event.type": "*r*"}}], "must_not": [{"exists": {"field": "no.field"}}, {"range": {"no.other": {"gte": 1}}}],
-}})
+hit_should = _hit_query(
+    "int(coalesce(`event.type` = 'error', false)) + int(coalesce(`event.value` > 150, false)) + int(coalesce(`props.k` = 7, false)) >= 2"
+)
+hit_terms_exists = _hit_query("`props.k` IN (1, 2, 3) AND `user.id` IS NOT NULL AND NOT `event.type` LIKE 'cl%'")
+hit_missing_field = _hit_query("`event.type` LIKE '%r%'", {"query": {"bool": {"must_not": [{"range": {"no.other": {"gte": 1}}}]}}})
 
 
 def hit_json_scan(spark, sf):

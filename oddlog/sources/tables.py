@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import fnmatch
 import json
 import re
 from collections.abc import Iterable, Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -138,191 +139,48 @@ def _within(op: str, value):
 WORDS = r"[\p{L}\p{N}_]+"
 
 
-def _analysed(text: str) -> list[str]:
-    return re.findall(r"[^\W]+", text.lower())
-
-
-def _has_words(df: DataFrame, name: str, text: str, keywords: Sequence[str], how: str) -> Column:
-    """Any word, all words or the phrase of ``text`` in a field; equality for a keyword or untexted field."""
-    words = _analysed(text)
-
-    def test(column: Column, kind: T.DataType) -> Column:
-        if name in keywords or not isinstance(kind, T.StringType):
-            return _equals(text)(column, kind)
-        found = word_tokens(column, WORDS)
-        if how == "phrase":
-            return F.concat(F.lit(" "), F.array_join(found, " "), F.lit(" ")).contains(f" {' '.join(words)} ") & F.lit(bool(words))
-        wanted = F.array(*[F.lit(w) for w in dict.fromkeys(words)])
-        return F.arrays_overlap(found, wanted) if how == "or" else F.size(F.array_except(wanted, found)) == 0
-
-    return F.coalesce(_compare(df, name, test), F.lit(False)) if words else F.lit(False)
-
-
-def _one(body: dict, *parts: str) -> tuple:
-    """Field, value and options of ``{field: value}`` or ``{field: {part: value, ...}}``."""
-    if len(body) != 1:
-        raise ValueError(f"one field expected in {body}")
+def _term(df: DataFrame, body: dict, keywords: Sequence[str]) -> Column:
     ((name, value),) = body.items()
-    if not isinstance(value, dict):
-        return name, value, {}
-    options = dict(value)
-    for part in parts:
-        if part in options:
-            return name, options.pop(part), options
-    raise ValueError(f"none of {parts} in {body}")
-
-
-def _options(options: dict, known: Iterable[str], where: str) -> None:
-    unknown = set(options) - set(known) - {"boost", "_name"}  # neither changes what matches
-    if unknown:
-        raise ValueError(f"unknown options {sorted(unknown)} of {where}")
-
-
-def _term(df, body, keywords):
-    name, value, options = _one({k: v for k, v in body.items() if k != "boost"}, "value")
-    _options(options, (), "term")
     return _compare(df, name, _equals(value))
 
 
-def _terms(df, body, keywords):
-    out = F.lit(False)
-    for name, values in body.items():
-        if name != "boost":
-            for value in values:
-                out = out | F.coalesce(_compare(df, name, _equals(value)), F.lit(False))
-    return out
-
-
-def _range(df, body, keywords):
+def _range(df: DataFrame, body: dict, keywords: Sequence[str]) -> Column:
     ((name, limits),) = body.items()
-    _options(limits, ("gte", "lte", "gt", "lt"), "range")
-    out = F.lit(True)
-    for op, value in limits.items():
-        if op in ("gte", "lte", "gt", "lt"):
-            out = out & _compare(df, name, _within(op, value))
-    return out
-
-
-def _match(df, body, keywords):
-    name, text, options = _one(body, "query")
-    _options(options, ("operator",), "match")
-    return _has_words(df, name, str(text), keywords, str(options.get("operator", "or")).lower())
-
-
-def _match_phrase(df, body, keywords):
-    name, text, options = _one(body, "query")
-    _options(options, (), "match_phrase")
-    return _has_words(df, name, str(text), keywords, "phrase")
-
+    return reduce(and_, [_compare(df, name, _within(op, value)) for op, value in limits.items()])
 
-def _exists(df, body, keywords):
-    column, kind = _field(df, body["field"])
-    return column.isNotNull() if not isinstance(kind, T.ArrayType) else F.coalesce(F.size(F.array_compact(column)) > 0, F.lit(False))
 
+def _query_string(df: DataFrame, body: dict, keywords: Sequence[str]) -> Column:
+    """Any word of a plain text in any of the fields; the whole text in a keyword field. No operators."""
+    text = body["query"]
+    words = list(dict.fromkeys(re.findall(r"\w+", text.lower())))
 
-def _prefix(df, body, keywords):
-    name, value, options = _one(body, "value")
-    _options(options, (), "prefix")
-    return _compare(df, name, lambda c, _: c.cast("string").startswith(value))
+    def test(name: str):
+        if name in keywords:
+            return _equals(text)
+        return lambda column, kind: F.arrays_overlap(word_tokens(column.cast("string"), WORDS), F.array(*map(F.lit, words)).cast("array<string>"))
 
+    return reduce(or_, [F.coalesce(_compare(df, name, test(name)), F.lit(False)) for name in body["fields"]])
 
-def _wildcard(df, body, keywords):
-    name, value, options = _one(body, "value", "wildcard")
-    _options(options, (), "wildcard")
-    pattern = "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in value)
-    return _compare(df, name, lambda c, _: c.cast("string").rlike(f"(?s)^{pattern}$"))
 
-
-def _query_string(df, body, keywords):
-    """Words, "phrases" and field:value, with AND, OR, NOT, + and -; other operators are refused.
-
-    As in the classic syntax, what stands beside AND or after + must match, what stands after NOT or - must not, and
-    the rest may: at least one of them, where nothing must.
-    """
-    _options(body, ("query", "fields", "default_field", "default_operator"), "query_string")
-    fields = body.get("fields") or [body.get("default_field", "*")]
-    named = [c for f in fields for c in ([f] if "*" not in f else fnmatch.filter(df.columns, f))]
-    parts = re.findall(r'[+-]?(?:[\w.@]+:)?"[^"]*"|\S+', body["query"])
-    joined = str(body.get("default_operator", "or")).lower() == "and"
-    must, must_not, may = [], [], []
-    for k, part in enumerate(parts):
-        if part in ("AND", "OR", "NOT", "&&", "||"):
-            continue
-        before = parts[k - 1] if k else ""
-        sign, text = (part[0], part[1:]) if part[0] in "+-" else ("", part)
-        negative = sign == "-" or before == "NOT"
-        linked = before in ("AND", "&&") or (before == "NOT" and k > 1 and parts[k - 2] in ("AND", "&&"))
-        linked = linked or (k + 1 < len(parts) and parts[k + 1] in ("AND", "&&"))
-        split = re.match(r'([\w.@]+):(?=[^/])(.+)$', text, re.S)
-        own, text = ([split[1]], split[2]) if split else (named, text)
-        phrase = text.startswith('"') and text.endswith('"') and len(text) > 1
-        if not phrase and re.search(r'[()\[\]{}*?~^\\/"<>!]', text):
-            raise ValueError(f"query_string operator not supported: {part!r}")
-        how = "phrase" if phrase or len(_analysed(text)) > 1 else "or"
-        hit = F.lit(False)
-        for name in own:
-            hit = hit | _has_words(df, name, text.strip('"'), keywords, how)
-        (must_not if negative else must if linked or sign == "+" or (joined and before not in ("OR", "||")) else may).append(hit)
-    return _bool_of(must, must_not, may, 0 if must else 1)
-
-
-def _keyword_text(df, body, keywords) -> Column:
-    """A plain query against keyword fields is compared as a whole there."""
-    plain = not re.search(r'["():+~^*?]|\b(?:AND|OR|NOT)\b|(?:^|\s)-', body["query"])
-    exact = F.lit(False)
-    if plain:
-        for name in body.get("fields", []):
-            if name in keywords:
-                exact = exact | F.coalesce(_compare(df, name, _equals(body["query"])), F.lit(False))
-    return exact | _query_string(df, {**body, "fields": [f for f in body.get("fields", ["*"]) if f not in keywords] or ["-none-"]} if plain else body, keywords)
-
-
-def _bool_of(must: list[Column], must_not: list[Column], may: list[Column], least: int) -> Column:
+def _bool(df: DataFrame, body: dict, keywords: Sequence[str]) -> Column:
+    """All of filter and none of must_not; a row with a null field is not excluded."""
     out = F.lit(True)
-    for c in must:
-        out = out & c
-    for c in must_not:  # a row with a null field is not excluded
-        out = out & ~F.coalesce(c, F.lit(False))
-    if may and least == 1:
-        any_of = F.lit(False)
-        for c in may:
-            any_of = any_of | F.coalesce(c, F.lit(False))
-        out = out & any_of
-    elif least > 0:
-        met = F.lit(0)
-        for c in may:
-            met = met + F.coalesce(c, F.lit(False)).cast("int")
-        out = out & (met >= least)
+    for part, clauses in body.items():
+        if part not in ("filter", "must_not"):
+            raise ValueError(f"{part!r} is no part of a stored query here: give it as a Spark condition (where=)")
+        for c in [clauses] if isinstance(clauses, dict) else clauses:
+            met = F.coalesce(_clause(df, c, keywords), F.lit(False))
+            out = out & (met if part == "filter" else ~met)
     return out
 
 
-def hit_condition(df: DataFrame, body: dict, keywords: Sequence[str] = ()) -> Column:
-    """Predicate of a bool body: filter and must hold, must_not does not, of should as many as asked.
-
-    Without ``minimum_should_match`` one of ``should`` is asked where nothing else must hold, none otherwise.
-    """
-    _options(body, ("filter", "must", "must_not", "should", "minimum_should_match"), "bool")
-    listed = lambda part: [body[part]] if isinstance(body.get(part), dict) else body.get(part, [])
-    columns = lambda part: [_clause(df, c, keywords) for c in listed(part)]
-    must, may = columns("filter") + columns("must"), columns("should")
-    least = body.get("minimum_should_match", 0 if must or not may else 1)
-    if isinstance(least, str):
-        share = int(least.rstrip("%"))
-        least = len(may) * share // 100 if least.endswith("%") else share
-    return _bool_of(must, columns("must_not"), may, least if least >= 0 else len(may) + least)
-
-
-_CLAUSES = {
-    "term": _term, "terms": _terms, "range": _range, "match": _match, "match_phrase": _match_phrase, "exists": _exists, "prefix": _prefix,
-    "wildcard": _wildcard, "query_string": _keyword_text, "bool": hit_condition, "match_all": lambda df, body, keywords: F.lit(True),
-    "match_none": lambda df, body, keywords: F.lit(False),
-    "ids": lambda df, body, keywords: _terms(df, {"_id": body["values"]}, keywords),
-}
+# The clauses stored queries use; any other condition is a Spark one.
+_CLAUSES = {"term": _term, "range": _range, "query_string": _query_string, "bool": _bool}
 
 
 def _clause(df: DataFrame, clause: dict, keywords: Sequence[str]) -> Column:
     if len(clause) != 1 or next(iter(clause)) not in _CLAUSES:
-        raise ValueError(f"unknown query clause {sorted(clause)}")
+        raise ValueError(f"{sorted(clause)} is no clause of a stored query here: give it as a Spark condition (where=)")
     ((kind, body),) = clause.items()
     return _CLAUSES[kind](df, body, keywords)
 
@@ -331,8 +189,9 @@ class HitSource(CachedTable):
     """Exported search hits: one JSON object per line, or a nested table.
 
     ``query`` takes the stored-query shape: a ``_source`` list and a query of
-    the clauses in ``_CLAUSES``; others are refused. A field that no record has
-    matches nothing.
+    the clauses in ``_CLAUSES``; a field that no record has matches nothing.
+    ``where`` is any further condition, a Spark SQL string or a column, over
+    the flat columns.
     """
 
     def __init__(
@@ -346,8 +205,9 @@ class HitSource(CachedTable):
         keywords: Sequence[str] = (),
         partitions: int | None = None,
         schema: T.StructType | str | None = None,
+        where: str | Column | None = None,
     ):
-        self.spark, self.path, self.table, self.schema = spark, path, table, schema
+        self.spark, self.path, self.table, self.schema, self.where = spark, path, table, schema, where
         self.query = json.loads(query) if isinstance(query, str) else query
         self.max_docs, self.order_by, self.keywords, self.partitions = max_docs, list(order_by), keywords, partitions
 
@@ -360,6 +220,8 @@ class HitSource(CachedTable):
         flat = flatten(nested.select("_source.*", *meta))
         if self.query is not None and "query" in self.query:
             flat = flat.filter(_clause(flat, self.query["query"], self.keywords))
+        if self.where is not None:
+            flat = flat.filter(self.where)
         if self.query is not None and self.query.get("_source"):
             wanted = [c for c in self.query["_source"] if c in flat.columns]
             flat = flat.select(*[quoted(c) for c in dict.fromkeys([*wanted, *meta])])
