@@ -2,15 +2,19 @@
 
 import hashlib
 import html as entities
+import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from oddlog.llm import chat, html, quality, toxicity
 from oddlog.llm.queries import LLM_QUERIES
+from oddlog.session import freeze
 
 SF = "/root/testdata/sf0.01"
 
@@ -36,6 +40,63 @@ def test_toxicity_held_out(spark):
     assert np.mean([p == y for p, y in rows]) > 0.92
 
 
+def test_quality_scores_by_brute_force(spark):
+    """Every statistic, rule and score once more in plain Python."""
+    docs = table(spark, "documents")
+    model = quality.fit(docs, table(spark, "labels"))
+    assert model.weights
+    white = re.compile("[\x20\x09-\x0d]+")
+
+    def score(text):
+        text = text or ""
+        n = len(text)
+        words, lines = white.split(text.strip(" ")), text.split("\n")
+        share = lambda pattern: len(regex.findall(pattern, text)) / n
+        values = [0.0] * 9 if not n else [
+            math.log1p(n), n / len(words), share(r"\p{Lu}"), share("[#$%&*@^~<>{}=]"), share("!"), share(r"\|"), share("[0-9]"),
+            len(set(words)) / len(words), len(set(lines)) / len(lines),
+        ]
+        seen = dict(zip(quality.STATISTICS, values))
+        holds = lambda rule: all(seen[s] <= cut if side == "<=" else seen[s] > cut for s, side, cut in rule)
+        return 1 / (1 + math.exp(-model.intercept - sum(w for r, w in model.weights.items() if holds(r))))
+
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = quality.classify(docs, model).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert math.isclose(r.score, score(texts[r.doc_id]), abs_tol=1e-9) and r.predicted == (r.score >= 0.5)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
+def test_quality_sample_scan_keeps_its_tasks(spark, monkeypatch):
+    """The scan below the sample has a task for each split; only what was written is drawn together."""
+    plans = []
+
+    def watched(df):
+        plans.append(df._jdf.queryExecution().toString())
+        return freeze(df)
+
+    monkeypatch.setattr(quality, "freeze", watched)
+    quality.fit(table(spark, "documents"), table(spark, "labels"))
+    assert plans and all("Coalesce" not in p and "Repartition" not in p for p in plans)
+
+
+def test_toxicity_scores_by_brute_force(spark):
+    """Totals as sums of the weights of each text's distinct features, one text and one feature at a time."""
+    docs = table(spark, "documents")
+    model = toxicity.fit(docs, table(spark, "labels"))
+    weight = dict(zip(model.features.tolist(), model.weights.tolist()))
+    words = toxicity.Words(lower=True, keep_marks=False)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in toxicity.severities(docs, model).collect():
+        data = np.frombuffer(texts[r.doc_id].encode(), np.uint8)
+        found = toxicity.text_features(words, data, np.array([0, len(data)]))[1]
+        total = sum(weight.get(f, 0.0) for f in set(found.tolist()))
+        chance = [1 / (1 + math.exp(-(total - t))) for t in model.thresholds]
+        assert math.isclose(r.score, chance[0], abs_tol=1e-9) and math.isclose(r.severity, sum(chance), abs_tol=1e-9)
+        assert r.grade == sum(c >= 0.5 for c in chance) and r.predicted == (chance[0] >= 0.5)
+
+
 @pytest.mark.parametrize("module", ["quality", "toxic"])
 def test_odd_documents_and_labels(spark, module):
     rows = [(1, None, "x"), (1, "", "x"), (None, "a b", None), (2, "word " * 50_000, "x"), (3, "!!" * 9, "x")]
