@@ -126,10 +126,9 @@ def rarest(members: np.ndarray, ends: np.ndarray, counts: np.ndarray, num: int,
     return of[sent], members[order][sent]
 
 
-def asked(size: Column, num: int, den: int) -> Column:
-    """Depth of the smallest set that can link with a set of this size."""
-    least = F.ceil(num * size / den)
-    return F.greatest(F.lit(1), F.least(F.ceil(num * least / den), F.floor(least / TENTH)))
+def asked(sizes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Depth of the smallest set that can link with a set of each size."""
+    return depth(-(-num * sizes // den), num, den)
 
 
 SENT = "doc_id bigint, n bigint, k1 bigint, k2 bigint, part int, gram binary, class binary, size binary"
@@ -177,12 +176,14 @@ def _scan(docs: DataFrame, n: int, num: int, den: int, parts: int, counts: np.nd
     return docs.mapInArrow(read, SENT)
 
 
-LED = "lead bigint, k1 bigint, n bigint, lists bigint"
+PACKED_LED = "bin int, led binary"
+LED = "lead bigint, k1 bigint, n bigint"
 
 
-def _leaders(num: int, den: int):
+def _leaders(num: int, den: int, bins: int):
     def run(table: pa.Table) -> pa.Table:
-        """(lead, k1, n, lists): each class beside the leaders of its lists of two classes or more, and how many those are."""
+        """(lead, k1, n, lists): each class beside the leaders of its lists of two classes or more, and how many those
+        are; packed by the class's bin."""
         gram, of, size = (np.concatenate([np.frombuffer(b, kind) for b in table[c].to_pylist()]) for c, kind in (("gram", np.uint64), ("class", np.int64), ("size", np.int32)))
         order = np.lexsort((of, size, gram))
         gram, of, size = gram[order], of[order], size[order].astype(np.int64)
@@ -195,8 +196,24 @@ def _leaders(num: int, den: int):
         count = np.diff(np.append(at, len(gram)))
         lead, several = np.repeat(np.minimum.reduceat(of, at), count), np.repeat(count, count) > 1
         led, lists = np.unique(np.stack([lead[several], of[several], size[several]], 1), axis=0, return_counts=True)
-        columns = [*led.T, lists]
-        return pa.table({name: pa.array(np.ascontiguousarray(c), pa.int64()) for name, c in zip(("lead", "k1", "n", "lists"), columns)})
+        rows = np.concatenate([led, lists[:, None]], 1)
+        bin_ = ((rows[:, 1].view(np.uint64) if len(rows) else np.zeros(0, np.uint64)) >> np.uint64(20)) % np.uint64(bins)
+        held = np.unique(bin_)
+        return pa.table({"bin": pa.array(held.astype(np.int32)), "led": pa.array([np.ascontiguousarray(rows[bin_ == k]).tobytes() for k in held], pa.binary())})
+
+    return run
+
+
+def _with_enough(num: int, den: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Leaders of the classes of a bin that have n-grams enough in lists of several sets."""
+        rows = np.frombuffer(b"".join(table["led"].to_pylist()), np.int64).reshape(-1, 4)
+        rows = rows[np.lexsort((rows[:, 0], rows[:, 1]))]
+        of = np.flatnonzero(np.concatenate([[True], rows[1:, 1] != rows[:-1, 1]]))
+        total = np.repeat(np.add.reduceat(rows[:, 3], of), np.diff(np.append(of, len(rows))))
+        once = np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(1)])
+        kept = rows[once & (total >= asked(rows[:, 2], num, den))]
+        return pa.table({name: pa.array(np.ascontiguousarray(kept[:, k]), pa.int64()) for k, name in enumerate(("lead", "k1", "n"))})
 
     return run
 
@@ -408,10 +425,8 @@ def near_classes(docs: DataFrame, n: int = NGRAM, num: int = NUM, den: int = DEN
     scan = freeze(_scan(rows, n, num, den, parts, counts))
     seen = scan.filter("part IS NULL").select("doc_id", "n", "k1", "k2")
     packed = scan.filter("part IS NOT NULL").select("part", "gram", "class", "size")
-    found = packed.groupBy("part").applyInArrow(_leaders(num, den), LED)
-    seen_at = freeze(found.groupBy("lead", "k1", "n").agg(F.sum("lists").alias("lists")))
-    enough = seen_at.groupBy("k1", "n").agg(F.sum("lists").alias("lists")).filter(F.col("lists") >= asked(F.col("n"), num, den)).select("k1")
-    kept = freeze(seen_at.join(broadcast_if_small(enough, seen_at.count(), BROADCAST), "k1").select("lead", "k1", "n"))
+    found = packed.groupBy("part").applyInArrow(_leaders(num, den, parts), PACKED_LED)
+    kept = freeze(found.groupBy("bin").applyInArrow(_with_enough(num, den), LED))
     several = kept.groupBy("lead").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1").select("lead")
     led = freeze(kept.join(broadcast_if_small(several, kept.count(), BROADCAST), "lead"))
     ids = freeze(seen.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")))

@@ -80,7 +80,7 @@ def test_rows_into_the_join_grow_with_the_sets(spark):
         rows = frame(spark, texts).select("doc_id", "text")
         counts = nj.gram_counts(rows, 5)
         scan = nj._scan(rows, 5, 80, 100, 8, counts).filter("part IS NOT NULL").select("part", "gram", "class", "size")
-        led = scan.groupBy("part").applyInArrow(nj._leaders(80, 100), nj.LED).select("lead", "k1").distinct()
+        led = scan.groupBy("part").applyInArrow(nj._leaders(80, 100, 3), nj.PACKED_LED).groupBy("bin").applyInArrow(nj._with_enough(80, 100), nj.LED)
         assert led.count() <= 3 * len(texts)
         assert got(frame(spark, texts), n=5, num=80) == brute(texts, 80, 100, 5)
 
@@ -118,4 +118,5 @@ def test_frequent_passages_are_not_rare_grams(spark):
     rows = frame(spark, texts).select("doc_id", "text")
     counts = nj.gram_counts(rows, 5)
     scan = nj._scan(rows, 5, 80, 100, 8, counts).filter("part IS NOT NULL").select("part", "gram", "class", "size")
-    assert scan.groupBy("part").applyInArrow(nj._leaders(80, 100), nj.LED).count() < 10
+    found = scan.groupBy("part").applyInArrow(nj._leaders(80, 100, 3), nj.PACKED_LED)
+    assert found.groupBy("bin").applyInArrow(nj._with_enough(80, 100), nj.LED).count() < 10
