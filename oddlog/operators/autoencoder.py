@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from oddlog.operators.network import Network, _matrix, train
+from oddlog.operators.network import Network, train
 from oddlog.operators.reduce import fit_pca
 from oddlog.session import hold
 
@@ -43,28 +43,25 @@ class NetworkEncoder:
     def __init__(self, network: Network, mean: np.ndarray, spread: np.ndarray, middle: int):
         self.network, self.mean, self.spread, self.middle = network, mean, spread, middle
 
-    def _mapped(self, df: DataFrame, features: str, value, kind: str, out: str) -> DataFrame:
+    def _mapped(self, value, kind: str) -> Callable[[Column], Column]:
         mean, spread = self.mean, self.spread
-        others = [f for f in df.schema.fields if f.name != features]
-        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), f"`{out}` {kind}"])
 
-        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                made = value((_matrix(batch.column(len(others))) - mean) / spread) if batch.num_rows else np.zeros((0, 1))
-                cells = pa.array(list(made), pa.list_(pa.float64())) if made.ndim == 2 else pa.array(made)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], cells], [*(f.name for f in others), out])
+        def read(rows: pd.Series) -> pd.Series:
+            made = value((np.stack(rows.to_numpy()) - mean) / spread) if len(rows) else []
+            return pd.Series(list(made), dtype=object if kind.startswith("array") else "float64")
 
-        return df.select(*[F.col(f"`{f.name}`") for f in others], vector_to_array(features).alias(features)).mapInArrow(read, schema)
+        return F.pandas_udf(read, kind)
 
     def transform(self, df: DataFrame, features: str = "features") -> DataFrame:
         network, middle = self.network, self.middle
-        coded = self._mapped(df, features, lambda x: network.output(x, middle), "array<double>", features)
-        return coded.withColumn(features, array_to_vector(F.col(features)))
+        coded = self._mapped(lambda x: network.output(x, middle), "array<double>")
+        return df.withColumn(features, array_to_vector(coded(vector_to_array(features))))
 
     def errors(self, df: DataFrame, features: str = "features") -> DataFrame:
         """Columns beside the features, and the distance between each row and what the network rebuilds, as `score`."""
         network, spread = self.network, self.spread
-        return self._mapped(df, features, lambda x: np.sqrt((((network.output(x) - x) * spread) ** 2).sum(1)), "double", "score")
+        gap = self._mapped(lambda x: np.sqrt((((network.output(x) - x) * spread) ** 2).sum(1)), "double")
+        return df.withColumn("score", gap(vector_to_array(features))).drop(features)
 
 
 def fit_autoencoder(
