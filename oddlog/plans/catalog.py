@@ -541,7 +541,7 @@ def run_grid(spark, sf):
     docs = labelled_documents(spark, sf).select("doc_id", "toxic", "n_chars")
     step = [{"class": "x.ECOD", "grid": {"contamination": [0.1, 0.2, 0.3]}}]
     jobs = {"size": {"features": {"n_chars": {}}, "estimators": {"ecod": step}}}
-    return run(docs, jobs, ["doc_id"], labels="toxic:0").frame(spark).select(F.round("best_score", 4).alias("best_score"))
+    return run(docs, jobs, ["doc_id"], labels="toxic:0", folds=3).frame(spark).select(F.round("best_score", 4).alias("best_score"))
 
 
 def run_no_windows(spark, sf):
