@@ -68,7 +68,7 @@ def _step(name: str, params: dict) -> Step:
     return Step(name, tuple(sorted(params.items(), key=lambda kv: kv[0])))
 
 
-# Steps the builder adds around a known one: ("before" | "after", step).
+# Fixed values of the job-file contract: steps added around a known one, as ("before" | "after", step).
 AUTO_STEPS = {
     "CountVectorizer": [("after", "densify")],
     "HashingVectorizer": [("after", "densify")],

@@ -169,8 +169,8 @@ def _bool(df: DataFrame, body: dict, keywords: Sequence[str]) -> Column:
         if part not in ("filter", "must_not"):
             raise ValueError(f"{part!r} is no part of a stored query here: give it as a Spark condition (where=)")
         for c in [clauses] if isinstance(clauses, dict) else clauses:
-            met = F.coalesce(_clause(df, c, keywords), F.lit(False))
-            out = out & (met if part == "filter" else ~met)
+            met = _clause(df, c, keywords)  # bare, so that a filter reaches the scan
+            out = out & (met if part == "filter" else ~F.coalesce(met, F.lit(False)))
     return out
 
 

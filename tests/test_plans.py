@@ -49,13 +49,13 @@ def test_copies_are_limited_before_the_shuffle(spark):
 
 def test_neighbours_meet_in_a_grid_of_cells(spark):
     rows = nn.unpacked(catalog.embeddings(spark, SF), "row_id", "features", 64).withColumn("is_base", F.lit(True))
-    vectors = nn._distinct(rows, 6, True).withColumn("near", F.array(F.lit(0)))
+    vectors = nn._distinct(rows, 6, True)
     n = vectors.count()
-    left, right = nn.grid(vectors, 5, 64, True, 1 << 16, 8, 1)
-    cells = right.select("cell", "a", "b").distinct().count()
+    left, right = nn.grid(vectors, 1 << 16, 8)
+    cells = right.select("a", "b").distinct().count()
     assert cells == 16  # sqrt(2 * 8 cores) groups a side, however few the rows
     assert left.count() == 4 * n and right.count() == 4 * n
-    left, right = nn.grid(vectors, 5, 64, True, -(-n // 9), 8, 1)
+    left, right = nn.grid(vectors, -(-n // 9), 8)
     assert right.select("a", "b").distinct().count() == 81 and right.count() == 9 * n
 
 
