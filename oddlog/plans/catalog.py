@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from oddlog.detectors import ECOD, KNN, LOF, LUNAR, Density, IForest, Reconstruction
+from oddlog.detectors import ECOD, KNN, LOF, LUNAR, Density, Hierarchy, IForest, Reconstruction
 from oddlog.detectors.base import Shared
 from oddlog.detectors.neighbours import distance_score, transfer_scores
 from oddlog.detectors.thresholds import iqr, mad, zscore
@@ -430,6 +430,25 @@ def density_scores(spark, sf):
     return six(Density(min_cluster_size=5, eps=1.18).fit(embeddings(spark, sf)).train_scores, "score")
 
 
+def density_tree(spark, sf):
+    """Weights of the spanning tree of all vectors by mutual reachability; copies of a vector are joined at its core."""
+    _, points, tree, _ = Hierarchy(5).spanning(embeddings(spark, sf))
+    copies = points.filter("size > 1").select(F.explode(F.array_repeat("core", F.col("size").cast("int") - 1)).alias("w"))
+    weights = tree.select("w").unionByName(copies)
+    return weights.groupBy(F.round("w", 6).alias("weight")).agg(F.count(F.lit(1)).alias("edges"))
+
+
+def hierarchy_scores(spark, sf):
+    return six(Hierarchy(5).fit(embeddings(spark, sf)).members, "score")
+
+
+def hierarchy_part(spark, sf):
+    """Clusters of parts by size and price."""
+    values = F.array(F.col("p_size").cast("double"), F.col("p_retailprice").cast("double") / 50)
+    rows = table(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("row_id"), array_to_vector(values).alias("features"))
+    return six(Hierarchy(5).fit(rows).members, "score")
+
+
 def contamination_labels(spark, sf):
     shares = [0.1, 0.2, 0.3]
     model = ECOD().fit(url_ratio_vectors(spark, sf))
@@ -645,6 +664,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "recon_scores": _detector_query(Reconstruction),
     "lunar_scores": _detector_query(LUNAR),
     "density_scores": density_scores,
+    "density_tree": density_tree,
+    "hierarchy_scores": hierarchy_scores,
+    "hierarchy_part": hierarchy_part,
     "contamination_labels": contamination_labels,
     "threshold_cuts": threshold_cuts,
     "exact_quantiles": exact_quantiles,

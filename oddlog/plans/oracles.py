@@ -267,6 +267,15 @@ ORACLES: dict[str, str] = {
         grp AS (SELECT root, count(*) AS size, min(core) AS least FROM member JOIN core USING (row_id) GROUP BY root)
         SELECT row_id, round(CASE WHEN size >= 5 THEN 1 - least / core ELSE 1.0 END, 6) AS score
         FROM core LEFT JOIN member USING (row_id) LEFT JOIN grp USING (root)""",
+    "density_tree": f"""WITH RECURSIVE {nearest(5, True)}, core AS (SELECT row_id, max(dist) AS core FROM g GROUP BY row_id),
+        w AS MATERIALIZED (SELECT a.row_id AS a, b.row_id AS b, greatest(list_distance(a.v, b.v), ca.core, cb.core) AS w
+            FROM e a JOIN core ca ON ca.row_id = a.row_id, e b JOIN core cb ON cb.row_id = b.row_id),
+        grown AS (SELECT 0 AS step, row_id, CASE WHEN row_id = (SELECT min(row_id) FROM e) THEN 0.0 ELSE 1e300 END AS way FROM e
+            UNION ALL SELECT step + 1, p.row_id, least(way, w)
+            FROM (SELECT *, first_value(row_id) OVER (ORDER BY way, row_id) AS pick FROM grown) p JOIN w ON a = pick AND b = p.row_id
+            WHERE p.row_id <> pick),
+        added AS (SELECT min(way) AS w FROM grown WHERE step > 0 GROUP BY step)
+        SELECT round(w, 6) AS weight, count(*) AS edges FROM added GROUP BY round(w, 6)""",
     "contamination_labels": f"""WITH s AS (SELECT row_id, round(score, 9) AS score FROM ({URL_ECOD})),
         c AS (SELECT c::VARCHAR AS variant, (SELECT quantile_cont(score, 0.9) FROM s) AS cut FROM (VALUES (0.1)) t(c)
               UNION ALL SELECT '0.2', quantile_cont(score, 0.8) FROM s UNION ALL SELECT '0.3', quantile_cont(score, 0.7) FROM s)

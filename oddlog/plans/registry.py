@@ -15,7 +15,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from oddlog.detectors import ECOD, KNN, LOF, LUNAR, Density, IForest, Reconstruction
+from oddlog.detectors import ECOD, KNN, LOF, LUNAR, Hierarchy, IForest, Reconstruction
 from oddlog.detectors.thresholds import THRESHOLDS
 from oddlog.functions import text
 from oddlog.functions.ratios import RATIO_NAMES, load_words, ratio_struct, with_meaning
@@ -155,7 +155,7 @@ DETECTORS: dict[str, type] = {
     "LUNAR": LUNAR,
     "VAE": Reconstruction,
     "AutoEncoder": Reconstruction,
-    "HDBSCAN": Density,
+    "HDBSCAN": Hierarchy,
 }
 
 
