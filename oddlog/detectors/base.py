@@ -51,6 +51,9 @@ class Shared:
 class Fitted:
     """Scores of the training rows plus a way to score others."""
 
+    # New rows are scored as members of one table with the training rows.
+    scores_jointly = False
+
     def __init__(self, train_scores: DataFrame):
         self.train_scores = train_scores
 

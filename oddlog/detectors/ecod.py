@@ -67,6 +67,8 @@ def _scores(rows: DataFrame, terms: DataFrame, base: dict[str, float], size: int
 
 
 class EcodModel(Fitted):
+    scores_jointly = True
+
     def __init__(self, train: DataFrame, per_feature: bool):
         self.train, self.per_feature = train, per_feature
         super().__init__(_scores(train, *_contributions(train, train.count()), per_feature))

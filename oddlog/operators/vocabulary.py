@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from numbers import Integral
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import CountVectorizerModel, HashingTF
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, functions as F
 
 from oddlog.session import broadcast_if_small
@@ -88,16 +90,26 @@ def hashed_counts(df: DataFrame, tokens: str = "tokens", size: int = 1 << 18, ou
     return HashingTF(inputCol=tokens, outputCol=out, numFeatures=size).transform(df)
 
 
+_SPARSE = pa.struct([
+    pa.field("type", pa.int8(), False), pa.field("size", pa.int32()),
+    pa.field("indices", pa.list_(pa.field("element", pa.int32(), False))),
+    pa.field("values", pa.list_(pa.field("element", pa.float64(), False))),
+])
+
+
 def vectors_from_long(
     rows: DataFrame, long: DataFrame, width: int, key: str = "row_id", out: str = "features"
 ) -> DataFrame:
-    """Sparse vectors from ``(key, idx, value)`` when the vocabulary stays a table."""
+    """Sparse vectors from ``(key, idx, value)`` when the vocabulary stays a table; batches are built whole."""
 
-    @F.udf(VectorUDT())
-    def sparse(entries):
-        entries = entries or []
-        return SparseVector(width, [e.idx for e in entries], [e.value for e in entries])
+    def sparse(places: pa.Array, values: pa.Array) -> pa.Array:
+        kind, size = np.zeros(len(places), "int8"), np.full(len(places), width, "int32")
+        columns = [pa.array(kind), pa.array(size), places.cast(_SPARSE[2].type), values.cast(_SPARSE[3].type)]
+        return pa.StructArray.from_arrays(columns, fields=list(_SPARSE))
 
-    entries = F.sort_array(F.collect_list(F.struct(F.col("idx"), F.col("value").cast("double").alias("value"))))
+    vector = F.arrow_udf(sparse, VectorUDT())
+    entries = F.sort_array(F.collect_list(F.struct(F.col("idx").cast("int").alias("idx"), F.col("value").cast("double").alias("value"))))
     listed = long.groupBy(key).agg(entries.alias("_e"))
-    return rows.select(key).join(listed, key, "left").select(key, sparse("_e").alias(out))
+    none = F.array().cast("array<struct<idx:int,value:double>>")
+    filled = rows.select(key).join(listed, key, "left").withColumn("_e", F.coalesce("_e", none))
+    return filled.select(key, vector(F.col("_e.idx"), F.col("_e.value")).alias(out))

@@ -26,6 +26,7 @@ from oddlog.operators.tfidf import idf_value, tfidf_long, tfidf_vectors
 from oddlog.plans import search as sr
 from oddlog.plans.config import feature_variants
 from oddlog.plans.jobs import build_features, run
+from oddlog.plans.registry import FEATURES
 from oddlog.session import ensure_checkpoint_dir, hold, spread
 from oddlog.sources.sinks import METRICS_SCHEMA, write_table
 from oddlog.sources.tables import CsvSource, HitSource
@@ -397,6 +398,25 @@ def ecod_terms(spark, sf):
     return six(ECOD().fit(counts).train_scores, "score")
 
 
+# Far below any vocabulary, so that it stays a table.
+WIDE = {"token_pattern": TOKENS, "lowercase": False, "max_df": 0.7, "shipped_terms": 10}
+
+
+def wide_tfidf(spark, sf):
+    """Count and TF-IDF steps of a job over a vocabulary that stays a table."""
+    rows = table(spark, sf, "pages").select(F.col("page_id").alias("row_id"), "url")
+    counts = FEATURES["CountVectorizer"](rows, "url", {}, max_features=1000, **WIDE)
+    long = nonzeros(FEATURES["TfidfTransformer"](counts, "url", {}).withColumnRenamed("url", "features"))
+    return long.select(F.col("row_id").alias("page_id"), F.col("feature_id").alias("idx"), F.round("value", 6).alias("value"))
+
+
+def wide_ecod(spark, sf):
+    """As `ecod_terms`, over a vocabulary that stays a table."""
+    rows = texts(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "text")
+    counts = hold(FEATURES["CountVectorizer"](rows, "text", {}, max_features=300, **WIDE).withColumnRenamed("text", "features"))
+    return six(ECOD().fit(counts).train_scores, "score")
+
+
 def knn_graph(spark, sf):
     return six(graph(nearest(embeddings(spark, sf), k=5)), "dist")
 
@@ -664,6 +684,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "recon_scores": _detector_query(Reconstruction),
     "lunar_scores": _detector_query(LUNAR),
     "density_scores": density_scores,
+    "wide_tfidf": wide_tfidf,
+    "wide_ecod": wide_ecod,
     "density_tree": density_tree,
     "hierarchy_scores": hierarchy_scores,
     "hierarchy_part": hierarchy_part,

@@ -86,6 +86,15 @@ def ecod(rows: str, features: list[str], per_feature: bool = False) -> str:
                          unnest(range({len(features)})) AS j FROM ({rows})))) GROUP BY row_id"""
 
 
+TERM_ECOD = f"""WITH {vocab_ctes('documents', 'doc_id', words('text'), 300)},
+    x AS (SELECT k AS row_id, idx AS j, coalesce(c.tf, 0)::DOUBLE AS v FROM docs CROSS JOIN vocab LEFT JOIN counts c USING (k, term)),
+    y AS (SELECT *, count(*) OVER (PARTITION BY j)::DOUBLE AS n, avg(v) OVER (PARTITION BY j) AS mu,
+        count(*) OVER (PARTITION BY j ORDER BY v RANGE UNBOUNDED PRECEDING)::DOUBLE AS le,
+        count(*) OVER (PARTITION BY j ORDER BY v DESC RANGE UNBOUNDED PRECEDING)::DOUBLE AS ge FROM x),
+    z AS (SELECT *, sum((v - mu) ** 3) OVER (PARTITION BY j) AS m3 FROM y)
+    SELECT row_id, round(greatest(sum(-ln(le / n)), sum(-ln(ge / n)), sum(CASE WHEN m3 < 0 THEN -ln(le / n) ELSE -ln(ge / n) END)), 6) AS score
+    FROM z GROUP BY row_id"""
+
 URL_ROWS = f"SELECT page_id AS row_id, * EXCLUDE (page_id) FROM ({ratios('pages', 'page_id', 'url')})"
 URL_FLOATS = f"SELECT row_id, {', '.join(f'{n}::FLOAT AS {n}' for n in RATIOS)} FROM ({URL_ROWS})"
 URL_ECOD = ecod(URL_FLOATS, list(RATIOS))
@@ -197,6 +206,7 @@ ORACLES: dict[str, str] = {
     "tfidf_l1": tfidf("l1"),
     "tfidf_l2": tfidf("l2"),
     "tfidf_none": tfidf("none"),
+    "wide_tfidf": f"WITH {URL_VOCAB} SELECT page_id, idx, value FROM ({tfidf('l2')}) JOIN vocab USING (term)",
     "tfidf_sublinear": f"""WITH {URL_VOCAB}, weighted AS (SELECT k, term,
             (1 + ln(c.tf)) * (ln((SELECT count(*) FROM docs)::DOUBLE / v.df) + 1) AS w FROM counts c JOIN vocab v USING (term))
         SELECT k AS page_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY k)), 6) AS value FROM weighted""",
@@ -241,14 +251,8 @@ ORACLES: dict[str, str] = {
         "SELECT p_partkey AS row_id, p_size, length(p_name) AS a, length(p_type) AS b FROM part", ["p_size", "a", "b"]) + ")",
     "ecod_urls": f"SELECT row_id, round(score, 6) AS score FROM ({URL_ECOD})",
     "ecod_per_feature": f"SELECT row_id, round(score, 6) AS score FROM ({ecod(URL_FLOATS, list(RATIOS), True)})",
-    "ecod_terms": f"""WITH {vocab_ctes('documents', 'doc_id', words('text'), 300)},
-        x AS (SELECT k AS row_id, idx AS j, coalesce(c.tf, 0)::DOUBLE AS v FROM docs CROSS JOIN vocab LEFT JOIN counts c USING (k, term)),
-        y AS (SELECT *, count(*) OVER (PARTITION BY j)::DOUBLE AS n, avg(v) OVER (PARTITION BY j) AS mu,
-            count(*) OVER (PARTITION BY j ORDER BY v RANGE UNBOUNDED PRECEDING)::DOUBLE AS le,
-            count(*) OVER (PARTITION BY j ORDER BY v DESC RANGE UNBOUNDED PRECEDING)::DOUBLE AS ge FROM x),
-        z AS (SELECT *, sum((v - mu) ** 3) OVER (PARTITION BY j) AS m3 FROM y)
-        SELECT row_id, round(greatest(sum(-ln(le / n)), sum(-ln(ge / n)), sum(CASE WHEN m3 < 0 THEN -ln(le / n) ELSE -ln(ge / n) END)), 6) AS score
-        FROM z GROUP BY row_id""",
+    "ecod_terms": TERM_ECOD,
+    "wide_ecod": TERM_ECOD,
     "knn_graph": f"WITH {nearest(5)} SELECT row_id, rank, nbr_id, round(dist, 6) AS dist FROM g",
     "knn_scores": f"""WITH {nearest(5)} SELECT row_id, round(max(dist), 6) AS largest, round(avg(dist), 6) AS mean,
         round(median(dist), 6) AS median FROM g GROUP BY row_id""",

@@ -32,19 +32,21 @@ from oddlog.operators.tfidf import idf_value, tfidf_vectors
 def _count_vectorizer(
     df: DataFrame, column: str, resources: dict, analyzer="word", token_pattern=None, lowercase=True,
     ngram_range=(1, 1), max_features=None, min_df=1, max_df=1.0, vocabulary=None,
+    shipped_terms=vocab.SHIPPED_TERMS,
 ) -> DataFrame:
+    """Vocabularies of more than ``shipped_terms`` stay a table; the vectors are the same."""
     tokens = text.terms(F.col(column), analyzer, token_pattern, lowercase, tuple(ngram_range))
     termed = df.withColumn("_t", tokens)
     if vocabulary is not None:
         return vocab.count_vectors(termed.drop(column), list(vocabulary), "_t", column).drop("_t")
     cache = resources.setdefault("_vocabularies", {})
-    key = (column, analyzer, token_pattern, lowercase, tuple(ngram_range), max_features, min_df, max_df)
+    key = (column, analyzer, token_pattern, lowercase, tuple(ngram_range), max_features, min_df, max_df, shipped_terms)
     if key not in cache:
         kept = hold(vocab.vocabulary(termed, "_t", max_features, min_df, max_df))
         size = kept.count()
         if size == 0:
             raise ValueError(f"no terms left for {column!r}: empty texts, or min_df and max_df too strict")
-        small = size <= vocab.SHIPPED_TERMS
+        small = size <= shipped_terms
         cache[key] = (sorted(r.term for r in kept.select("term").collect()) if small else kept, size)
         if small:
             kept.unpersist()

@@ -32,27 +32,39 @@ def fold_scores(rows: DataFrame, truth: DataFrame, scorings: list, folds: int, n
     rows and shared work, {setting number: contamination or threshold
     function}) pairs; a detector is fitted once per fold and serves all its
     cuts. With ``neighbours``, the largest list a detector takes, a fold's
-    training rows and test rows are each searched once for all detectors.
+    training rows and test rows are each searched once for all detectors. A
+    detector that scores new rows together with its training rows scores all
+    rows once for all folds.
     """
-    found = []
+    found, whole = [], {}
     for fold in range(folds):
         train = clean(rows.filter(F.col("fold") != fold))
         test = clean(rows.filter(F.col("fold") == fold))
         shared = Shared(train, neighbours)
         lists = hold(nearest(test, train, neighbours)) if neighbours else None
-        for fit, cuts_of in scorings:
+        for i, (fit, cuts_of) in enumerate(scorings):
             start = time.perf_counter()
             model = fit(train, shared)
             cuts = cuts_of(model)
             spent = time.perf_counter() - start
-            scores = model.score_lists(lists) if lists is not None and hasattr(model, "score_lists") else model.score(test)
-            judged = label_sets(scores, {str(i): c for i, c in cuts.items()}, ("row_id", "score"))
+            if getattr(model, "scores_jointly", False):
+                # Training and test rows together are all rows, whatever the fold.
+                if i not in whole:
+                    whole[i] = hold(fit(clean(rows), None).train_scores)
+                scores = whole[i].join(test.select("row_id"), "row_id", "left_semi")
+            elif lists is not None and hasattr(model, "score_lists"):
+                scores = model.score_lists(lists)
+            else:
+                scores = model.score(test)
+            judged = label_sets(scores, {str(n): c for n, c in cuts.items()}, ("row_id", "score"))
             recalls = judged.join(truth, "row_id").groupBy("variant").agg(anomaly_recall().alias("recall"))
             known = {r.variant: r.recall for r in recalls.collect()}
-            found += [{"setting": i, "fold": fold, "recall": float(known.get(str(i), 0.0)), "fit": spent} for i in cuts]
+            found += [{"setting": n, "fold": fold, "recall": float(known.get(str(n), 0.0)), "fit": spent} for n in cuts]
         shared.release()
         if lists is not None:
             lists.unpersist()
+    for scores in whole.values():
+        scores.unpersist()
     return found
 
 
