@@ -45,6 +45,7 @@ def fold_scores(rows: DataFrame, truth: DataFrame, scorings: list, folds: int, n
         for i, (fit, cuts_of) in enumerate(scorings):
             start = time.perf_counter()
             model = fit(train, shared)
+            known = model.train_scores = hold(model.train_scores)  # cuts take several passes
             cuts = cuts_of(model)
             spent = time.perf_counter() - start
             if getattr(model, "scores_jointly", False):
@@ -58,8 +59,9 @@ def fold_scores(rows: DataFrame, truth: DataFrame, scorings: list, folds: int, n
                 scores = model.score(test)
             judged = label_sets(scores, {str(n): c for n, c in cuts.items()}, ("row_id", "score"))
             recalls = judged.join(truth, "row_id").groupBy("variant").agg(anomaly_recall().alias("recall"))
-            known = {r.variant: r.recall for r in recalls.collect()}
-            found += [{"setting": n, "fold": fold, "recall": float(known.get(str(n), 0.0)), "fit": spent} for n in cuts]
+            recalled = {r.variant: r.recall for r in recalls.collect()}
+            found += [{"setting": n, "fold": fold, "recall": float(recalled.get(str(n), 0.0)), "fit": spent} for n in cuts]
+            known.unpersist()
         shared.release()
         if lists is not None:
             lists.unpersist()
