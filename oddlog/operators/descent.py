@@ -6,6 +6,10 @@ and all of them are measured against each other, unless both were there before;
 its list. A round moves a row's vector once for each list it is in, so rows into the shuffle stay a constant times the
 table, whatever its size. Each round is written before the next. The recall of the result is measured against exact
 lists of a hash sample of rows and returned with it.
+
+Bounded lists lose neighbours where distances hardly differ (many features without structure), the more the larger the
+table. A caller who names the recall it needs gets exact lists (`nearest`) when the rounds do not reach it, and as soon
+as their gains show that they will not.
 """
 
 from __future__ import annotations
@@ -50,10 +54,16 @@ def _pairs(ids: np.ndarray, x: np.ndarray, fresh: np.ndarray, far: np.ndarray) -
     a, b = np.triu_indices(len(ids), 1)
     new = (fresh[a] | fresh[b]) & (ids[a] != ids[b])
     a, b = a[new], b[new]
+    measured = len(a)
+    # A matrix product finds the candidates, an exact difference measures them.
+    xx = np.einsum("ij,ij->i", x, x)
+    reach = np.maximum(far[a], far[b])
+    near = xx[a] + xx[b] - 2.0 * (x @ x.T)[a, b] <= reach * reach + 1e-9 * (xx[a] + xx[b]) + 1e-12
+    a, b = a[near], b[near]
     gap = x[a] - x[b]
     dist = np.sqrt(np.einsum("ij,ij->i", gap, gap))
     left, right = dist < far[a], dist < far[b]
-    return np.concatenate([ids[a[left]], ids[b[right]]]), np.concatenate([ids[b[left]], ids[a[right]]]), np.concatenate([dist[left], dist[right]]), len(a)
+    return np.concatenate([ids[a[left]], ids[b[right]]]), np.concatenate([ids[b[left]], ids[a[right]]]), np.concatenate([dist[left], dist[right]]), measured
 
 
 FOUND = "h long, other long, dist double, measured long"
@@ -102,14 +112,25 @@ def _round(lists: DataFrame, vectors: DataFrame, size: int, bins: int, width: in
     turns = F.row_number().over(Window.partitionBy("centre").orderBy(F.desc("fresh"), F.xxhash64("h", F.lit(turn))))
     back = back.withColumn("_n", turns).filter(F.col("_n") <= size).drop("_n")
     members = mine.unionByName(back).groupBy("centre", "h").agg(F.max("fresh").alias("fresh"))
+    # Where nothing is new, all have met before.
+    members = members.withColumn("_any", F.max("fresh").over(Window.partitionBy("centre"))).filter("_any").drop("_any")
     last = lists.select("h", F.when(F.size("nn") >= size, F.element_at("nn", -1)["dist"]).otherwise(float("inf")).alias("far"))
     return _meet(members.join(vectors.select("h", "vi", "vv").join(last, "h"), "h"), "centre", bins, width)
 
 
-def descend(rows: DataFrame, k: int = 5, extra: int = 15, key: str = "row_id", features: str = "features", seed: int = 7) -> Descent:
+def _hopeless(recalls: list[float], least: float) -> bool:
+    """Whether gains that have begun to fall leave the recall below ``least`` after all rounds."""
+    if len(recalls) < 3 or recalls[-1] >= least:
+        return False
+    before, gain = recalls[-2] - recalls[-3], recalls[-1] - recalls[-2]
+    return gain <= before and recalls[-1] + gain * (ROUNDS - len(recalls)) < least
+
+
+def descend(rows: DataFrame, k: int = 5, extra: int = 15, key: str = "row_id", features: str = "features", seed: int = 7, least: float = 0.0) -> Descent:
     """The k nearest other rows of each row, as `nearest` gives them but for what the search misses.
 
-    Copies of a vector are merged for the search. Lists hold k + extra rows while it runs.
+    Copies of a vector are merged for the search. Lists hold k + extra rows while it runs. With ``least`` the lists are
+    exact where the search does not reach that recall.
     """
     width = vector_width(rows, features)
     if width > WIDEST:
@@ -136,7 +157,10 @@ def descend(rows: DataFrame, k: int = 5, extra: int = 15, key: str = "row_id", f
     started = freeze(_meet(full.select("h", "vi", "vv", leaf.alias("leaf"), F.lit(True).alias("fresh"), F.lit(float("inf")).alias("far")), "leaf", bins, width))
     measured = started.agg(F.sum("measured")).first()[0] or 0
     lists = freeze(_merged(None, started, size))
-    turn = 0
+    some, want = _exact_sample(rows, k, key, features)
+    part = freeze(asked.join(F.broadcast(some.select(F.col("row_id").alias("id"))), "id", "left_semi"))
+    part_of = F.broadcast(part.select(F.xxhash64("vi", "vv").alias("h")).distinct())
+    turn, recalls = 0, []
     while turn < ROUNDS and n > 1:
         turn += 1
         found = freeze(_round(lists, vectors, size, bins, width, turn))
@@ -145,8 +169,17 @@ def descend(rows: DataFrame, k: int = 5, extra: int = 15, key: str = "row_id", f
         fresh = lists.agg(F.sum(F.size(F.filter("nn", lambda e: e["fresh"])))).first()[0] or 0
         if fresh <= STILL * n * size:
             break
+        if least:
+            recalls.append(_recall(_by_row(lists.join(part_of, "h", "left_semi"), vectors, part, k), want))
+            if _hopeless(recalls, least):
+                return _exact(rows, k, key, features, turn, measured, n)
     out = _by_row(lists, vectors, asked, k)
-    return Descent(out, _recall(rows, out, k, key, features), turn, measured)
+    recall = _recall(out.join(F.broadcast(some.select("row_id")), "row_id"), want)
+    return Descent(out, recall, turn, measured) if recall >= least else _exact(rows, k, key, features, turn, measured, n)
+
+
+def _exact(rows: DataFrame, k: int, key: str, features: str, turns: int, measured: int, n: int) -> Descent:
+    return Descent(freeze(nearest(rows, k=k, key=key, features=features)), 1.0, turns, measured + n * n)
 
 
 def _by_row(lists: DataFrame, vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
@@ -163,14 +196,17 @@ def _by_row(lists: DataFrame, vectors: DataFrame, asked: DataFrame, k: int) -> D
     return freeze(mine.join(known, "h").select("row_id", F.slice(others, 1, k).alias("nn")))
 
 
-def _recall(rows: DataFrame, lists: DataFrame, k: int, key: str, features: str) -> float:
-    """Share of the exact neighbours of CHECKED rows (those of least hash) that the lists hold, by distance."""
-    some = rows.select(F.col(key).alias("row_id"), F.col(features).alias("features")).orderBy(F.xxhash64("row_id"), "row_id").limit(CHECKED)
-    some = freeze(some)
-    exact = nearest(some, rows.select(F.col(key).alias("row_id"), F.col(features).alias("features")), k + 1)
+def _exact_sample(rows: DataFrame, k: int, key: str, features: str) -> tuple[DataFrame, DataFrame]:
+    """CHECKED rows (those of least hash) and ``(row_id, want)``, the distances of their exact neighbours."""
+    every = rows.select(F.col(key).alias("row_id"), F.col(features).alias("features"))
+    some = freeze(every.orderBy(F.xxhash64("row_id"), "row_id").limit(CHECKED))
     others = F.slice(F.filter("nn", lambda e: e["id"] != F.col("row_id")), 1, k)
-    want = exact.select("row_id", F.transform(others, lambda e: e["dist"]).alias("want"))
-    met = want.join(broadcast_if_small(lists.join(F.broadcast(some.select("row_id")), "row_id"), CHECKED), "row_id")
+    return some, freeze(nearest(some, every, k + 1).select("row_id", F.transform(others, lambda e: e["dist"]).alias("want")))
+
+
+def _recall(lists: DataFrame, want: DataFrame) -> float:
+    """Share of the exact neighbours of the checked rows that their lists hold, by distance."""
+    met = want.join(broadcast_if_small(lists, CHECKED), "row_id")
     last = F.coalesce(F.try_element_at("want", F.lit(-1)), F.lit(0.0))
     good = F.size(F.filter("nn", lambda e: e["dist"] <= last + 1e-12))
     found = met.agg(F.sum(F.least(good, F.size("want"))), F.sum(F.size("want"))).first()

@@ -9,7 +9,7 @@ from oddlog.detectors.base import Shared, cuts
 from oddlog.detectors.density import cluster_roots
 from oddlog.detectors.neighbours import transfer_scores
 from oddlog.operators import ecdf
-from oddlog.operators.descent import descend
+from oddlog.operators.descent import _hopeless, descend
 from oddlog.operators.nearest import nearest
 
 
@@ -85,6 +85,15 @@ def test_descent_measures_fewer_pairs_a_row(spark):
     assert many.recall > 0.9 and many.measured / 2400 < 2 * few.measured / 600 and many.measured < 2400 * 2399 / 2
 
 
+def test_descent_ends_with_exact_lists_where_distances_hardly_differ(spark):
+    df = frame(spark, np.random.default_rng(3).normal(size=(1200, 64)))
+    few = descend(df, k=5, extra=1)
+    assert few.recall < 0.9
+    found = descend(df, k=5, extra=1, least=0.9)
+    assert found.recall == 1.0 and lists(found.lists) == lists(nearest(df, k=5))
+    assert _hopeless([0.2, 0.5, 0.52], 0.9) and not _hopeless([0.2, 0.3, 0.5], 0.9) and not _hopeless([0.5, 0.9, 0.91], 0.9)
+
+
 def test_fewer_rows_than_neighbours(spark):
     x = np.array([[0.0], [1.0], [3.0]])
     assert lists(nearest(frame(spark, x), k=5)) == brute(x, range(3), x, range(3), 5, True)
