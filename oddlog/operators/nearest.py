@@ -14,6 +14,8 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -21,11 +23,14 @@ from oddlog.session import freeze
 
 DENSE_WIDTH = 256
 SIDE_BYTES = 64 << 20
+SIDE_ROWS = 1 << 15
+# Distances, or entries of differences, that a task holds at a time.
+HELD = 1 << 20
 
 
 def side_rows(width: int) -> int:
     """Rows on a side of a cell, by the bytes of their dense matrix."""
-    return int(min(1 << 16, max(128, SIDE_BYTES // (8 * max(width, 1)))))
+    return int(min(SIDE_ROWS, max(128, SIDE_BYTES // (8 * max(width, 1)))))
 
 
 def cut(rows: int, side: int, cores: int) -> int:
@@ -67,76 +72,87 @@ def to_matrix(vi: pd.Series, vv: pd.Series, width: int) -> np.ndarray:
     return out
 
 
+def arrow_matrix(vi: pa.ChunkedArray, vv: pa.ChunkedArray, width: int) -> np.ndarray:
+    """As `to_matrix`, from Arrow columns and without an object per row."""
+    sizes = pc.list_value_length(vv).to_numpy()
+    values = pc.list_flatten(vv).to_numpy()
+    if width <= DENSE_WIDTH:
+        if (sizes != width).any():
+            raise ValueError("vectors of one table have one width")
+        return values.reshape(len(sizes), width)
+    out = np.zeros((len(sizes), width))
+    out[np.repeat(np.arange(len(sizes)), sizes), pc.list_flatten(vi).to_numpy()] = values
+    return out
+
+
 def _close_pairs(q: np.ndarray, x: np.ndarray, need: np.ndarray, own: np.ndarray):
-    """(row, column, distance) of every pair that may be among ``need`` nearest.
+    """(row, column, distance) of every pair that may be among ``need`` nearest, some rows at a time.
 
     A matrix product finds the candidates, an exact difference measures them.
     ``own[i]`` is the column to leave out for query i, or -1.
     """
     xx = np.einsum("ij,ij->i", x, x)
     qq = np.einsum("ij,ij->i", q, q)
-    rows_out, cols_out, dist_out = [], [], []
-    step = max(1, (1 << 22) // max(len(x), 1))
+    step = max(1, HELD // max(len(x), 1))
     for at in range(0, len(q), step):
         end = min(at + step, len(q))
-        approx = qq[at:end, None] + xx[None, :] - 2.0 * (q[at:end] @ x.T)
+        most = min(int(need[at:end].max()), len(x))
+        if most == 0:
+            continue
+        approx = q[at:end] @ x.T
+        approx *= -2.0
+        approx += qq[at:end, None]
+        approx += xx
         slack = 1e-9 * (qq[at:end] + (xx.max() if len(xx) else 0.0)) + 1e-12
         local = np.arange(end - at)
         mine = own[at:end]
         approx[local[mine >= 0], mine[mine >= 0]] = np.inf
-        most = min(int(need[at:end].max()), len(x))
-        if most == 0:
-            continue
         kth = np.partition(approx, most - 1, axis=1)[:, most - 1]
         bound = kth + slack
         rows, cols = np.nonzero((approx <= bound[:, None]) & (need[at:end, None] > 0) & np.isfinite(approx))
-        piece = max(1, (1 << 22) // max(q.shape[1], 1))
-        for p in range(0, len(rows), piece):
-            r, c = rows[p : p + piece], cols[p : p + piece]
-            gap = q[at + r] - x[c]
-            rows_out.append(at + r)
-            cols_out.append(c)
-            dist_out.append(np.sqrt(np.einsum("ij,ij->i", gap, gap)))
-    if not rows_out:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-    return np.concatenate(rows_out), np.concatenate(cols_out), np.concatenate(dist_out)
-
-
-def _top_lists(rows, cols, dist, ids: list, need: np.ndarray):
-    """Per query the ``need`` closest row ids, by distance, then id."""
-    sizes = np.array([len(i) for i in ids], dtype="int64")
-    flat = np.concatenate([np.asarray(i, dtype="int64") for i in ids]) if len(ids) else np.zeros(0, "int64")
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(ids) else np.zeros(0, "int64")
-    reps = sizes[cols]
-    inner = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-    row = np.repeat(rows, reps)
-    gap = np.repeat(dist, reps)
-    member = flat[np.repeat(starts[cols], reps) + inner] if len(cols) else np.zeros(0, "int64")
-    order = np.lexsort((member, gap, row))
-    row, gap, member = row[order], gap[order], member[order]
-    first = np.searchsorted(row, np.arange(len(need)))
-    last = np.searchsorted(row, np.arange(len(need)), side="right")
-    last = np.minimum(last, first + need)
-    return [gap[a:b] for a, b in zip(first, last)], [member[a:b] for a, b in zip(first, last)]
+        yield at + rows, cols, exact_gaps(q, x, at + rows, cols)
 
 
-def _nearest_in(queries: pd.DataFrame, base: pd.DataFrame, width: int):
-    """Neighbour lists of ``queries`` (need rows each) among ``base`` (ids), but for a query's own vector."""
-    if not len(queries) or not len(base):
-        return [[] for _ in range(len(queries))], [[] for _ in range(len(queries))]
-    q = to_matrix(queries.vi, queries.vv, width)
-    x = to_matrix(base.vi, base.vv, width)
-    need = queries.need.to_numpy("int64")
-    asked = base.qid.notna().to_numpy()
-    at = pd.Series(np.flatnonzero(asked), index=base.qid.to_numpy()[asked].astype("int64"))
-    own = at.reindex(queries.qid.to_numpy("int64")).fillna(-1).to_numpy("int64")
-    rows, cols, dist = _close_pairs(q, x, need, own)
-    return _top_lists(rows, cols, dist, list(base.ids), need)
+def exact_gaps(q: np.ndarray, x: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Distances of the pairs (q[rows], x[cols])."""
+    out = np.zeros(len(rows))
+    piece = max(1, HELD // max(q.shape[1], 1))
+    for p in range(0, len(rows), piece):
+        gap = q[rows[p : p + piece]] - x[cols[p : p + piece]]
+        out[p : p + piece] = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+    return out
 
 
-def _objects(values) -> pd.Series:
-    """A column of lists, typed as such even when empty."""
-    return pd.Series(list(values), dtype=object)
+def _top(rows, cols, dist, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, need: np.ndarray):
+    """(row, distance, id) of the ``need`` closest ids of each row, by distance, then id; column c stands for
+    ``sizes[c]`` ids of ``flat``."""
+    reps = sizes[cols]
+    inner = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+    row, gap = np.repeat(rows, reps), np.repeat(dist, reps)
+    member = flat[np.repeat(starts[cols], reps) + inner]
+    order = np.lexsort((member, gap, row))
+    row, gap, member = row[order], gap[order], member[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    kept = rank < need[row]
+    return row[kept], gap[kept], member[kept]
+
+
+def _nearest_in(queries: pa.Table, base: pa.Table, need: np.ndarray, width: int) -> pa.Table:
+    """Entries of the neighbour lists of ``queries`` (need rows each) among ``base`` (ids), but for a query's own vector."""
+    out = []
+    if len(queries) and len(base):
+        q, x = (arrow_matrix(t["vi"], t["vv"], width) for t in (queries, base))
+        qid = queries["qid"].to_numpy()
+        asked = pc.is_valid(base["qid"]).to_numpy()
+        at = pd.Series(np.flatnonzero(asked), index=base["qid"].drop_null().to_numpy())
+        own = at.reindex(qid).fillna(-1).to_numpy("int64")
+        sizes = pc.list_value_length(base["ids"]).to_numpy().astype("int64")
+        flat, starts = pc.list_flatten(base["ids"]).to_numpy(), np.cumsum(sizes) - sizes
+        for rows, cols, dist in _close_pairs(q, x, need, own):
+            row, gap, member = _top(rows, cols, dist, flat, starts, sizes, need)
+            out.append((qid[row], gap, member))
+    qids, gaps, members = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, "int64"), np.zeros(0), np.zeros(0, "int64"))
+    return pa.table({"qid": pa.array(qids, pa.int64()), "dist": pa.array(gaps, pa.float64()), "id": pa.array(members, pa.int64())})
 
 
 def _distinct(rows: DataFrame, keep: int, self_join: bool) -> DataFrame:
@@ -157,7 +173,7 @@ def _distinct(rows: DataFrame, keep: int, self_join: bool) -> DataFrame:
     )
 
 
-LISTS = "qid long, nd array<double>, ni array<long>"
+ENTRIES = "qid long, dist double, id long"
 
 
 def grid(vectors: DataFrame, side: int, cores: int) -> tuple[DataFrame, DataFrame]:
@@ -180,18 +196,16 @@ def _search(vectors, queries, k, width, skip_self, side, n_queries):
     vectors = freeze(vectors)
     left, right = grid(vectors, side, cores)
 
-    def meet(ask: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
+    def meet(ask: pa.Table, base: pa.Table) -> pa.Table:
         # Other copies of a query are told by their ids, so it needs fewer rows.
-        base = base.rename(columns=lambda c: c.removeprefix("base_"))
-        ask = ask.assign(need=np.clip(k - np.maximum(ask.held.to_numpy() - skip_self, 0), 0, k))
-        near, who = _nearest_in(ask, base, width)
-        found = pd.DataFrame({"qid": ask.qid.to_numpy(), "nd": _objects(near), "ni": _objects(who)})
-        return found[found.nd.map(len) > 0]
+        base = base.rename_columns([c.removeprefix("base_") for c in base.column_names])
+        need = np.clip(k - np.maximum(ask["held"].to_numpy() - skip_self, 0), 0, k)
+        return _nearest_in(ask, base, need, width)
 
     keys = ["a", "b"]
     right = right.withColumnsRenamed({c: f"base_{c}" for c in right.columns})  # both sides come from one frame
-    lists = left.groupBy(*keys).cogroup(right.groupBy(*[f"base_{c}" for c in keys])).applyInPandas(meet, LISTS)
-    entries = lists.select("qid", F.explode(F.arrays_zip(F.col("nd").alias("dist"), F.col("ni").alias("id"))).alias("e"))
+    found = left.groupBy(*keys).cogroup(right.groupBy(*[f"base_{c}" for c in keys])).applyInArrow(meet, ENTRIES)
+    entries = found.select("qid", F.struct("dist", "id").alias("e"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("e.dist", "e.id"))
     best = entries.withColumn("_n", rank).filter(F.col("_n") <= k).groupBy("qid").agg(F.collect_list("e").alias("far"))
     asks = vectors.filter("qid IS NOT NULL")
