@@ -8,7 +8,8 @@ al. 2013, DBSCAN*). Score: 1 for noise, else 1 - least core / own core.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from oddlog.detectors.base import Fitted, Shared, clean
@@ -20,24 +21,27 @@ from oddlog.session import freeze, hold
 
 
 def _close(x: np.ndarray, y: np.ndarray, eps: float):
-    """Index pairs at most ``eps`` apart, a few million comparisons at a time; borderline ones measured exactly."""
-    xx, yy = (x * x).sum(1), (y * y).sum(1)
+    """Index pairs at most ``eps`` apart, a million comparisons at a time; borderline ones measured exactly."""
+    xx, yy = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", y, y)
     slack = 1e-9 * (xx.max(initial=0.0) + yy.max(initial=0.0)) + 1e-12
-    step = max(1, (1 << 22) // max(len(y), 1))
+    step = max(1, nn.HELD // max(len(y), 1))
     for at in range(0, len(x), step):
-        d2 = xx[at : at + step, None] + yy[None, :] - 2.0 * (x[at : at + step] @ y.T)
+        d2 = x[at : at + step] @ y.T
+        d2 *= -2.0
+        d2 += xx[at : at + step, None]
+        d2 += yy
         a, b = np.nonzero(d2 <= eps * eps + slack)
         near = np.flatnonzero(d2[a, b] > eps * eps - slack)
-        gap = x[at + a[near]] - y[b[near]]
-        far = near[np.sqrt(np.einsum("ij,ij->i", gap, gap)) > eps]
+        far = near[nn.exact_gaps(x, y, at + a[near], b[near]) > eps]
         yield at + np.delete(a, far), np.delete(b, far)
 
 
 def _merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Roots after linking a and b; only pairs of different groups are kept at a time."""
-    pairs = np.unique(np.stack([root[a], root[b]], 1), axis=0)
-    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-    return local_components(len(root), pairs[:, 0], pairs[:, 1])[root] if len(pairs) else root
+    a, b = root[a], root[b]
+    apart = a != b
+    a, b = np.divmod(np.unique(a[apart].astype("int64") * len(root) + b[apart]), max(len(root), 1))
+    return local_components(len(root), a, b)[root] if len(a) else root
 
 
 def cluster_roots(core: DataFrame, eps: float, rows_per_side: int | None = None) -> DataFrame:
@@ -55,32 +59,37 @@ def cluster_roots(core: DataFrame, eps: float, rows_per_side: int | None = None)
     cores = core.sparkSession.sparkContext.defaultParallelism
     blocks = nn.cut(points.count(), rows_per_side or nn.side_rows(width), cores)
 
-    def own(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("qid", ignore_index=True)
-        x = nn.to_matrix(pdf.vi, pdf.vv, width)
-        root = np.arange(len(pdf))
+    def own(part: pa.Table) -> pa.Table:
+        part = part.sort_by("qid")
+        x = nn.arrow_matrix(part["vi"], part["vv"], width)
+        root = np.arange(len(part))
         for a, b in _close(x, x, eps):
             root = _merge(root, a, b)
-        return pdf.assign(local=pdf.qid.to_numpy()[root])
+        local = pa.array(part["qid"].to_numpy()[root], pa.int64())
+        # Entries that may be null, as the names of the schema say.
+        vv = part["vv"].cast(pa.list_(pa.field("element", pa.float64())))
+        return part.set_column(part.column_names.index("vv"), "vv", vv).append_column("local", local)
 
-    local = freeze(points.withColumn("block", F.pmod("h", F.lit(blocks)).cast("int")).groupBy("block").applyInPandas(
+    local = freeze(points.withColumn("block", F.pmod("h", F.lit(blocks)).cast("int")).groupBy("block").applyInArrow(
         own, "h long, vi array<int>, vv array<double>, qid long, block int, local long"
     ))
 
-    def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        mine, theirs = (pdf[pdf.block == pdf[side]] for side in ("low", "high"))
-        names, code = np.unique(np.concatenate([mine.local.to_numpy(), theirs.local.to_numpy()]), return_inverse=True)
+    def links(part: pa.Table) -> pa.Table:
+        mine, theirs = (part.filter(pc.equal(part["block"], part[side])) for side in ("low", "high"))
+        names, code = np.unique(np.concatenate([mine["local"].to_numpy(), theirs["local"].to_numpy()]), return_inverse=True)
         root = np.arange(len(names))
-        for a, b in _close(nn.to_matrix(mine.vi, mine.vv, width), nn.to_matrix(theirs.vi, theirs.vv, width), eps):
+        x, y = (nn.arrow_matrix(t["vi"], t["vv"], width) for t in (mine, theirs))
+        for a, b in _close(x, y, eps):
             root = _merge(root, code[a], code[len(mine) + b])
         # One link per group to the least group it touches: a spanning forest.
-        return pd.DataFrame({"a": names, "b": names[root]}).query("a != b")
+        moved = names[root] != names
+        return pa.table({"a": pa.array(names[moved], pa.int64()), "b": pa.array(names[root][moved], pa.int64())})
 
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     pairs = local.select("block", "local", "vi", "vv", other.alias("other")).filter("block <> other").select(
         "block", "local", "vi", "vv", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
     )
-    joined = components(pairs.groupBy("low", "high").applyInPandas(links, "a long, b long"))
+    joined = components(pairs.groupBy("low", "high").applyInArrow(links, "a long, b long"))
     roots = local.join(joined.withColumnRenamed("node", "local"), "local", "left").select(
         "h", "vi", "vv", F.coalesce("root", "local").alias("root")
     )

@@ -1,4 +1,6 @@
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors, SparseVector
@@ -6,9 +8,9 @@ from pyspark.ml.linalg import Vectors, SparseVector
 
 from oddlog.detectors import ECOD, IForest, KNN, LOF, LUNAR, Density, Reconstruction
 from oddlog.detectors.base import Shared, cuts
-from oddlog.detectors.density import cluster_roots
+from oddlog.detectors.density import _close, cluster_roots
 from oddlog.detectors.neighbours import transfer_scores
-from oddlog.operators import ecdf
+from oddlog.operators import ecdf, nearest as nn
 from oddlog.operators.descent import _hopeless, descend
 from oddlog.operators.nearest import nearest
 
@@ -94,6 +96,17 @@ def test_descent_ends_with_exact_lists_where_distances_hardly_differ(spark):
     assert _hopeless([0.2, 0.5, 0.52], 0.9) and not _hopeless([0.2, 0.3, 0.5], 0.9) and not _hopeless([0.5, 0.9, 0.91], 0.9)
 
 
+def test_cells_hold_little_beside_their_rows():
+    assert nn.side_rows(64) * 64 * 8 <= 16 << 20
+    x = np.random.default_rng(4).normal(size=(4096, 8))
+    tracemalloc.start()
+    pairs = sum(len(rows) for rows, _, _ in nn._close_pairs(x, x, np.full(4096, 5), np.full(4096, -1)))
+    links = sum(len(a) for a, _ in _close(x, x, 0.5))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert pairs >= 5 * 4096 and links >= 4096 and peak < 40 << 20
+
+
 def test_fewer_rows_than_neighbours(spark):
     x = np.array([[0.0], [1.0], [3.0]])
     assert lists(nearest(frame(spark, x), k=5)) == brute(x, range(3), x, range(3), 5, True)
