@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from oddlog.functions.text import char_ngrams
 from oddlog.operators.means import vector_mean
-from oddlog.operators.vocabulary import term_counts
+from oddlog.session import freeze
 
 # Token tables up to this many bytes travel to the tasks.
 SHIPPED_BYTES = 64 << 20
@@ -53,6 +53,18 @@ def with_unseen(tokens: DataFrame, vectors: DataFrame, grams: DataFrame, size: i
     return known.filter("known").select("token", "vector").unionByName(built)
 
 
+def _split(lines: DataFrame, vectors: DataFrame, bound: int) -> tuple[DataFrame, DataFrame]:
+    """The vectors of the most frequent tokens of ``lines``, at most ``bound`` unless tokens repeat, and the others found."""
+    counts = lines.groupBy("token").agg(F.count(F.lit(1)).alias("_c"))
+    ranked = freeze(counts.join(vectors, "token"))
+    # Few counts differ, however many tokens there are.
+    sizes = ranked.groupBy("_c").agg(F.count(F.lit(1)).alias("n"))
+    running = sizes.withColumn("n", F.sum("n").over(Window.orderBy(F.desc("_c"))))
+    least = running.filter(F.col("n") <= bound).agg(F.min("_c")).first()[0]
+    often = F.lit(False) if least is None else F.col("_c") >= least
+    return ranked.filter(often).drop("_c"), ranked.filter(~often).drop("_c")
+
+
 def pool(
     df: DataFrame, vectors: DataFrame, size: int, tokens: str = "tokens", key: str = "row_id",
     out: str = "features", vector_rows: int | None = None,
@@ -60,19 +72,20 @@ def pool(
     """Mean vector of the tokens found; a row without any gets zeros.
 
     A small vector table travels to the texts, and a row's tokens are summed
-    where they are. A large one is met in a join, once per row and distinct
-    token with the count as weight.
+    where they are. So do the most frequent tokens of a large one; only the
+    others are met in a join.
     """
     vector_rows = vectors.count() if vector_rows is None else vector_rows
     vectors = vectors.select("token", vector_to_array("vector").alias("vector"))
-    if vector_rows * (8 * size + 48) <= SHIPPED_BYTES:
-        lines = df.select(key, F.explode(tokens).alias("token"))
+    lines = df.select(key, F.explode(tokens).alias("token"))
+    fit = SHIPPED_BYTES // (8 * size + 48)
+    if vector_rows <= fit:
         met = lines.join(F.broadcast(vectors), "token")
-        mean = vector_mean(met, [key], "vector", size, out="_m")
     else:
-        counts = term_counts(df, tokens, key).withColumnRenamed("term", "token")
-        met = counts.join(vectors, "token")
-        mean = vector_mean(met, [key], "vector", size, F.col("tf"), out="_m")
+        often, rest = _split(lines, vectors, fit)
+        rare = lines.join(F.broadcast(often.select("token")), "token", "left_anti")
+        met = lines.join(F.broadcast(often), "token").unionByName(rare.join(rest, "token"))
+    mean = vector_mean(met, [key], "vector", size, out="_m")
     mean = mean.select(key, vector_to_array("_m").alias("_m"))
     zeros = F.array_repeat(F.lit(0.0), size)
     filled = array_to_vector(F.coalesce("_m", zeros))

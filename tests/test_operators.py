@@ -137,6 +137,18 @@ def test_pooling(spark, shipped, monkeypatch):
     assert found == {"aa": [1.0, 0.0], "aab": [1.0, 0.0]}
 
 
+def test_pooling_ships_frequent_tokens_of_a_large_table(spark, monkeypatch):
+    monkeypatch.setattr(pooling, "SHIPPED_BYTES", 2 * (8 * 1 + 48))
+    vectors = spark.createDataFrame([(t, Vectors.dense([v])) for t, v in (("aa", 1.0), ("bb", 2.0), ("cc", 4.0), ("dd", 8.0))], ["token", "vector"])
+    texts = [["aa"] * 5 + ["bb"], ["bb", "cc"], ["dd", "zz", "aa"], [], ["zz"]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "row_id long, tokens array<string>")
+    lines = docs.select(F.explode("tokens").alias("token"))
+    often, rest = pooling._split(lines, vectors, 2)
+    assert [{r.token for r in t.collect()} for t in (often, rest)] == [{"aa", "bb"}, {"cc", "dd"}]
+    got = dict(pooling.pool(docs, vectors, 1).select("row_id", vector_to_array("features")).collect())
+    assert [got[i][0] for i in range(5)] == pytest.approx([7 / 6, 3.0, 4.5, 0.0, 0.0])
+
+
 @pytest.mark.parametrize("direct", [5, 10_000])
 def test_quantiles_are_exact(spark, direct):
     rng = np.random.default_rng(0)
