@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from oddlog.detectors.base import Fitted, clean
 from oddlog.operators.nearest import to_matrix, unpacked, vector_width
+from oddlog.session import spread
 
 SAMPLE = 256
 _UNIT = 1 << 53
@@ -120,7 +121,7 @@ class ForestModel(Fitted):
                     paths = walk(to_matrix(part.vi, part.vv, width))
                     yield pd.DataFrame({"row_id": part.id.to_numpy(), "score": 2.0 ** (-paths / scale)})
 
-        return unpacked(clean(rows), "row_id", "features", width).mapInPandas(scored, "row_id long, score double")
+        return unpacked(spread(clean(rows)), "row_id", "features", width).mapInPandas(scored, "row_id long, score double")
 
 
 class IForest:
@@ -143,10 +144,10 @@ class IForest:
             return pd.DataFrame({"tree": [tree], "n": [len(pdf)], **{k: [v] for k, v in zip(names, grown)}})
 
         fields = unpacked(rows, "row_id", "features", width)
-        margin = 1.5
+        ids, margin = spread(rows.select("row_id")), 1.5
         while True:
             # A few hundred rows per tree, whatever the size of the data.
-            picks = draw(rows, n, self.n_estimators, self.bootstrap, seed, margin)
+            picks = draw(ids, n, self.n_estimators, self.bootstrap, seed, margin)
             sampled = fields.join(F.broadcast(picks.withColumnRenamed("row_id", "id")), "id")
             grown = sampled.groupBy("tree").applyInPandas(
                 build,

@@ -107,6 +107,11 @@ def test_cells_hold_little_beside_their_rows():
     assert pairs >= 5 * 4096 and links >= 4096 and peak < 40 << 20
 
 
+def test_forest_scores_a_single_split_on_all_cores(spark):
+    model = IForest(n_estimators=5).fit(frame(spark, cloud(60)).coalesce(1))
+    assert model.train_scores.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_fewer_rows_than_neighbours(spark):
     x = np.array([[0.0], [1.0], [3.0]])
     assert lists(nearest(frame(spark, x), k=5)) == brute(x, range(3), x, range(3), 5, True)
