@@ -18,31 +18,55 @@ from oddlog.operators.order import with_position
 from oddlog.session import broadcast_if_small, freeze
 
 # Most rows of a block, of the edges or links one task may finish, and of a run of merges.
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 2048
 TASK_EDGES = 1 << 20
+# Blocks on a side whose pairs share a cut of their edges.
+SHARED = 8
+
+
+def _gaps(x: np.ndarray) -> np.ndarray:
+    """All distances of a block by a matrix product; short ones, where it loses digits, are measured exactly."""
+    y = x - x.mean(axis=0) if len(x) else x
+    xx = np.einsum("ij,ij->i", y, y)
+    out = y @ y.T
+    out *= -2.0
+    out += xx[:, None]
+    out += xx
+    step = max(1, nn.HELD // max(len(x), 1))
+    for at in range(0, len(x), step):
+        part = out[at : at + step]
+        a, b = np.nonzero(part <= 1e-4 * (xx[at : at + step, None] + xx))
+        np.sqrt(np.maximum(part, 0.0, out=part), out=part)
+        part[a, b] = nn.exact_gaps(x, x, at + a, b)
+    return out
 
 
 def _prim(x: np.ndarray, core: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A spanning tree of one block under the largest of both core distances and the distance over ``alpha``."""
+    """A spanning tree of one block under the largest of both core distances and the distance over ``alpha``.
+
+    Weights are exact differences; reaches that differ by less than about 1e-10 of their size may be taken for each other.
+    """
     n = len(x)
+    gaps = _gaps(x)
+    gaps /= alpha
     best, source, left = np.full(n, np.inf), np.zeros(n, int), np.ones(n, bool)
-    a, b, w = np.zeros(max(n - 1, 0), int), np.zeros(max(n - 1, 0), int), np.zeros(max(n - 1, 0))
+    a, b = np.zeros(max(n - 1, 0), int), np.zeros(max(n - 1, 0), int)
     at = 0
     for step in range(n - 1):
-        left[at] = False
-        gap = x - x[at]
-        reach = np.maximum(np.maximum(np.sqrt(np.einsum("ij,ij->i", gap, gap)) / alpha, core), core[at])
+        left[at], best[at] = False, np.inf
+        reach = np.maximum(np.maximum(gaps[at], core), core[at])
         closer = left & (reach < best)
         best[closer], source[closer] = reach[closer], at
-        at = int(np.argmin(np.where(left, best, np.inf)))
-        a[step], b[step], w[step] = source[at], at, best[at]
-    return a, b, w
+        at = int(np.argmin(best))
+        a[step], b[step] = source[at], at
+    return a, b, np.maximum(np.maximum(nn.exact_gaps(x, x, a, b) / alpha, core[a]), core[b])
 
 
 def reach_edges(points: DataFrame, width: int, alpha: float = 1.0, block_rows: int | None = None) -> DataFrame:
     """Edges ``(a, b, w)`` that hold a spanning tree of ``points`` (pid, vi, vv, core) by mutual reachability.
 
-    n points in blocks of r rows make n * n / r edges and n * n distances.
+    n points in blocks of r rows make n * n / r edges and n * n distances; the pairs of SHARED blocks with SHARED others
+    leave a spanning tree of theirs.
     """
     cores = points.sparkSession.sparkContext.defaultParallelism
     blocks = nn.cut(points.count(), block_rows or min(BLOCK_ROWS, nn.side_rows(width)), cores)
@@ -60,7 +84,13 @@ def reach_edges(points: DataFrame, width: int, alpha: float = 1.0, block_rows: i
         met = dealt.withColumn("other", other).filter("block <> other").select(
             F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "pid", "vi", "vv", "core"
         )
-    return met.groupBy("low", "high").applyInPandas(tree, "a long, b long, w double")
+    trees = met.groupBy("low", "high").applyInPandas(
+        lambda key, pdf: tree(pdf).assign(low=key[0] // SHARED, high=key[1] // SHARED), "a long, b long, w double, low long, high long"
+    )
+    if blocks <= SHARED:
+        return trees.select("a", "b", "w")
+    cut = trees.groupBy("low", "high").applyInPandas(lambda key, pdf: _kruskal(pdf.assign(x=pdf.a, y=pdf.b)), "a long, b long, w double")
+    return cut.distinct()
 
 
 def _union_find(n: int):

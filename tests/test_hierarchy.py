@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from oddlog.detectors.hierarchy import Hierarchy, winners
-from oddlog.operators.spanning import climb, spanning_tree
+from oddlog.operators.spanning import _prim, climb, reach_edges, spanning_tree
 from oddlog.plans.catalog import QUERIES
 from tests.test_detectors import components_by_hand, frame
 
@@ -168,3 +168,22 @@ def test_new_rows_take_scores_of_near_ones(spark):
     known = {r.row_id: r.score for r in model.members.collect()}
     got = {r.row_id: r.score for r in model.score(frame(spark, x[:10])).collect()}
     assert all(got[i] == pytest.approx(known[i], abs=1e-6) for i in range(10))
+
+
+def test_pairs_of_blocks_leave_few_edges(spark):
+    x = np.random.default_rng(5).normal(size=(400, 3)) + 1e6
+    x[:40] = x[40:80] + 1e-7
+    w, core = reach(x, 4)
+    points = spark.createDataFrame([(i, None, r.tolist(), float(c)) for i, (r, c) in enumerate(zip(x, core))], "pid long, vi array<int>, vv array<double>, core double")
+    edges = reach_edges(points, 3, block_rows=20)
+    _, _, want = _prim(x, core, 1.0)
+    assert edges.count() < 400 * 400 / 20
+    assert sorted(r.w for r in spanning_tree(edges).collect()) == pytest.approx(sorted(want), rel=1e-9)
+    at, left, total = 0, set(range(1, 400)), []
+    best = w[0].copy()
+    while left:
+        at = min(left, key=lambda i: best[i])
+        total.append(best[at])
+        left.remove(at)
+        best = np.minimum(best, w[at])
+    assert sorted(want) == pytest.approx(sorted(total), rel=1e-9)
