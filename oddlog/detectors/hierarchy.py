@@ -19,7 +19,7 @@ from oddlog.detectors.base import Fitted, Shared, clean
 from oddlog.detectors.neighbours import distance_score, transfer_scores
 from oddlog.operators import nearest as nn
 from oddlog.operators.order import with_position
-from oddlog.operators.spanning import TASK_EDGES, climb, merge_tree, reach_edges, spanning_tree
+from oddlog.operators.spanning import BLOCK_ROWS, TASK_EDGES, climb, known_edges, merge_tree, reach_edges, spanning_tree
 from oddlog.session import freeze
 
 _SAME = ["h", "vi", "vv"]
@@ -137,22 +137,23 @@ class Hierarchy:
         self.least, self.min_samples, self.alpha = min_cluster_size, min_samples or min_cluster_size, alpha
         self.block_rows, self.bound = block_rows, bound
 
-    def points(self, rows: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
-        """Rows by vector, the numbered points (pid, qid, size, core and vector), their count and width."""
+    def points(self, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int, int]:
+        """Rows by vector, the numbered points (pid, qid, size, core and vector), the neighbour lists, count and width."""
         width = nn.vector_width(rows)
-        lists = nn.nearest(rows, k=self.min_samples, include_self=True, rows_per_side=self.block_rows)
+        lists = freeze(nn.nearest(rows, k=self.min_samples, include_self=True, rows_per_side=self.block_rows))
         cores = lists.select(F.col("row_id").alias("id"), distance_score(F.col("nn")).alias("core"))
         hashed = nn.unpacked(rows, "row_id", "features", width).withColumn("h", F.xxhash64("vi", "vv"))
         merged = hashed.join(cores, "id").groupBy(*_SAME).agg(
             F.min("id").alias("qid"), F.count(F.lit(1)).alias("size"), F.min("core").alias("core")
         )
         numbered, n = with_position(merged, ["qid"], "pid")
-        return hashed, freeze(numbered), n, width
+        return hashed, freeze(numbered), lists, n, width
 
     def spanning(self, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
         """`points` and the edges of their spanning tree."""
-        hashed, points, n, width = self.points(clean(rows))
-        return hashed, points, spanning_tree(reach_edges(points, width, self.alpha, self.block_rows), self.bound), n
+        hashed, points, lists, n, width = self.points(clean(rows))
+        edges = reach_edges(points, width, self.alpha, self.block_rows, known_edges(lists, points, self.alpha), max(self.bound, BLOCK_ROWS))
+        return hashed, points, spanning_tree(edges, self.bound), n
 
     def fit(self, rows: DataFrame, shared: Shared | None = None) -> HierarchyModel:
         rows = clean(rows)

@@ -11,6 +11,7 @@ This meets every pair; `descent` finds most of the same lists without.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,8 +25,12 @@ from oddlog.session import freeze
 DENSE_WIDTH = 256
 SIDE_BYTES = 64 << 20
 SIDE_ROWS = 1 << 15
+# Most bytes of the dense matrix of a stored block: a task gets two blocks as one row.
+BLOCK_BYTES = 16 << 20
 # Distances, or entries of differences, that a task holds at a time.
 HELD = 1 << 20
+# Columns of a tile of distances.
+TILE = 2048
 
 
 def side_rows(width: int) -> int:
@@ -85,31 +90,78 @@ def arrow_matrix(vi: pa.ChunkedArray, vv: pa.ChunkedArray, width: int) -> np.nda
     return out
 
 
+def factors(x: np.ndarray, kind: type, left: bool) -> np.ndarray:
+    """Factors whose product holds all squared distances, as (-2 x, xx, 1) and (x, 1, xx)."""
+    xx, one = np.einsum("ij,ij->i", x, x)[:, None], np.ones((len(x), 1))
+    return np.hstack([-2.0 * x, xx, one] if left else [x, one, xx]).astype(kind)
+
+
+def kinds(scale: float, width: int) -> list[tuple[type, float]]:
+    """Number types for a product of `factors` of squares up to ``scale``, cheap ones first, and what their rounding may hide."""
+    return [(kind, scale * (width + 16) * float(np.finfo(kind).eps)) for kind in (np.float32, np.float64) if kind is np.float64 or 1e-30 < scale < 1e30]
+
+
+def places(mask: np.ndarray) -> np.ndarray:
+    """`np.flatnonzero` of a mask with few entries, eight at a time."""
+    flat = mask.reshape(-1)
+    if flat.size % 8:
+        return np.flatnonzero(flat)
+    at = (np.flatnonzero(flat.view(np.uint64))[:, None] * 8 + np.arange(8)).reshape(-1)
+    return at[flat[at]]
+
+
 def _close_pairs(q: np.ndarray, x: np.ndarray, need: np.ndarray, own: np.ndarray):
     """(row, column, distance) of every pair that may be among ``need`` nearest, some rows at a time.
 
-    A matrix product finds the candidates, an exact difference measures them.
-    ``own[i]`` is the column to leave out for query i, or -1.
+    A matrix product finds the candidates, in single precision unless that leaves too many; an exact difference measures
+    them. ``own[i]`` is the column to leave out for query i, or -1.
     """
-    xx = np.einsum("ij,ij->i", x, x)
-    qq = np.einsum("ij,ij->i", q, q)
-    step = max(1, HELD // max(len(x), 1))
+    if not len(x) or not len(q):
+        return
+    middle = x.mean(axis=0)
+    at_q, at_x = q - middle, x - middle
+    square = lambda y: float(np.einsum("ij,ij->i", y, y).max())
+    ways = kinds(square(at_q) + square(at_x), x.shape[1])
+    left, right = factors(at_q, ways[0][0], True), factors(at_x, ways[0][0], False)
+    # Rows of a strip and columns of a tile; the first tile bounds what the others may add to a list.
+    wide = min(len(x), TILE)
+    step = max(1, HELD // wide)
     for at in range(0, len(q), step):
         end = min(at + step, len(q))
         most = min(int(need[at:end].max()), len(x))
         if most == 0:
             continue
-        approx = q[at:end] @ x.T
-        approx *= -2.0
-        approx += qq[at:end, None]
-        approx += xx
-        slack = 1e-9 * (qq[at:end] + (xx.max() if len(xx) else 0.0)) + 1e-12
-        local = np.arange(end - at)
-        mine = own[at:end]
-        approx[local[mine >= 0], mine[mine >= 0]] = np.inf
-        kth = np.partition(approx, most - 1, axis=1)[:, most - 1]
-        bound = kth + slack
-        rows, cols = np.nonzero((approx <= bound[:, None]) & (need[at:end, None] > 0) & np.isfinite(approx))
+        silent = need[at:end] <= 0
+        bound = np.full(end - at, np.inf)
+        found = []
+        for col in range(0, len(x), wide):
+            mine = np.flatnonzero((own[at:end] >= col) & (own[at:end] < col + wide))
+            for kind, slack in ways:
+                if kind is ways[0][0]:
+                    squares = left[at:end] @ right[col : col + wide].T
+                else:
+                    squares = factors(at_q[at:end], kind, True) @ factors(at_x[col : col + wide], kind, False).T
+                squares[mine, own[at:end][mine] - col] = np.inf
+                if col == 0 and squares.shape[1] >= most:
+                    bound = np.partition(squares, most - 1, axis=1)[:, most - 1].astype(np.float64) + slack
+                bound[silent] = -np.inf
+                near = squares <= bound[:, None].astype(kind)
+                if np.count_nonzero(near) <= near.size >> 4:
+                    break
+            near = places(near)
+            rows, cols = np.divmod(near, squares.shape[1])
+            gaps = squares.ravel()[near].astype(np.float64)
+            kept = np.isfinite(gaps)
+            found.append((rows[kept], cols[kept] + col, gaps[kept]))
+        rows, cols, gaps = (np.concatenate(c) for c in zip(*found))
+        if len(found) > 1:
+            order = np.lexsort((gaps, rows))
+            rows, cols, gaps = rows[order], cols[order], gaps[order]
+            first = np.searchsorted(rows, np.arange(end - at))
+            full = first + most <= np.append(first[1:], len(rows))
+            bound[full] = gaps[first[full] + most - 1] + ways[0][1]
+            kept = gaps <= bound[rows]
+            rows, cols = rows[kept], cols[kept]
         yield at + rows, cols, exact_gaps(q, x, at + rows, cols)
 
 
@@ -176,6 +228,57 @@ def _distinct(rows: DataFrame, keep: int, self_join: bool) -> DataFrame:
 ENTRIES = "qid long, dist double, id long"
 
 
+def stored(rows: DataFrame, blocks: int) -> DataFrame:
+    """``(block, data)``: the rows of each block (a column of numbers below ``blocks``) as one value, written once."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        for block in pc.unique(table["block"]).to_pylist():
+            sink = pa.BufferOutputStream()
+            part = table.filter(pc.equal(table["block"], block)).drop_columns(["block"]).combine_chunks()
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(part)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "data"])
+
+    dealt = rows.withColumn("block", F.col("block").cast("int"))
+    return freeze(dealt.repartitionById(blocks, "block").mapInArrow(pack, "block int, data binary"))
+
+
+def meetings(left: DataFrame, right: DataFrame, meet: Callable[[int, pa.Table, int, pa.Table], pa.Table], schema: str, halves: bool = False) -> DataFrame:
+    """What ``meet`` makes of each pair of `stored` blocks, a task a pair; with ``halves`` only pairs whose left number is no larger.
+
+    Tasks read the stored blocks; no copy of a block is shuffled.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, mine, b, theirs in zip(*(batch.column(i) for i in range(4))):
+                tables = (pa.ipc.open_stream(c.as_buffer()).read_all() for c in (mine, theirs))
+                yield from meet(a.as_py(), next(tables), b.as_py(), next(tables)).to_batches()
+
+    mine = left.select(F.col("block").alias("a"), F.col("data").alias("mine"))
+    theirs = right.select(F.col("block").alias("b"), F.col("data").alias("theirs")).hint("shuffle_replicate_nl")
+    pairs = mine.join(theirs, F.col("a") <= F.col("b")) if halves else mine.crossJoin(theirs)
+    return pairs.mapInArrow(read, schema)
+
+
+def _deal(salt: str, n: int):
+    return F.pmod(F.xxhash64("h", F.lit(salt)), F.lit(n)).cast("int")
+
+
+def _blocks(vectors: DataFrame, side: int, cores: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of `grid` as stored blocks."""
+    asks = vectors.filter("qid IS NOT NULL")
+    bases = vectors.filter(F.size("ids") > 0)
+    p, q = cut(bases.count(), side, cores), cut(asks.count(), side, cores)
+    left = stored(asks.select(_deal("query", q).alias("block"), "vi", "vv", "qid", F.size("ids").alias("held")), q)
+    right = stored(bases.select(_deal("base", p).alias("block"), "vi", "vv", "ids", "qid"), p)
+    return left, right
+
+
 def grid(vectors: DataFrame, side: int, cores: int) -> tuple[DataFrame, DataFrame]:
     """Both sides of all cells: queries and base rows with ``a`` and ``b``.
 
@@ -184,17 +287,15 @@ def grid(vectors: DataFrame, side: int, cores: int) -> tuple[DataFrame, DataFram
     asks = vectors.filter("qid IS NOT NULL")
     bases = vectors.filter(F.size("ids") > 0)
     p, q = cut(bases.count(), side, cores), cut(asks.count(), side, cores)
-    deal = lambda salt, n: F.pmod(F.xxhash64("h", F.lit(salt)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asks.select(deal("query", q).alias("a"), every(p).alias("b"), "vi", "vv", "qid", F.size("ids").alias("held"))
-    right = bases.select(every(q).alias("a"), deal("base", p).alias("b"), "vi", "vv", "ids", "qid")
+    left = asks.select(_deal("query", q).alias("a"), every(p).alias("b"), "vi", "vv", "qid", F.size("ids").alias("held"))
+    right = bases.select(every(q).alias("a"), _deal("base", p).alias("b"), "vi", "vv", "ids", "qid")
     return left, right
 
 
 def _search(vectors, queries, k, width, skip_self, side, n_queries):
     cores = vectors.sparkSession.sparkContext.defaultParallelism
     vectors = freeze(vectors)
-    left, right = grid(vectors, side, cores)
 
     def meet(ask: pa.Table, base: pa.Table) -> pa.Table:
         # Other copies of a query are told by their ids, so it needs fewer rows.
@@ -202,9 +303,14 @@ def _search(vectors, queries, k, width, skip_self, side, n_queries):
         need = np.clip(k - np.maximum(ask["held"].to_numpy() - skip_self, 0), 0, k)
         return _nearest_in(ask, base, need, width)
 
-    keys = ["a", "b"]
-    right = right.withColumnsRenamed({c: f"base_{c}" for c in right.columns})  # both sides come from one frame
-    found = left.groupBy(*keys).cogroup(right.groupBy(*[f"base_{c}" for c in keys])).applyInArrow(meet, ENTRIES)
+    if vectors.count() <= side:
+        keys = ["a", "b"]
+        left, right = grid(vectors, side, cores)
+        right = right.withColumnsRenamed({c: f"base_{c}" for c in right.columns})  # both sides come from one frame
+        found = left.groupBy(*keys).cogroup(right.groupBy(*[f"base_{c}" for c in keys])).applyInArrow(meet, ENTRIES)
+    else:
+        left, right = _blocks(vectors, min(side, max(128, BLOCK_BYTES // (8 * max(width, 1)))), cores)
+        found = meetings(left, right, lambda a, ask, b, base: meet(ask, base), ENTRIES)
     entries = found.select("qid", F.struct("dist", "id").alias("e"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("e.dist", "e.id"))
     best = entries.withColumn("_n", rank).filter(F.col("_n") <= k).groupBy("qid").agg(F.collect_list("e").alias("far"))

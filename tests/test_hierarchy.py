@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 from oddlog.detectors.hierarchy import Hierarchy, winners
-from oddlog.operators.spanning import _prim, climb, reach_edges, spanning_tree
+from oddlog.operators import nearest as nn
+from oddlog.operators.spanning import _in_order, _prim, climb, known_edges, reach_edges, spanning_tree
 from oddlog.plans.catalog import QUERIES
 from tests.test_detectors import components_by_hand, frame
 
@@ -187,3 +188,68 @@ def test_pairs_of_blocks_leave_few_edges(spark):
         left.remove(at)
         best = np.minimum(best, w[at])
     assert sorted(want) == pytest.approx(sorted(total), rel=1e-9)
+
+
+def many_points(spark, x, k):
+    """Points and the neighbour lists of rows, as the hierarchy makes them of rows without copies."""
+    _, core = reach(x, k)
+    points = spark.createDataFrame(
+        [(i, i, None, r.tolist(), float(c)) for i, (r, c) in enumerate(zip(x, core))], "pid long, qid long, vi array<int>, vv array<double>, core double"
+    )
+    return points, nn.nearest(frame(spark, x), k=k, include_self=True, rows_per_side=40)
+
+
+def odd_clouds(kind):
+    rng = np.random.default_rng(11)
+    if kind == "apart":
+        return np.concatenate([rng.normal(c, 0.1, (50, 3)) for c in (0, 5, 40, 1000, 3e5)])
+    if kind == "offset":
+        return rng.normal(size=(250, 3)) + 1e6
+    if kind == "ties":
+        return np.array([(a, b, c) for a in range(7) for b in range(6) for c in range(6)], float)
+    return rng.normal(size=(250, 3))
+
+
+@pytest.mark.parametrize("kind", ["plain", "apart", "offset", "ties"])
+@pytest.mark.parametrize("bound", [1 << 20, 100])
+def test_order_of_known_edges_keeps_the_tree(spark, kind, bound):
+    """Beyond the bound points have no order, and each pair of tiles leaves a tree."""
+    x = odd_clouds(kind)
+    points, lists = many_points(spark, x, 4)
+    edges = reach_edges(points, 3, block_rows=20, known=known_edges(lists, points), bound=bound)
+    got = sorted(r.w for r in spanning_tree(edges).collect())
+    assert len(got) == len(x) - 1
+    assert got == pytest.approx(sorted(_prim(x, reach(x, 4)[1], 1.0)[2]), rel=1e-9)
+
+
+def test_known_edges_leave_few_pairs(spark):
+    x = odd_clouds("plain")
+    points, lists = many_points(spark, x, 4)
+    edges = reach_edges(points, 3, block_rows=20, known=known_edges(lists, points)).count()
+    assert edges < 1.2 * len(x) < reach_edges(points, 3, block_rows=20).count()
+
+
+def test_largest_gap_is_the_largest_edge_on_the_way():
+    w, _ = reach(np.random.default_rng(3).normal(size=(40, 2)), 3)
+    a, b = np.triu_indices(40, 1)
+    pid, gap, tree = _in_order(a, b, w[a, b], 40)
+    way = w.copy()
+    for k in range(40):
+        way = np.minimum(way, np.maximum(way[:, k : k + 1], way[k]))
+    assert sorted(pid) == list(range(40)) and not tree.any() and gap[-1] == np.inf
+    assert all(gap[i:j].max() == way[pid[i], pid[j]] for i in range(40) for j in range(i + 1, 40))
+    pid, gap, tree = _in_order(np.array([0, 2]), np.array([1, 3]), np.array([1.0, 2.0]), 5)
+    assert sorted(zip(tree.tolist(), pid.tolist())) == [(0, 0), (0, 1), (1, 2), (1, 3), (2, 4)]
+    assert sorted(gap) == [1.0, 2.0, np.inf, np.inf, np.inf]
+
+
+def test_hierarchy_by_stored_blocks_equals_brute_force(spark):
+    """More points than the blocks whose copies are shuffled; rows repeat and reaches tie."""
+    x = np.concatenate([clouds(9, grid=4), clouds(10, grid=4) + 30])
+    check(spark, x, 6, 3, block_rows=16)
+
+
+def test_blocks_are_read_and_not_copied(spark):
+    x = np.random.default_rng(12).normal(size=(300, 2))
+    text = nn.nearest(frame(spark, x), k=3, rows_per_side=20)._jdf.queryExecution().toString()
+    assert "CartesianProduct" in text and "Generate" not in text
