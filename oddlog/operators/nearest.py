@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
+from oddlog.operators.boxes import Boxes, reached
 from oddlog.session import freeze
 
 DENSE_WIDTH = 256
@@ -29,6 +30,11 @@ SIDE_ROWS = 1 << 15
 BLOCK_BYTES = 16 << 20
 # Distances, or entries of differences, that a task holds at a time.
 HELD = 1 << 20
+# Most features for which boxes are searched, and the base rows and queries of a box that meet in a task.
+FEW_WIDTH = 4
+BOX_ROWS, BOX_ASKS = 1 << 12, 1 << 14
+# Points drawn to find the walls, at least as many to a box, and boxes to a query from which on all pairs meet.
+DRAWN, DRAWN_BOX, MOST_BOXES = 1 << 16, 32, 16
 # Columns of a tile of distances.
 TILE = 2048
 
@@ -189,9 +195,9 @@ def _top(rows, cols, dist, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarr
     return row[kept], gap[kept], member[kept]
 
 
-def _nearest_in(queries: pa.Table, base: pa.Table, need: np.ndarray, width: int) -> pa.Table:
-    """Entries of the neighbour lists of ``queries`` (need rows each) among ``base`` (ids), but for a query's own vector."""
-    out = []
+def _lists_in(queries: pa.Table, base: pa.Table, need: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's place, distance, id) of the lists of ``queries`` (need rows each) among ``base`` (ids), but for a query's own vector."""
+    out = [(np.zeros(0, "int64"), np.zeros(0), np.zeros(0, "int64"))]
     if len(queries) and len(base):
         q, x = (arrow_matrix(t["vi"], t["vv"], width) for t in (queries, base))
         qid = queries["qid"].to_numpy()
@@ -201,10 +207,14 @@ def _nearest_in(queries: pa.Table, base: pa.Table, need: np.ndarray, width: int)
         sizes = pc.list_value_length(base["ids"]).to_numpy().astype("int64")
         flat, starts = pc.list_flatten(base["ids"]).to_numpy(), np.cumsum(sizes) - sizes
         for rows, cols, dist in _close_pairs(q, x, need, own):
-            row, gap, member = _top(rows, cols, dist, flat, starts, sizes, need)
-            out.append((qid[row], gap, member))
-    qids, gaps, members = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, "int64"), np.zeros(0), np.zeros(0, "int64"))
-    return pa.table({"qid": pa.array(qids, pa.int64()), "dist": pa.array(gaps, pa.float64()), "id": pa.array(members, pa.int64())})
+            out.append(_top(rows, cols, dist, flat, starts, sizes, need))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def _nearest_in(queries: pa.Table, base: pa.Table, need: np.ndarray, width: int) -> pa.Table:
+    """Entries of the neighbour lists of `_lists_in`."""
+    rows, gaps, members = _lists_in(queries, base, need, width)
+    return pa.table({"qid": pa.array(queries["qid"].to_numpy()[rows], pa.int64()), "dist": pa.array(gaps, pa.float64()), "id": pa.array(members, pa.int64())})
 
 
 def _distinct(rows: DataFrame, keep: int, self_join: bool) -> DataFrame:
@@ -293,27 +303,107 @@ def grid(vectors: DataFrame, side: int, cores: int) -> tuple[DataFrame, DataFram
     return left, right
 
 
+def _wanted(ask: pa.Table, k: int, skip_self: bool) -> np.ndarray:
+    """Rows a query needs; other copies of it are told by their ids, so it needs fewer."""
+    return np.clip(k - np.maximum(ask["held"].to_numpy() - skip_self, 0), 0, k)
+
+
+def _first(entries: DataFrame, k: int) -> DataFrame:
+    """``(qid, far)``: the k first entries (dist, id) of each query."""
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy("e.dist", "e.id"))
+    return entries.withColumn("_n", rank).filter(F.col("_n") <= k).groupBy("qid").agg(F.collect_list("e").alias("far"))
+
+
+def _by_boxes(vectors: DataFrame, k: int, width: int, skip_self: bool, box_rows: int) -> DataFrame | None:
+    """``(qid, far)`` by way of boxes; none if the lists reach so many boxes that all pairs may as well meet."""
+    asks, bases = vectors.filter("qid IS NOT NULL"), vectors.filter(F.size("ids") > 0)
+    n_asks, n_bases = asks.count(), bases.count()
+    draw = F.pmod(F.xxhash64("h", F.lit("box")), F.lit(max(1, n_bases // DRAWN))) == 0
+    drawn = np.array([r.vv for r in bases.filter(draw).select("vv").collect()]).reshape(-1, width)
+    boxes = Boxes(drawn, min(-(-n_bases // box_rows), max(1, len(drawn) // DRAWN_BOX) if n_bases > DRAWN else n_bases))
+
+    def dealt(rows: DataFrame, more: list[str]) -> DataFrame:
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = arrow_matrix(pa.chunked_array([batch["vi"]]), pa.chunked_array([batch["vv"]]), width)
+                yield batch.append_column("box", pa.array(boxes.of(x), pa.int64()))
+
+        rows = rows.select("vi", "vv", "qid", *more)
+        return rows.mapInArrow(deal, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", box long")
+
+    asks = dealt(asks.withColumn("held", F.size("ids")), ["held"])
+    bases = freeze(dealt(bases, ["ids"]))
+    edge = lambda f, name: [f(F.get("vv", F.lit(d))).alias(f"{name}{d}") for d in range(width)]
+    ends = {r.box: r for r in bases.groupBy("box").agg(*edge(F.min, "low"), *edge(F.max, "high")).collect()}
+    names = np.array(sorted(ends))
+    low, high = (np.array([[ends[b][f"{side}{d}"] for d in range(width)] for b in names.tolist()]) for side in ("low", "high"))
+
+    def met(asks: DataFrame, meet, schema: str) -> DataFrame:
+        """Queries with the base rows of their box, at most about BOX_ASKS in a task."""
+        parts = F.broadcast(asks.groupBy("box").agg(F.ceil(F.count(F.lit(1)) / BOX_ASKS).cast("int").alias("parts")))
+        left = asks.join(parts, "box").withColumn("part", F.pmod(F.xxhash64("qid"), F.col("parts"))).drop("parts")
+        right = bases.join(parts, "box").select(
+            F.col("box").alias("base_box"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("base_part"), "vi", "vv", "qid", "ids"
+        )
+        return left.groupBy("box", "part").cogroup(right.groupBy("base_box", "base_part")).applyInArrow(meet, schema)
+
+    def at_home(ask: pa.Table, base: pa.Table) -> pa.Table:
+        need = _wanted(ask, k, skip_self)
+        rows, gaps, members = _lists_in(ask, base, need, width)
+        size = np.bincount(rows, minlength=len(ask))
+        first = np.cumsum(size) - size
+        reach = np.where(size < need, np.inf, -1.0)
+        some = (size >= need) & (size > 0)
+        reach[some] = gaps[first[some] + size[some] - 1]
+        x = arrow_matrix(ask["vi"], ask["vv"], width)
+        home = ask["box"][0].as_py() if len(ask) else 0
+        out = np.flatnonzero((reach >= 0) & (boxes.inside(x, home) <= reach * (1 + 1e-9)))
+        point, box = reached(x[out], reach[out], low, high, HELD)
+        point, box = out[point], names[box]
+        point, box = point[box != home], box[box != home]
+        others = np.bincount(point, minlength=len(ask))
+        lists = lambda counts, values: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), values)
+        entry = pa.StructArray.from_arrays([pa.array(gaps), pa.array(members)], ["dist", "id"])
+        return pa.table({
+            "qid": ask["qid"], "vv": ask["vv"], "held": ask["held"], "far": lists(size, entry), "reach": pa.array(reach), "boxes": lists(others, pa.array(box, pa.int64()))
+        })
+
+    near = freeze(met(freeze(asks), at_home, "qid long, vv array<double>, held int, far array<struct<dist:double,id:long>>, reach double, boxes array<long>"))
+    if (near.agg(F.sum(F.size("boxes"))).first()[0] or 0) > MOST_BOXES * n_asks:
+        return None
+
+    def abroad(ask: pa.Table, base: pa.Table) -> pa.Table:
+        rows, gaps, members = _lists_in(ask, base, _wanted(ask, k, skip_self), width)
+        kept = gaps <= ask["reach"].to_numpy()[rows]
+        return pa.table({"qid": pa.array(ask["qid"].to_numpy()[rows[kept]], pa.int64()), "dist": pa.array(gaps[kept]), "id": pa.array(members[kept])})
+
+    open_ = near.filter(F.size("boxes") > 0)
+    visits = freeze(open_.select(F.explode("boxes").alias("box"), "qid", F.lit(None).cast("array<int>").alias("vi"), "vv", "held", "reach"))
+    entries = met(visits, abroad, ENTRIES).select("qid", F.struct("dist", "id").alias("e"))
+    settled = near.filter(F.size("boxes") == 0).select("qid", "far")
+    return settled.unionByName(_first(open_.select("qid", F.explode("far").alias("e")).unionByName(entries), k))
+
+
 def _search(vectors, queries, k, width, skip_self, side, n_queries):
     cores = vectors.sparkSession.sparkContext.defaultParallelism
     vectors = freeze(vectors)
+    many = vectors.count() > side
+    best = _by_boxes(vectors, k, width, skip_self, min(side, BOX_ROWS)) if many and 0 < width <= FEW_WIDTH else None
 
     def meet(ask: pa.Table, base: pa.Table) -> pa.Table:
-        # Other copies of a query are told by their ids, so it needs fewer rows.
         base = base.rename_columns([c.removeprefix("base_") for c in base.column_names])
-        need = np.clip(k - np.maximum(ask["held"].to_numpy() - skip_self, 0), 0, k)
-        return _nearest_in(ask, base, need, width)
-
-    if vectors.count() <= side:
-        keys = ["a", "b"]
-        left, right = grid(vectors, side, cores)
-        right = right.withColumnsRenamed({c: f"base_{c}" for c in right.columns})  # both sides come from one frame
-        found = left.groupBy(*keys).cogroup(right.groupBy(*[f"base_{c}" for c in keys])).applyInArrow(meet, ENTRIES)
-    else:
-        left, right = _blocks(vectors, min(side, max(128, BLOCK_BYTES // (8 * max(width, 1)))), cores)
-        found = meetings(left, right, lambda a, ask, b, base: meet(ask, base), ENTRIES)
-    entries = found.select("qid", F.struct("dist", "id").alias("e"))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy("e.dist", "e.id"))
-    best = entries.withColumn("_n", rank).filter(F.col("_n") <= k).groupBy("qid").agg(F.collect_list("e").alias("far"))
+        return _nearest_in(ask, base, _wanted(ask, k, skip_self), width)
+
+    if best is None:
+        if many:
+            left, right = _blocks(vectors, min(side, max(128, BLOCK_BYTES // (8 * max(width, 1)))), cores)
+            found = meetings(left, right, lambda a, ask, b, base: meet(ask, base), ENTRIES)
+        else:
+            keys = ["a", "b"]
+            left, right = grid(vectors, side, cores)
+            right = right.withColumnsRenamed({c: f"base_{c}" for c in right.columns})  # both sides come from one frame
+            found = left.groupBy(*keys).cogroup(right.groupBy(*[f"base_{c}" for c in keys])).applyInArrow(meet, ENTRIES)
+        best = _first(found.select("qid", F.struct("dist", "id").alias("e")), k)
     asks = vectors.filter("qid IS NOT NULL")
     own = F.transform("ids", lambda i: F.struct(F.lit(0.0).alias("dist"), i.alias("id")))
     empty = F.array().cast("array<struct<dist:double,id:long>>")
