@@ -152,7 +152,7 @@ class Hierarchy:
     def spanning(self, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
         """`points` and the edges of their spanning tree."""
         hashed, points, lists, n, width = self.points(clean(rows))
-        edges = reach_edges(points, width, self.alpha, self.block_rows, known_edges(lists, points, self.alpha), max(self.bound, BLOCK_ROWS))
+        edges = reach_edges(points, width, self.alpha, self.block_rows, known_edges(lists, points, self.alpha, hashed), max(self.bound, BLOCK_ROWS))
         return hashed, points, spanning_tree(edges, self.bound), n
 
     def fit(self, rows: DataFrame, shared: Shared | None = None) -> HierarchyModel:

@@ -110,8 +110,14 @@ def reach_edges(points: DataFrame, width: int, alpha: float = 1.0, block_rows: i
 EDGES = "a long, b long, w double"
 
 
-def known_edges(lists: DataFrame, points: DataFrame, alpha: float = 1.0) -> DataFrame:
-    """Edges ``(a, b, w)`` of neighbour lists (row_id, nn) between points (pid, core) that go by the rows ``qid``."""
+def known_edges(lists: DataFrame, points: DataFrame, alpha: float = 1.0, rows: DataFrame | None = None) -> DataFrame:
+    """Edges ``(a, b, w)`` of neighbour lists (row_id, nn) between points (pid, core) that go by the rows ``qid``.
+
+    An id that stands for several vectors among ``rows`` (id, h) names no point.
+    """
+    if rows is not None:
+        several = rows.groupBy("id").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low <> high")
+        points = points.join(several.select(F.col("id").alias("qid")), "qid", "left_anti")
     name = lambda end, row: points.select(F.col("qid").alias(row), F.col("pid").alias(end), F.col("core").alias(f"core_{end}"))
     pairs = lists.select("row_id", F.explode("nn").alias("e")).select("row_id", F.col("e.id").alias("id"), F.col("e.dist").alias("dist"))
     met = pairs.filter("row_id <> id").join(name("x", "row_id"), "row_id").join(name("y", "id"), "id").filter("x <> y")

@@ -229,6 +229,13 @@ def test_known_edges_leave_few_pairs(spark):
     assert edges < 1.2 * len(x) < reach_edges(points, 3, block_rows=20).count()
 
 
+def test_ids_of_several_vectors_name_no_point(spark):
+    points, lists = many_points(spark, odd_clouds("plain")[:60], 4)
+    rows = spark.createDataFrame([(i, i * 7) for i in range(60)] + [(3, 99), (5, 35)], "id long, h long")
+    ends = lambda df: {p for r in df.collect() for p in (r.a, r.b)}
+    assert 3 in ends(known_edges(lists, points)) and ends(known_edges(lists, points, rows=rows)) == ends(known_edges(lists, points)) - {3}
+
+
 def test_largest_gap_is_the_largest_edge_on_the_way():
     w, _ = reach(np.random.default_rng(3).normal(size=(40, 2)), 3)
     a, b = np.triu_indices(40, 1)
